@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 QUERIES = {
     "op4_mix": mixing.op4_mix,
+    "op5_quality": quality.op5_quality,
 }
 ORACLES = {
     "op4_mix": mixing.ORACLE,
+    "op5_quality": quality.ORACLE,
 }
 
 
