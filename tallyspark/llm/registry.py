@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import decontam, mixing, quality
 
 QUERIES = {
+    "op3_decontaminate": decontam.op3_decontaminate,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
 }
 ORACLES = {
+    "op3_decontaminate": decontam.ORACLE,
     "op4_mix": mixing.ORACLE,
     "op5_quality": quality.ORACLE,
 }
