@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality
+from . import decontam, mixing, quality, secretscan
 
 QUERIES = {
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
+    "op9_secrets": secretscan.op9_secrets,
 }
 ORACLES = {
     "op3_decontaminate": decontam.ORACLE,
