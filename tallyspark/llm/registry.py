@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality, secretscan
+from . import decontam, mixing, neardup, quality, secretscan
 
 QUERIES = {
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
     "op9_secrets": secretscan.op9_secrets,
+    "op10_neardup": neardup.op10_neardup,
 }
 ORACLES = {
     "op3_decontaminate": decontam.ORACLE,
