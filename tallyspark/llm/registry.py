@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, quality, secretscan
+from . import decontam, mixing, neardup, quality, rlz, secretscan
 
 QUERIES = {
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
+    "op8_substring_dedup": rlz.op8_substring_dedup,
     "op9_secrets": secretscan.op9_secrets,
     "op10_neardup": neardup.op10_neardup,
 }
