@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, quality, rlz, secretscan
+from . import decontam, mixing, neardup, quality, rlz, secretscan, suffixes
 
 QUERIES = {
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
