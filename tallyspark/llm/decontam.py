@@ -20,14 +20,20 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, hinted, saved, text_of
 
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The ASCII characters that are no part of words, and the pattern of a run of them.
+BETWEEN = "".join(chr(c) for c in range(128) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A))
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Words per shingle; windows of fewer words use all of them as one shingle.
 SHINGLE = 3
 
 
 def words_of(df: DataFrame) -> Column:
-    return F.regexp_extract_all(ascii_lower(text_of(df)), F.lit(TOKEN), F.lit(0))
+    """Words of the text column; a split on the other characters is several times faster than extracting matches."""
+    text = F.btrim(text_of(df), F.lit(BETWEEN))
+    ascii_only = F.octet_length(text) == F.length(text)
+    words = F.when(ascii_only, F.split(F.lower(text), GAP)).otherwise(F.transform(F.split(text, GAP), ascii_lower))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(words)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -40,9 +46,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def doc_shingles(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, at (0-based) and w0.. of every complete shingle of every document."""
     cols = [f"w{k}" for k in range(n)]
-    words = docs.select("doc_id", words_of(docs).alias("words")).where(F.size("words") >= n)
+    words = docs.select("doc_id", words_of(docs).alias("words"))
     zipped = words.select("doc_id", F.arrays_zip(*[F.slice("words", k + 1, F.size("words")) for k in range(n)]).alias("s"))
-    exploded = zipped.select("doc_id", F.posexplode("s").alias("at", "s"))
+    # An outer explode: for an inner one the optimizer infers filters that would split every text again.
+    exploded = zipped.select("doc_id", F.posexplode_outer("s").alias("at", "s"))
     return exploded.select("doc_id", "at", *[F.col("s")[str(k)].alias(c) for k, c in enumerate(cols)]).where(F.col(cols[-1]).isNotNull())
 
 
