@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, quality, rlz, secretscan, suffixes
+from . import decontam, mixing, neardup, quality, rlz, secretscan, suffixes, toxicity
 
 QUERIES = {
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_substring_dedup": rlz.op8_substring_dedup,
     "op9_secrets": secretscan.op9_secrets,
     "op10_neardup": neardup.op10_neardup,

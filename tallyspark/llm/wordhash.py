@@ -79,11 +79,16 @@ def batches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Anything but ASCII letters, digits and non-ASCII bytes: word gaps where punctuation does not count.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of every word, and per text the index of its first word (one more entry at the end)."""
     n = len(data)
     gap = np.ones(n + 1, bool)
-    np.take(_SPACE, data, out=gap[:n])
+    np.take(space, data, out=gap[:n])
     first = ~gap[:n]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
