@@ -33,6 +33,11 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 _BYTE = mix(np.arange(256, dtype=np.uint64), 7)
 
 
+def fold_bytes(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _FOLD[data]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     out = np.full(n, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
