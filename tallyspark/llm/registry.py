@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, quality, rlz, secretscan, suffixes, toxicity
+from . import decontam, mixing, neardup, quality, rlz, secretscan, suffixes, surrogates, toxicity
 
 QUERIES = {
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_surrogates": surrogates.op7_surrogates,
     "op8_substring_dedup": rlz.op8_substring_dedup,
     "op9_secrets": secretscan.op9_secrets,
     "op10_neardup": neardup.op10_neardup,
