@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, quality, rlz, secretscan, suffixes, surrogates, toxicity
+from . import decontam, htmltext, mixing, neardup, quality, rlz, secretscan, suffixes, surrogates, toxicity
 
 QUERIES = {
+    "op1_html_text": htmltext.op1_html_text,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_mix": mixing.op4_mix,
