@@ -27,9 +27,9 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hinted(small: DataFrame) -> DataFrame:
-    """Mark an already saved ``small`` for broadcast if its counted rows are within BROADCAST_ROWS."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+def hinted(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark an already saved ``small`` for broadcast if its counted rows are within ``rows``."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
 def ascii_lower(text: Column) -> Column:

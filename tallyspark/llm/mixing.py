@@ -30,12 +30,12 @@ SEED = "mix-1"
 ROWS_PER_BUCKET = 100_000
 
 
-def sized(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
-    """doc_id, source, source key, size in words, seeded key, size class and bucket."""
+def sized(docs: DataFrame, seed: str, buckets: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the ``keep`` columns, source key, size in words, seeded key, size class and bucket."""
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit(""))))
     bits = F.bin("size")
     return (
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("key"))
+        docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("key"))
         .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~null")))
         .withColumn("cls", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
         .withColumn("bucket", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint"), F.lit(buckets)))
@@ -70,10 +70,11 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """One row per document: its size, its source's words and target, and how often the mix takes it."""
-    rows = sized(docs, seed, max(1, -(-docs.count() // rows_per_bucket)))
-    cells = saved(rows.groupBy("skey", "source", "cls", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_bucket: int = ROWS_PER_BUCKET, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its size, its source's words and target, how often the mix takes it, and the ``keep`` columns."""
+    buckets = max(1, -(-docs.count() // rows_per_bucket))
+    rows = sized(docs, seed, buckets, keep)
+    cells = saved(sized(docs, seed, buckets).groupBy("skey", "source", "cls", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     targets = source_targets(cells.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     start = F.coalesce(F.sum("n").over(W.partitionBy("skey").orderBy("cls", "bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cells = saved(cells.select("skey", "cls", "bucket", start.alias("start")).join(targets, "skey"))
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         rows.join(hinted(cells), ["skey", "cls", "bucket"])
         .withColumn("at", at)
         .withColumn("repeats", (F.floor("rate") + extra).cast("bigint"))
-        .select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+        .select("doc_id", "source", *keep, "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     )
 
 
