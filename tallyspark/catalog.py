@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from tallyspark.plans import ledger, prices, trends
+
+_MODULES = [ledger, prices, trends]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
