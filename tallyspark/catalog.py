@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import ledger, prices, trends
+from tallyspark.plans import ledger, movement, prices, trends
 
-_MODULES = [ledger, prices, trends]
+_MODULES = [ledger, prices, trends, movement]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
