@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table written to the shared checkpoint folder, so that lost executors cost no recomputation.
+
+    A written table, unlike ``checkpoint()``, also drops the constraints that the optimizer has inferred;
+    in iterative plans they multiply until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hinted(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
