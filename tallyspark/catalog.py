@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import ledger, movement, prices, trends
+from tallyspark.plans import ledger, movement, prices, textual, trends
 
-_MODULES = [ledger, prices, trends, movement]
+_MODULES = [ledger, prices, trends, movement, textual]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -72,10 +72,10 @@ def parse_money_strict(text: Column) -> Column:
 
 def format_money(cents: Column) -> Column:
     """``-$1.05``: no thousands separators."""
-    size = F.abs(cents)
-    whole = ((size - size % 100) / 100).cast("bigint").cast("string")
-    sign = F.when(cents < 0, "-").otherwise("")
-    return F.when(cents.isNotNull(), F.concat(sign, F.lit("$"), whole, F.lit("."), F.lpad((size % 100).cast("string"), 2, "0")))
+    digits = F.regexp_replace(cents.cast("string"), "-", "")
+    digits = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+    shown = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 2), F.lit("."), F.right(digits, F.lit(2)))
+    return F.concat(F.when(cents < 0, "-$").otherwise("$"), shown)
 
 
 def compact(cents: Column) -> Column:
