@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import ledger, movement, prices, textual, trends
+from tallyspark.plans import ledger, movement, prices, succession, textual, trends
 
-_MODULES = [ledger, prices, trends, movement, textual]
+_MODULES = [ledger, prices, trends, movement, textual, succession]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

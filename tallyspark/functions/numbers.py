@@ -41,24 +41,30 @@ def upper_median(value: str, *keys: str) -> tuple[Column, Column]:
     return F.when(place == F.floor(count / 2) + 1, F.col(value)), F.max("_rank")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_money(text: Column) -> Column:
     """struct(cents, error) of a money text: signs, brackets, fillers; nothing is ever rounded."""
     trimmed = F.trim(F.translate(text, "\t\r\n", "   "))
-    bracketed = trimmed.startswith("(") & trimmed.endswith(")")
-    minus = trimmed.startswith("-")
-    body = F.when(bracketed, F.substring(trimmed, F.lit(2), F.length(trimmed) - 2)).when(minus, F.substring(trimmed, F.lit(2), F.length(trimmed))).otherwise(trimmed)
-    bare = F.regexp_replace(body, FILLERS, "")
-    shaped = bare.rlike(r"^([0-9]+(\.[0-9]{0,2})?|\.[0-9]{1,2})$")
-    digits = F.concat(F.lit("0"), F.regexp_replace(bare, r"\.$", ""))
-    exact = F.when(shaped & (F.length(digits) <= 30), digits.try_cast("decimal(32,2)") * 100)
-    cents = F.when((exact <= 9223372036854775807), F.when(bracketed | minus, -exact).otherwise(exact)).try_cast("bigint")
-    error = (
-        F.when(text.isNull() | (trimmed == ""), "empty")
-        .when(~shaped & bare.rlike(r"^[0-9]*\.[0-9]{3,}$"), "fraction")
-        .when(~shaped, "not_money")
-        .when(cents.isNull(), "overflow")
-    )
-    return F.struct(F.when(error.isNull(), cents).alias("cents"), error.alias("error"))
+
+    def signed(t: Column) -> Column:
+        bracketed = t.startswith("(") & t.endswith(")")
+        body = F.when(bracketed, F.substring(t, F.lit(2), F.length(t) - 2)).when(t.startswith("-"), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+        return F.struct((bracketed | t.startswith("-")).alias("minus"), F.regexp_replace(body, FILLERS, "").alias("bare"), (t == "").alias("blank"))
+
+    def exact(x: Column) -> Column:
+        shaped = x["bare"].rlike(r"^([0-9]+(\.[0-9]{0,2})?|\.[0-9]{1,2})$") & (F.length(x["bare"]) <= 29)
+        value = F.concat(F.lit("0"), F.regexp_replace(x["bare"], r"\.$", "")).try_cast("decimal(32,2)") * 100
+        return F.struct(shaped.alias("shaped"), F.when(shaped, F.when(x["minus"], -value).otherwise(value)).try_cast("bigint").alias("cents"), x["bare"].alias("bare"), x["blank"].alias("blank"))
+
+    def judged(x: Column) -> Column:
+        error = F.when(x["bare"].isNull() | x["blank"], "empty").when(~x["shaped"] & x["bare"].rlike(r"^[0-9]*\.[0-9]{3,}$"), "fraction").when(~x["shaped"], "not_money").when(x["cents"].isNull(), "overflow")
+        return F.struct(F.when(x["shaped"], x["cents"]).alias("cents"), error.alias("error"))
+
+    return _let(_let(_let(trimmed, signed), exact), judged)
 
 
 def parse_money_strict(text: Column) -> Column:
