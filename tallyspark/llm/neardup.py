@@ -156,7 +156,7 @@ def group(docs: DataFrame) -> DataFrame:
     classes = saved(full.groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max_by("bands", "n").alias("bands")))
     rows = classes.select("k", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("k", "n")).alias("pivot")).where("size > 1")
-    members = saved(rows.join(shared, "bucket").select("bucket", "k", "n", F.col("pivot.k").alias("pivot"), F.col("pivot.n").alias("pn")))
+    members = saved(rows.join(saved(shared), "bucket").select("bucket", "k", "n", F.col("pivot.k").alias("pivot"), F.col("pivot.n").alias("pn")))
     star = members.where((F.col("k") != F.col("pivot")) & similar_size("n", "pn")).groupBy(F.col("pivot").alias("a"), F.col("k").alias("b")).agg(F.count("*").alias("times"))
     star = saved(star)
     # Round 1: every member against the pivot it meets most often.
@@ -181,7 +181,7 @@ def group(docs: DataFrame) -> DataFrame:
         labels = components(edges)
     named = classes.select("k", "doc").join(labels.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     lowest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = named.join(lowest, "root").select("k", "component_id")
+    named = saved(named.join(lowest, "root").select("k", "component_id"))
     out = sketch.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("k")).alias("k")).join(named, "k", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
