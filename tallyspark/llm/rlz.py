@@ -87,20 +87,22 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     kind = id_type(docs)
     texts = keyed(docs)
     phrases = texts.mapInArrow(anchored(WINDOW, KMER, True), f"doc_id {kind}, th int, anchor bigint, place int, at int, n int, phrase bigint")
+    # Counts are saved before rows are joined with them: both sides of the join are then plain shuffles, which AQE can split where a key is hot.
     known = phrases.groupBy("anchor").agg(F.count("*").alias("times"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("times > 1")
-    hits = saved(phrases.join(known.select("anchor", (F.col("lo") == F.col("hi")).alias("one")), "anchor").select("doc_id", "th", "anchor", "phrase", "at", "n", "one"))
+    known = saved(known.select("anchor", (F.col("lo") == F.col("hi")).alias("one")))
+    hits = saved(phrases.join(known, "anchor").select("doc_id", "th", "anchor", "phrase", "at", "n", "one"))
     # An anchor with a single phrase is a factor wherever it stands; with several, each is counted.
     several = hits.where("not one")
     place = F.struct("doc_id", "th", "at")
     factor = several.groupBy("anchor", "phrase").agg(F.count("*").alias("times"), F.min(place).alias("reference"))
-    several = several.join(factor, ["anchor", "phrase"]).select("doc_id", "th", "anchor", "at", "n", (F.col("times") > 1).alias("factor"), place.eqNullSafe(F.col("reference")).alias("reference"))
+    several = several.join(saved(factor), ["anchor", "phrase"]).select("doc_id", "th", "anchor", "at", "n", (F.col("times") > 1).alias("factor"), place.eqNullSafe(F.col("reference")).alias("reference"))
     several = saved(several)
     # A window beside a factor may equal one inside another factor: one place of each factor is looked up too.
     look = _listed(several.where("not factor or reference"), "look", "anchor", "at", "n")
     asked = texts.join(look, same_row(texts, look), "left").where("look is not null").select("doc_id", "th", "text", "look")
     asked = saved(asked.mapInArrow(_boundary_windows, f"doc_id {kind}, th int, anchor bigint, hash bigint, at int"))
     twice = asked.groupBy("anchor", "hash").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "hash")
-    single = asked.join(twice, ["anchor", "hash"], "left_semi").select("doc_id", "th", "at", F.lit(1).alias("n"))
+    single = asked.join(saved(twice), ["anchor", "hash"], "left_semi").select("doc_id", "th", "at", F.lit(1).alias("n"))
     factors = hits.where("one").select("doc_id", "th", "at", "n").unionByName(several.where("factor").select("doc_id", "th", "at", "n"))
     return factors.unionByName(single)
 
