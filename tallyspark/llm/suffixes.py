@@ -139,7 +139,8 @@ def passages(docs: DataFrame) -> DataFrame:
     numeric = kind in ("bigint", "int", "smallint", "tinyint")
     rank = F.coalesce(F.col("doc_id").cast("bigint") if numeric else F.xxhash64("doc_id"), F.lit((1 << 63) - 1)) if kind != "void" else F.lit(0)
     anchors = texts.mapInArrow(anchored(PASSAGE, KMER, False), f"doc_id {kind}, th int, anchor bigint, place int, at int, n int").select("doc_id", "th", "anchor", "place")
-    known = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # Saved, so that both sides of the join are plain shuffles, which AQE can split where an anchor is hot.
+    known = saved(anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     hits = anchors.join(known, "anchor").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("place").alias("look"))
     asked = texts.join(hits, same_row(texts, hits)).select("doc_id", "th", rank.alias("rank"), "text", "look")
     suffixes = saved(asked.mapInArrow(_contexts, f"doc_id {kind}, th int, rank bigint, place int, anchor bigint, right binary, nr int, left binary, nl int"))
