@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import graphs, ledger, movement, prices, succession, textual, trends
+from tallyspark.plans import graphs, ledger, movement, papers, prices, succession, textual, trends
 
-_MODULES = [ledger, prices, trends, movement, textual, succession, graphs]
+_MODULES = [ledger, prices, trends, movement, textual, succession, graphs, papers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
