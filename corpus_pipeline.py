@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, mixing, neardup, quality, secretscan
 from tallyspark.llm.common import ensure_checkpoint_dir
@@ -42,9 +43,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mixing.mix(docs, keep=others).where("repeats > 0")
-    return mixed.select(*docs.columns, "size", "source_size", "target", "repeats", "taken")
+    """Documents that the mix takes, with its columns; a column of ``docs`` that has one of their names gives way."""
+    own = ["size", "source_size", "target", "repeats", "taken"]
+    packed = docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))
+    return mixing.mix(packed, keep=("_doc",)).where("repeats > 0").select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c not in own], *own)
 
 
 STAGES = [

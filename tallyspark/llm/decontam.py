@@ -104,9 +104,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tupl
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with all their columns."""
-    extra = [c for c in docs.columns if c != "doc_id"]
-    return hits(docs, benchmark, window, keep=("doc_id", *extra)).where("n_hit = 0").select(*docs.columns)
+    """The rows of ``docs`` without any benchmark window, with all their columns (packed meanwhile, so no name clashes)."""
+    packed = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
+    return hits(packed, benchmark, window, keep=("doc_id", "_doc")).where("n_hit = 0").select("_doc.*")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

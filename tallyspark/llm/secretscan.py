@@ -155,11 +155,12 @@ def default_model(spark, docs: DataFrame, labels: DataFrame) -> tuple[str, float
 
 def redact(docs: DataFrame, model: tuple[str, float] | None) -> DataFrame:
     """All rows and columns of ``docs``; secrets in the text are masked and n_chars, if there, recounted."""
-    out = scan(docs, model, keep=tuple(docs.columns))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("_text"), F.col("spans"))))
+    packed = docs.select("text", F.struct("*").alias("_doc"))
+    out = scan(packed, model, keep=("_doc",)).select("_doc", "spans", F.when(F.col("_doc.text").isNotNull(), masked(F.col("_text"), F.col("spans"))).alias("_new"))
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+    return out.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:

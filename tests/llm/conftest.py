@@ -3,7 +3,8 @@ import random
 import pytest
 
 WORDS = [a + b for a in "ka lo mi ne pu ra so te vi zu".split() for b in "bal den fir gos hum jat kel".split()]
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string"
+#: ``spans`` stands for extra columns whose names clash with the operators' own.
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string"
 
 
 def sentence(rng, n):

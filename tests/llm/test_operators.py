@@ -188,6 +188,8 @@ def test_secret_spans(spark, docs, docs_rows, none):
         spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
         spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
         want.append((r[0], ",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))))
+    masked = secretscan.redact(table, None)
+    assert masked.columns == table.columns and masked.where("spans not in ('x', '')").isEmpty()
     got = secretscan.scan(table, None).select("doc_id", secretscan.joined("base").alias("base"), secretscan.joined("spans").alias("spans"))
     assert bag((r["doc_id"], r["base"]) for r in got.collect()) == bag(want)
     assert got.where("base <> spans").isEmpty() and secretscan.scan(none, None).count() == 0
@@ -277,7 +279,7 @@ def test_pipeline_stages_take_effect(spark, docs, docs_rows, tmp_path):
     import corpus_pipeline
 
     folder = str(tmp_path)
-    docs.drop("extra").write.parquet(f"{folder}/documents.parquet")
+    docs.withColumns({c: F.lit("x") for c in ("size", "words", "base", "cand", "stratum", "bucket", "key")}).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, docs_rows[2][1])], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     out = [r.asDict() for r in corpus_pipeline.run(spark, folder).collect()]
