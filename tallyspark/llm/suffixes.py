@@ -1,22 +1,26 @@
-"""Suffix-array dedup over sparse suffixes.
-
-Only suffixes that start at minimiser positions are kept (see ``anchors``): any passage of at least
-PASSAGE words that stands in two places selects the same minimisers in both. Suffixes whose first
-KMER words are unique cannot match and go after one count; the others are sorted through the whole
-corpus (range partitions, then within partitions), and each is compared with its neighbours in that
-order and extended to the right and to the left. A second pass sorts by the words to the left, so
-that the best partner on either side is a neighbour. The first and last suffixes of the partitions
-are compared once more by themselves, so partition borders hide nothing. Matches of PASSAGE words or
-more are repeated spans; one whose partner stands earlier (by doc_id, then place) is a later copy and
-is removed, so that the first copy of every passage stays.
-
-The context that is shipped per suffix is KMER words plus at most PASSAGE - KMER words on each side, as
-16-bit word hashes: longer passages are covered by the chain of their minimisers. Equal suffixes, such
-as those of copies, are spread over partitions by doc_id.
+"""Exact passage dedup over sparse suffixes.
+
+Only suffixes that start at minimiser positions are kept (see ``anchors``): equal windows of PASSAGE
+words select the same minimiser at the same place, so all copies of a window meet under its anchor,
+the KMER words that the suffix starts with. Suffixes whose anchor is unique cannot match and go after
+one count. The others are settled by counting equal windows, not by comparing neighbours of a sorted
+order, as a window's first copy need not be a neighbour of the others:
+
+* a phrase, all words of the windows that select one anchor, is counted as a whole, and its first place
+  is the smallest (doc_id, text hash, word). Where an anchor has a single phrase, that settles all windows;
+* where an anchor has several phrases, every window of one copy of each is hashed, and equal windows
+  are counted, weighted with the copies of their phrases, and their first place is taken over all.
+
+A window with two places or more is a repeated passage; a word is removed if and only if some window
+over it also stands at an earlier place (by doc_id, then place). The first copy of a window is never
+removed as a copy of itself, and every removed word still stands where its earliest copy does.
+
+Keys are 64-bit hashes together with the anchor's own 64 bits. All counts are combined map-side, so that
+copies of one text cost a count, and windows cost one row per distinct phrase.
 
 Edge cases: null texts have no words; texts shorter than PASSAGE have no spans; repeated rows repeat each
-other and, being equal in place too, neither counts as later; a null doc_id sorts last; empty tables
-give empty results; further columns are ignored.
+other and, being equal in place too, neither counts as later; a null doc_id sorts last; doc_ids that are
+not numbers are ordered by their hash; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +35,16 @@ from pyspark.sql import functions as F
 
 from .anchors import anchored, id_type, keyed, same_row, signed
 from .common import saved
-from .wordhash import batches, grams, words
+from .wordhash import Rolling, batches, mix, words
 
 PASSAGE, KMER = 50, 16
-REACH = PASSAGE - KMER
+#: Windows that can select one anchor; their marks are the bits of one long.
+MOST = PASSAGE - KMER + 1
+_WINDOWS = Rolling(0x9FB21C651E98DF25)
 
 
-def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, rank, text, look: places) to one suffix row with its right and (reversed) left context per place."""
-    offsets_in = np.arange(REACH)
+def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(th, rank, text, look: list of (anchor, phrase, at, n, times)) to one row per window of the phrases."""
     for batch in rows:
         look = batch.column("look")
         for lo, hi, data, offsets in batches(batch.column("text")):
@@ -48,103 +53,56 @@ def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not sizes.sum():
                 continue
             _, _, hashes, first = words(data, offsets)
-            place = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = part.flatten()
+            anchor, phrase, at, n, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             text = np.repeat(np.arange(hi - lo), sizes)
-            at = place + first[text]
-            code = np.concatenate([(hashes >> np.uint64(48)).astype(np.uint16), np.zeros(1, np.uint16)])
-            sides = []
-            for index, room in ((at[:, None] + KMER + offsets_in, first[text + 1] - at - KMER), (at[:, None] - 1 - offsets_in, place)):
-                size = np.clip(room, 0, REACH)
-                cells = np.where(offsets_in < size[:, None], code[np.clip(index, 0, len(code) - 1)], 0).astype(">u2")
-                raw = pa.py_buffer(np.ascontiguousarray(cells).tobytes())
-                fixed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * 2 * REACH).astype(np.int32).tobytes()), raw])
-                sides.append((fixed, pa.array(size.astype(np.int32))))
-            row = pa.array(text + lo)
-            anchor = signed(grams(hashes, KMER)[at])
+            each = np.repeat(np.arange(len(at)), n)
+            within = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            start = at[each] + within
+            whole = start + first[text[each]]
+            value = mix(_WINDOWS.ranges(_WINDOWS.prefix(hashes), whole, whole + PASSAGE), 62)
+            row = pa.array(text[each] + lo)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(row) for c in ("doc_id", "th", "rank")), pa.array(place.astype(np.int32)), anchor, sides[0][0], sides[0][1], sides[1][0], sides[1][1]],
-                ["doc_id", "th", "rank", "place", "anchor", "right", "nr", "left", "nl"],
+                [pa.array(anchor[each]), pa.array(phrase[each]), pa.array(within.astype(np.int32)), signed(value), pa.array(times[each]), batch.column("rank").take(row), batch.column("th").take(row), pa.array(start.astype(np.int32))],
+                ["anchor", "phrase", "offset", "hash", "times", "rank", "th", "at"],
             )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    size = 2 * REACH
-    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
-    return np.frombuffer(column.buffers()[2], ">u2", len(column) * REACH, start).reshape(-1, REACH) if len(column) and size else np.zeros((0, REACH), np.uint16)
-
-
-def _compare(rows: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
-    """Spans of all pairs of adjacent rows that match over PASSAGE words or more."""
-    num = {c: rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("th", "rank", "place", "anchor", "nr", "nl")}
-    reach = []
-    for side, size in (("right", "nr"), ("left", "nl")):
-        cells, most = _matrix(rows.column(side)), np.minimum(num[size][1:], num[size][:-1])
-        same = cells[1:] == cells[:-1]
-        reach.append(np.minimum(np.where(same.all(axis=1), REACH, same.argmin(axis=1)), most))
-    right, left = reach
-    hit = np.flatnonzero((num["anchor"][1:] == num["anchor"][:-1]) & (left + KMER + right >= PASSAGE))
-    key = [num[c] for c in ("rank", "th", "place")]
-    ahead, same = np.zeros(len(hit), bool), np.ones(len(hit), bool)
-    for k in key:  # is the lower row of the pair the later one?
-        ahead |= same & (k[hit + 1] > k[hit])
-        same &= k[hit + 1] == k[hit]
-    row = np.concatenate([hit, hit + 1])
-    later = np.concatenate([~ahead & ~same, ahead])
-    at = num["place"][row] - np.concatenate([left[hit], left[hit]])
-    size = np.concatenate([left[hit] + KMER + right[hit]] * 2)
-    take = pa.array(row)
-    return [rows.column("doc_id").take(take), rows.column("th").take(take), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(later)], ["doc_id", "th", "at", "n", "later"]
-
-
-_CONTEXT_COLUMNS = ("rank", "place", "anchor", "right", "nr", "left", "nl")
-
-
-def _neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans between neighbours of a sorted partition, and (with ``anchor`` set) its first and last rows."""
-    last = None
-    for batch in rows:
-        if not batch.num_rows:
-            continue
-        edges = [batch.slice(0, 1)] if last is None else []
-        joined = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        last = batch.slice(batch.num_rows - 1, 1)
-        arrays, names = _compare(joined)
-        yield _wide(pa.RecordBatch.from_arrays(arrays, names), batch.schema)
-        for edge in edges:
-            yield _wide(edge, batch.schema)
-    if last is not None:
-        yield _wide(last, last.schema)
-
-
-def _wide(rows: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    kinds = [schema.field(c) for c in ("doc_id", "th", *_CONTEXT_COLUMNS)] + [pa.field("at", pa.int32()), pa.field("n", pa.int32()), pa.field("later", pa.bool_())]
-    return pa.RecordBatch.from_arrays([rows.column(f.name) if f.name in rows.schema.names else pa.nulls(rows.num_rows, f.type) for f in kinds], [f.name for f in kinds])
-
-
-def _matches(suffixes: DataFrame, kind: str, *order: str) -> DataFrame:
-    """(doc_id, th, at, n, later) of matching neighbours when sorted by ``order``."""
-    keys = [*order, "rank", "th", "place"]
-    wide = f"doc_id {kind}, th int, rank bigint, place int, anchor bigint, right binary, nr int, left binary, nl int, at int, n int, later boolean"
-    inner = saved(suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours, wide))
-    # Two rows per partition: what borders between partitions is compared in one small sort.
-    border = inner.where("anchor is not null").select(*suffixes.columns).repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours, wide)
-    spans = ["doc_id", "th", "at", "n", "later"]
-    return inner.where("anchor is null").select(*spans).unionByName(border.where("anchor is null").select(*spans))
-
-
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, n, later): spans of at least PASSAGE words that stand elsewhere as well."""
+    """(doc_id, th, at, repeated, later): bit i stands for the window of PASSAGE words from word at + i on."""
     kind = id_type(docs)
     texts = keyed(docs)
     numeric = kind in ("bigint", "int", "smallint", "tinyint")
-    rank = F.coalesce(F.col("doc_id").cast("bigint") if numeric else F.xxhash64("doc_id"), F.lit((1 << 63) - 1)) if kind != "void" else F.lit(0)
-    anchors = texts.mapInArrow(anchored(PASSAGE, KMER, False), f"doc_id {kind}, th int, anchor bigint, place int, at int, n int").select("doc_id", "th", "anchor", "place")
-    # Saved, so that both sides of the join are plain shuffles, which AQE can split where an anchor is hot.
-    known = saved(anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
-    hits = anchors.join(known, "anchor").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("place").alias("look"))
-    asked = texts.join(hits, same_row(texts, hits)).select("doc_id", "th", rank.alias("rank"), "text", "look")
-    suffixes = saved(asked.mapInArrow(_contexts, f"doc_id {kind}, th int, rank bigint, place int, anchor bigint, right binary, nr int, left binary, nl int"))
-    return _matches(suffixes, kind, "anchor", "right", "left").unionByName(_matches(suffixes, kind, "anchor", "left", "right"))
+    rank = F.coalesce(F.col("doc_id").cast("bigint") if numeric else F.xxhash64("doc_id"), F.lit((1 << 63) - 1)) if kind != "void" else F.lit((1 << 63) - 1)
+    phrases = texts.mapInArrow(anchored(PASSAGE, KMER, True), f"doc_id {kind}, th int, anchor bigint, place int, at int, n int, phrase bigint")
+    # Counts are saved, so that both sides of the joins are plain shuffles, which AQE can split where a key is hot.
+    known = phrases.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("copies > 1")
+    known = saved(known.select("anchor", (F.col("lo") == F.col("hi")).alias("one")))
+    hits = saved(phrases.join(known, "anchor").select("doc_id", "th", rank.alias("rank"), "anchor", "phrase", "at", "n", "one"))
+    groups = hits.groupBy("anchor", "phrase", "n", "one").agg(F.count("*").alias("times"), F.min(F.struct("rank", "th", "at", "doc_id")).alias("ref"))
+    groups = saved(groups)
+    # One copy of each phrase of an anchor that has several lists its windows.
+    look = groups.where("not one").groupBy(F.col("ref.doc_id").alias("_id"), F.col("ref.th").alias("_th"))
+    look = look.agg(F.collect_list(F.struct("anchor", "phrase", F.col("ref.at").alias("at"), "n", "times")).alias("look"))
+    asked = texts.join(look, same_row(texts, look)).select("th", rank.alias("rank"), "text", "look")
+    asked = saved(asked.mapInArrow(_windows, "anchor bigint, phrase bigint, offset int, hash bigint, times bigint, rank bigint, th int, at int"))
+    twice = asked.groupBy("anchor", "hash").agg(F.sum("times").alias("total"), F.min(F.struct("rank", "th", "at")).alias("first")).where("total > 1")
+    twice = asked.join(saved(twice.select("anchor", "hash", "first")), ["anchor", "hash"]).groupBy("anchor", "phrase").agg(F.collect_set(F.struct("offset", "first")).alias("windows"))
+    whole = groups.where("one").select("anchor", "phrase", F.expr("named_struct('rank', ref.rank, 'th', ref.th, 'at', ref.at)").alias("first"), F.lit(None).cast(twice.schema["windows"].dataType).alias("windows"))
+    settled = saved(whole.unionByName(twice.select("anchor", "phrase", F.lit(None).cast(whole.schema["first"].dataType).alias("first"), "windows")))
+    out = hits.join(settled, ["anchor", "phrase"])
+    repeated = F.expr("if(one, shiftleft(1L, n) - 1, aggregate(windows, 0L, (m, w) -> m | shiftleft(1L, w.offset)))")
+    later = F.expr("""if(one, if(named_struct('rank', rank, 'th', th, 'at', at) > first, shiftleft(1L, n) - 1, 0L),
+        aggregate(windows, 0L, (m, w) -> m | if(named_struct('rank', rank, 'th', th, 'at', at + w.offset) > w.first, shiftleft(1L, w.offset), 0L)))""")
+    return out.select("doc_id", "th", "at", repeated.alias("repeated"), later.alias("later"))
+
+
+def _under(at: np.ndarray, bits: np.ndarray, n_words: int) -> np.ndarray:
+    """Which words lie under the windows that ``bits`` mark from the words ``at`` on."""
+    row, offset = np.nonzero(bits[:, None] >> np.arange(MOST) & 1)
+    start = at[row] + offset
+    edge = np.bincount(start, minlength=n_words + 1) - np.bincount(start + PASSAGE, minlength=n_words + 1)
+    return np.cumsum(edge[:n_words]) > 0
 
 
 def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +110,11 @@ def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             found = (text.as_py() or "").encode().split()
-            marks = np.zeros((2, len(found) + 1), np.int64)
-            for s in spans.as_py() or ():
-                for line in (0, 1) if s["later"] else (0,):
-                    marks[line, s["at"]] += 1
-                    marks[line, s["at"] + s["n"]] -= 1
-            repeated, gone = np.cumsum(marks, axis=1)[:, :-1] > 0
+            if spans.is_valid and len(spans):
+                at, both = spans.values.field(0).to_numpy(zero_copy_only=False).astype(np.int64), [spans.values.field(i).to_numpy(zero_copy_only=False) for i in (1, 2)]
+                repeated, gone = (_under(at, bits, len(found)) for bits in both)
+            else:
+                repeated = gone = np.zeros(len(found), bool)
             edges = np.flatnonzero(np.diff(np.concatenate(([0], repeated.astype(np.int8), [0]))))
             kept = b" ".join(w for w, g in zip(found, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(found)
             out.append((len(found), int(repeated.sum()), int(gone.sum()), ",".join(f"{a}:{b}" for a, b in edges.reshape(-1, 2)), hashlib.sha256(kept).hexdigest()))
@@ -169,8 +126,7 @@ def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """Per row: its words, those in repeated passages, those removed as later copies, the spans and the digest of the rest."""
     texts = keyed(docs)
-    spans = passages(docs).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "at", "n").agg(F.bool_or("later").alias("later"))
-    spans = spans.groupBy("_id", "_th").agg(F.collect_list(F.struct("at", "n", "later")).alias("spans"))
+    spans = passages(docs).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("at", "repeated", "later")).alias("spans"))
     out = texts.join(spans, same_row(texts, spans), "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_digest, f"doc_id {id_type(docs)}, n_words bigint, n_repeated bigint, n_removed bigint, spans string, kept_sha256 string")
 

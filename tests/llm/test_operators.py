@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, htmltext, mixing, neardup, quality, rlz, secretscan, suffixes, surrogates, toxicity
 
+from .conftest import sentence
+
 WORD = r"[^\x20\x09-\x0D]+"
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
@@ -49,6 +52,41 @@ def test_suffixes_find_all_repeated_passages_and_keep_a_first_copy(docs, docs_ro
     assert suffixes.dedup_passages(none).count() == 0
 
 
+def _without_later_copies(rows, size):
+    """Per row: (doc_id, words, words under repeated windows, words under later copies, digest of the rest), by brute force."""
+    places = {}
+    for i, (_, t) in enumerate(rows):
+        w = words(t)
+        for k in range(len(w) - size + 1):
+            places.setdefault(tuple(w[k : k + size]), []).append((rows[i][0], k))
+    for i, t in rows:
+        w = words(t)
+        repeated, gone = [False] * len(w), [False] * len(w)
+        for k in range(len(w) - size + 1):
+            found = places[tuple(w[k : k + size])]
+            if len(found) > 1:
+                repeated[k : k + size] = [True] * size
+            if min(found) < (i, k):
+                gone[k : k + size] = [True] * size
+        yield (i, len(w), sum(repeated), sum(gone), sha(" ".join(x for x, y in zip(w, gone, strict=True) if not y)))
+
+
+def _suffix_rows(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    return bag(suffixes.dedup_passages(table).select("doc_id", "n_words", "n_repeated", "n_removed", "kept_sha256").collect())
+
+
+def test_suffixes_keep_one_copy_of_a_passage_in_many_documents(spark):
+    rng = random.Random(11)
+    texts = []
+    for n in (50, 55, 70, 100, 200):
+        passage = sentence(rng, n)
+        texts += [f"{sentence(rng, rng.randint(0, 40))} {passage} {sentence(rng, rng.randint(0, 40))}" for _ in range(40)]
+    texts += [(sentence(rng, 12) + " ") * 9, f"{texts[3]} {texts[3]}"]
+    rng.shuffle(texts)
+    assert _suffix_rows(spark, texts) == bag(_without_later_copies(list(enumerate(texts)), 50))
+
+
 def _groups(docs_rows):
     sets = []
     for r in docs_rows:
