@@ -87,6 +87,17 @@ def test_suffixes_keep_one_copy_of_a_passage_in_many_documents(spark):
     assert _suffix_rows(spark, texts) == bag(_without_later_copies(list(enumerate(texts)), 50))
 
 
+def test_suffixes_find_passages_whose_parts_stand_in_other_documents(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in (17, 20, 24) * 4:
+        a, b, c = (sentence(rng, n) for _ in range(3))
+        texts += [f"{sentence(rng, 20)} {a} {b} {c} {sentence(rng, 20)}" for _ in range(2)]
+        texts += [f"{sentence(rng, 20)} {x} {sentence(rng, 20)}" for x in [f"{a} {b}"] * 60 + [f"{b} {c}"] * 60]
+    rng.shuffle(texts)
+    assert _suffix_rows(spark, texts) == bag(_without_later_copies(list(enumerate(texts)), 50))
+
+
 def _groups(docs_rows):
     sets = []
     for r in docs_rows:
