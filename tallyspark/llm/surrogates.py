@@ -37,7 +37,12 @@ KINDS = ("email", "ip", "card", "phone", "name")
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")
-PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)")
+#: Where a phone number may begin: +country code, (area) or a bare digit; groups of digits follow.
+PHONE = re.compile(r"(?<![\w+])(?:(?:\+\d{1,3}|\(\+\d{1,3}\))[ .-]?(?:\(\d{1,5}\)[ .-]?)?|\(\d{2,5}\)[ .-]?)?(?=\d)")
+PHONE_GROUP = re.compile(r"[ .-]?(\d+)")
+PHONE_DIGITS = range(9, 16)
+#: Four groups of four digits, or a bare run of as many: where such a card number follows, a phone number ends.
+CARD_AHEAD = re.compile(r"[ .-](\d{4}([ -]?)\d{4}\2\d{4}\2\d{4})(?!\d)")
 
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Andrew Kenneth George Edward Brian Kevin Jason Jeffrey Gary Hans Pierre Carlos Klaus Jean Miguel".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Betty Sandra Ashley Dorothy Kimberly Emily Donna Michelle Carol Amanda Melissa Ursula Claire Carmen Monika Marie Lucia".split()
@@ -48,7 +53,8 @@ FAMILY_CYR = "Иванов Петров Сидоров Кузнецов Смир
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Dr": "", "Herr": "m", "Frau": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f"}
 GIVEN = {**{n: "m:lat" for n in MALE}, **{n: "f:lat" for n in FEMALE}, **{n: "m:cyr" for n in MALE_CYR}, **{n: "f:cyr" for n in FEMALE_CYR}}
 POOLS = {"m:lat": MALE, "f:lat": FEMALE, "m:cyr": MALE_CYR, "f:cyr": FEMALE_CYR}
-_CAP = r"(?:[A-Z][a-z]{2,}|[А-Я][а-я]{2,})"
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽȘȚ", "a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľłńņňōőœŕřśşšţťūůűųźżžșț"
+_CAP = rf"(?:(?:Mc|Mac|[A-Z]['’])?[{_UPPER}][{_LOWER}]{{2,}}(?:-[{_UPPER}][{_LOWER}]{{2,}})*|[А-ЯЁ][а-яё]{{2,}}(?:-[А-ЯЁ][а-яё]{{2,}})*)"
 NAME = re.compile(rf"\b(?:(?P<given>{'|'.join(GIVEN)})[ ](?P<family>{_CAP})|(?P<title>{'|'.join(TITLES)})\.?[ ](?P<family2>{_CAP}))\b")
 
 #: A span of text, its kind, and the parts of it that are mapped: (start, end, key kind, canonical form).
@@ -71,6 +77,43 @@ def _family(name: str, gender: str) -> tuple[str, str]:
     return f"family:{_script(name)}", name
 
 
+def _phone_end(text: str, head: re.Match[str]) -> int:
+    """End of the longest phone number that begins with ``head``, 0 if there is none.
+
+    Beyond the fewest digits it goes on only past the separator that it used last, and not into a card
+    number or over the most digits (11 with the country code 1), so that a number behind it stays apart.
+    """
+    bare = re.sub(r"\D", "", head[0])
+    least, most = PHONE_DIGITS[0], 11 if "+" in head[0] and bare[:1] == "1" else PHONE_DIGITS[-1]
+    # Without a code, an area in brackets or a leading zero, groups have 2 to 4 digits.
+    free = bool(bare) or text[head.end()] == "0"
+    n, at, groups, sep, end = len(bare), head.end(), int(bool(bare)), None, 0
+    while (m := PHONE_GROUP.match(text, at)) and n + len(m[1]) <= most and (free or 2 <= len(m[1]) <= 4):
+        between = text[at] if groups and at > head.end() else None
+        if end and (between != sep or (CARD_AHEAD.match(text, at) and luhn(re.sub(r"\D", "", CARD_AHEAD.match(text, at)[1])))):
+            break
+        n, at, groups, sep = n + len(m[1]), m.end(), groups + 1, between
+        if n >= least and groups > 1 and (at == len(text) or not (text[at].isalnum() or text[at] in "_-")):
+            end = at
+    return end
+
+
+def phones(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of phone numbers; after a beginning that leads to none the search goes on at the next group."""
+    at = 0
+    while head := PHONE.search(text, at):
+        if end := _phone_end(text, head):
+            yield head.start(), end
+        at = end or (head.end() if head[0] else PHONE_GROUP.match(text, head.end()).end())
+
+
+def _without(text: str, found: list[Found]) -> str:
+    """``text`` with a sign that belongs to no entity in place of every character of ``found``."""
+    for a, b, *_ in found:
+        text = f"{text[:a]}{chr(0) * (b - a)}{text[b:]}"
+    return text
+
+
 def detect(text: str) -> list[Found]:
     """Non-overlapping entities by place; an earlier kind of KINDS wins where two overlap."""
     out: list[Found] = []
@@ -83,12 +126,14 @@ def detect(text: str) -> list[Found]:
         for m in IP.finditer(text):
             if all(int(x) < 256 for x in m[0].split(".")):
                 out.append((m.start(), m.end(), "ip", [(m.start(), m.end(), "ip", m[0])]))
-        for m in CARD.finditer(text):
-            out.append((m.start(), m.end(), "card", [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0]))]))
-        for m in PHONE.finditer(text):
-            bare = re.sub(r"\D", "", m[0])
-            if 9 <= len(bare) <= 15:
-                out.append((m.start(), m.end(), "phone", [(m.start(), m.end(), "phone", bare)]))
+        # What is taken is blanked before the next kind is sought, so that no match runs on into it: phone numbers with
+        # a code or an area in brackets, then cards, then bare phone numbers.
+        left = _without(text, out)
+        marked = [(a, b) for a, b in phones(left) if text[a] in "+("]
+        out += [(a, b, "phone", [(a, b, "phone", re.sub(r"\D", "", text[a:b]))]) for a, b in marked]
+        left = _without(left, out)
+        out += (cards := [(*m.span(), "card", [(*m.span(), "card", re.sub(r"\D", "", m[0]))]) for m in CARD.finditer(left)])
+        out += [(a, b, "phone", [(a, b, "phone", re.sub(r"\D", "", text[a:b]))]) for a, b in phones(_without(left, cards))]
     for m in NAME.finditer(text):
         if m["given"]:
             gender = GIVEN[m["given"]][0]

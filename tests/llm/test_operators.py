@@ -283,6 +283,21 @@ def test_colliding_surrogates_move_on(spark):
     assert len(set(made)) == len(made) and not {m for k, m in made if k == "local"} & {"a", "b", "c", "ab"}
 
 
+def test_phone_numbers_end_where_other_numbers_begin():
+    cases = {
+        "+1 (826) 555-4081 190.137.223.204": "+1 (826) 555-4081", "+1 (826) 555-4081 2021 123456": "+1 (826) 555-4081", "07911 123456": "07911 123456",
+        "826-555-4081 190.137.223.204": "826-555-4081", "x +33 1 23 45 67 89.": "+33 1 23 45 67 89", "+49 30 123456 4111 1111 1111 1111": "+49 30 123456",
+    }
+    assert {t: " ".join(t[a:b] for a, b, k, _ in surrogates.detect(t) if k == "phone") for t in cases} == cases
+    assert [k for *_, k, _ in surrogates.detect("+1 (826) 555-4081 4111 1111 1111 1111")] == ["phone", "card"]
+    assert not surrogates.detect("+1 +2 (12 year 2021-03-04 of 12345 67890")
+
+
+def test_family_names_have_all_latin_and_cyrillic_letters():
+    text = "Hans Müller, Mr. O'Brien, Mary Smith-Jones, Dr. McDonald, Мария Семёнова"
+    assert [text[a:b] for a, b, k, _ in surrogates.detect(text)] == ["Hans Müller", "O'Brien", "Mary Smith-Jones", "McDonald", "Мария Семёнова"]
+
+
 def test_toxicity_learns_words_and_stems(spark, none):
     import random
 
