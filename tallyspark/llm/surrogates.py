@@ -9,9 +9,18 @@ number or address has one surrogate in all texts and spellings.
 
 Distinctness is checked over the whole corpus: all distinct entities are listed, two that share a
 surrogate, and a surrogate that is itself a real entity, send the later one to its next attempt,
-until nothing collides. Only entities with a later attempt have to be told to the rewriting tasks: up
+until nothing collides. Every CROWDED attempts mail parts, phone numbers and names get longer, so that
+this ends where all forms of one length are in use; IPv4 addresses and card numbers have no longer form,
+but 254**4 and at least 10**11 ones. Only entities with a later attempt have to be told to the rewriting tasks: up
 to BROADCAST_ROWS of them are shipped as a dictionary, more are joined to their texts.
 
+Detection is bounded. Phone numbers have 9 to 15 digits (11 with the country code 1), separated by single
+spaces, dots or hyphens; one without + and brackets needs two groups, of 2 to 4 digits unless it begins
+with 0. Where other digits follow, it ends at the most digits, or from 9 on at a change of separator. Persons
+are found by the given names of GIVEN or a title of TITLES before a capitalised Latin or Cyrillic family
+name of three letters or more, hyphens, Mc, Mac and O' included; other given names, lone family names
+and decomposed accents are not.
+
 Edge cases: null texts stay null and have no entities; empty texts stay empty; null or repeated doc_ids
 are handled row by row; empty tables give empty results; further columns are ignored.
 """
@@ -22,6 +31,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +41,12 @@ from .anchors import id_type, keyed, same_row
 from .common import BROADCAST_ROWS, saved
 
 KEY = b"surrogates-1"
+#: Attempts after which a surrogate gets longer, once more every so many attempts.
+CROWDED = 4
 #: Where two overlap, the earlier kind wins.
 KINDS = ("email", "ip", "card", "phone", "name")
 
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)*\.[A-Za-z]{2,}")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")
 #: Where a phone number may begin: +country code, (area) or a bare digit; groups of digits follow.
@@ -169,15 +181,19 @@ def _like(form: str, draw: Callable[[int], int]) -> str:
 def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
     """Surrogate of a canonical form, itself in canonical form."""
     draw = _stream(kind, form, attempt, key)
+    # From CROWDED attempts on the forms of this length may all be in use: surrogates get ever longer.
+    more = attempt // CROWDED
+    letters = lambda: "".join(chr(97 + draw(26)) for _ in range(more))
     if kind == "local":
-        return _like(form, draw)
+        return _like(form, draw) + letters()
     if kind == "domain":
         labels = form.split(".")
-        return ".".join([_like(x, draw) for x in labels[:-1]] + labels[-1:])
+        made = [_like(x, draw) for x in labels[:-1]]
+        return ".".join([made[0] + letters(), *made[1:], labels[-1]])
     if kind == "ip":
         return ".".join(str(1 + draw(254)) for _ in range(4))
     if kind == "phone":
-        return form[:1] + "".join(str(draw(10)) for _ in form[1:])
+        return form[:1] + "".join(str(draw(10)) for _ in range(len(form) - 1 + more))
     if kind == "card":
         body = form[0] + "".join(str(draw(10)) for _ in form[1:-1])
         good = next(d for d in "0123456789" if luhn(body + d))
@@ -185,20 +201,22 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
     script = kind.rpartition(":")[2]
     pool = POOLS[kind.removeprefix("given:")] if kind.startswith("given:") else (FAMILY_CYR if script == "cyr" else FAMILY)
     name = pool[draw(len(pool))]
-    if attempt < 4:
+    if attempt < CROWDED:
         return name
     # The pool is crowded: a composed name of the same script and ending.
     syllables = "ба ви го ду зе ки ло му но ри са ту".split() if script == "cyr" else "ba vi go du ze ki lo mu no ri sa tu".split()
-    return "".join(syllables[draw(12)] for _ in range(2 + min(attempt, 12) // 4)).capitalize() + name.lower()
+    return "".join(syllables[draw(12)] for _ in range(2 + more)).capitalize() + name.lower()
 
 
 def poured(original: str, kind: str, new: str) -> str:
     """The canonical surrogate in the layout and case of the original."""
     if kind in ("phone", "card"):
         rest = iter(new)
-        return "".join(next(rest) if c.isdigit() else c for c in original)
+        return "".join(next(rest) if c.isdigit() else c for c in original) + "".join(rest)
     if kind in ("local", "domain"):
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new, strict=True))
+        # A local part is cased as a whole, a domain label by label: the made one may be longer.
+        pairs = zip(original.split("."), new.split("."), strict=True) if kind == "domain" else [(original, new)]
+        return ".".join("".join(n.upper() if o.isupper() else n for o, n in zip_longest(old, made, fillvalue="")) for old, made in pairs)
     if kind == "family:cyr" and original[-1] == "а":
         return new + "а"
     return new

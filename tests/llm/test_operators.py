@@ -298,6 +298,18 @@ def test_family_names_have_all_latin_and_cyrillic_letters():
     assert [text[a:b] for a, b, k, _ in surrogates.detect(text)] == ["Hans Müller", "O'Brien", "Mary Smith-Jones", "McDonald", "Мария Семёнова"]
 
 
+def test_surrogates_grow_where_all_forms_are_in_use(spark):
+    from string import ascii_lowercase as az
+
+    entities = [("local", c) for c in az] + [("domain", f"{c}.com") for c in az] + [("domain", "-.com"), ("local", "x.y")]
+    later = {(r["kind"], r["form"]): r["attempt"] for r in surrogates.later_attempts(spark.createDataFrame(entities, "kind string, form string")).collect()}
+    made = [(k, surrogates.surrogate(k, f, later.get((k, f), 0))) for k, f in entities]
+    assert len(set(made)) == len(made) and not set(made) & set(entities)
+    rows = spark.createDataFrame([(i, f"{c.upper()}@{c}.COM a@-.com") for i, c in enumerate(az)], "doc_id bigint, text string")
+    texts = [r["text"] for r in surrogates.pseudonymise(rows).collect()]
+    assert len(set(texts)) == 26 and all(re.fullmatch(r"[A-Z][a-z]+@[a-z]{2,}\.COM a@-\.com", x) for x in texts)
+
+
 def test_toxicity_learns_words_and_stems(spark, none):
     import random
 
