@@ -109,7 +109,7 @@ def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(ROWS):
                 key = mix(key ^ bands[:, :, j], 31 + j)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(_signed(key.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.string()), pa.array(np.diff(first).astype(np.int64)), pa.array(_keys(value, first), pa.binary()), lists], ["id", "n", "k", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.string()), pa.array(np.diff(first).astype(np.int64)), pa.array(_keys(value, first), pa.binary()), lists, *(batch.column(c).slice(lo, hi - lo) for c in batch.schema.names[2:])], ["id", "n", "k", "bands", *batch.schema.names[2:]])
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +147,10 @@ def similar_size(a: str, b: str):
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    sketch = saved(docs.select("doc_id", "text").mapInArrow(_sketch, "id string, n bigint, k binary, bands array<bigint>"))
+def group(docs: DataFrame, text_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; with ``text_key`` also text_key, which tells apart texts that share a doc_id."""
+    keys = [F.xxhash64("text").alias("text_key")] if text_key else []
+    sketch = saved(docs.select("doc_id", "text", *keys).mapInArrow(_sketch, "id string, n bigint, k binary, bands array<bigint>" + ", text_key bigint" * text_key))
     kind = docs.schema["doc_id"].dataType
     sketch = sketch.withColumn("doc_id", F.col("id").cast(kind))
     full = sketch.where("n > 0 and id is not null")
@@ -182,17 +183,18 @@ def group(docs: DataFrame) -> DataFrame:
     named = classes.select("k", "doc").join(labels.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     lowest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = saved(named.join(lowest, "root").select("k", "component_id"))
-    out = sketch.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("k")).alias("k")).join(named, "k", "left")
+    out = sketch.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("k")).alias("k"), *["text_key"] * text_key).join(named, "k", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *["text_key"] * text_key)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, all columns; of rows that repeat a doc_id one stays."""
-    keys = saved(group(docs))
-    gone = saved(keys.where("not kept").select("doc_id").distinct())
+    """``docs`` with one document of each group, all columns; of rows that are kept under one doc_id one stays."""
+    keys = saved(group(docs, text_key=True))
+    gone = saved(keys.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
     few = gone.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    # By row, not by doc_id: another text under the doc_id of a rejected one is a document of its own.
+    out = docs.join(F.broadcast(gone) if few else gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
     repeated = keys.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return out

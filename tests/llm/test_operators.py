@@ -133,6 +133,14 @@ def test_near_duplicates_are_the_exact_components(docs, docs_rows, none):
     assert set(ids) == {g[0] for g in _groups(docs_rows) if g[3]}
 
 
+def test_a_rejected_text_takes_no_other_text_of_its_doc_id_along(spark):
+    rng = random.Random(13)
+    copied, other = sentence(rng, 50), sentence(rng, 50)
+    rows = spark.createDataFrame([(1, copied, "_id"), (2, copied, "_id"), (2, other, "_id"), (None, other, None)], "doc_id bigint, text string, _key string")
+    kept = neardup.dedup(rows)
+    assert kept.columns == rows.columns and bag(kept.select("doc_id", "text").collect()) == bag([(1, copied), (2, other), (None, other)])
+
+
 def test_a_chain_of_near_copies_is_one_component(spark):
     text = [f"w{i}" for i in range(60)]
     chain = []
