@@ -1,8 +1,11 @@
-"""Substring dedup by a relative Lempel-Ziv parse over content-defined phrases.
+"""Substring dedup by counts of content-defined phrases and windows.
+
+There is no greedy Lempel-Ziv parse and there are no reference blocks: which windows are repeated does
+not depend on how a parse cuts the text. "Factor" below names a phrase that also occurs elsewhere.
 
 The reference is the whole corpus: every text is cut at its anchors (see ``anchors``) into phrases,
-the words of all windows that select one anchor, and phrases are looked up, block by block, in the
-index of all phrases of all texts (a join, partitioned by hash). A phrase that also occurs elsewhere
+the words of all windows that select one anchor, and phrases are looked up in the counts
+of all phrases of all texts (a join, partitioned by hash). A phrase that also occurs elsewhere
 is a factor: all windows in it are repeated, and adjacent factors run on into longer ones. Where a
 factor ends the reference still knows the anchor but not the phrase; there the windows are looked
 up one by one, which settles the words at factor boundaries exactly. Everywhere else nothing is
