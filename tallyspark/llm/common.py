@@ -17,9 +17,15 @@ BROADCAST_ROWS = 20_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is configured (tests)."""
+    """Keep the cluster's shared checkpoint folder; set one only where none is configured and the session is local (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -32,7 +38,16 @@ def saved(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete saved tables that everything built on them has been read from; what is derived from a table is no table."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.__dict__.pop("_saved_at"))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hinted(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

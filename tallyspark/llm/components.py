@@ -2,7 +2,8 @@
 
 Every round hooks each root to its smallest neighbour, shortens the chains by pointer jumping, and
 replaces the ends of all edges by their roots. Nothing is gathered on the driver; each round is saved
-to the checkpoint folder. A root has at least one edge, so at least half the roots go in a round.
+to the checkpoint folder and its tables go once the next one has read them. A root has at least one
+edge, so at least half the roots go in a round.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b); root is the smallest node of the component."""
+    """(node, root) of every node of ``edges`` (a, b), saved; root is the smallest node of the component."""
     live = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not live.isEmpty():
@@ -23,14 +24,18 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             step = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
             jumped = saved(hook.join(step, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-            hook = jumped.select("node", "to")
+            drop(hook)
+            hook = jumped
             if jumped.where("moved").isEmpty():
                 break
-        if labels is None:
-            labels = hook.select("node", F.col("to").alias("root"))
-        else:
-            up = hook.select(F.col("node").alias("root"), "to")
-            labels = saved(labels.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        up = hook.select(F.col("node").alias("root"), "to")
+        found = hook.select("node", F.col("to").alias("root")) if labels is None else labels.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        found, old = saved(found), labels
         ends = live.join(hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        live = saved(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        rest = saved(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        drop(live, hook, *([old] if old is not None else []))
+        labels, live = found, rest
+    if labels is None:
+        return saved(live.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    drop(live)
+    return labels

@@ -1,20 +1,32 @@
 r"""Near-duplicate documents by SuperMinHash, banding, exact verification and union of roots.
 
-A document's set is its distinct 2-word shingles. Documents with equal sets form a class, which a
-128-bit key of the set names, so that groups of copies are one row before any bucket is built. Each
-class has a SuperMinHash signature: an element's ranks at the places of the signature come from one
+A document's set is its distinct shingles of ``shingle`` words. Documents with equal sets form a class,
+which a 128-bit key of the set names, so that groups of copies are one row before any bucket is built.
+Each class has a SuperMinHash signature: an element's ranks at the places of the signature come from one
 random permutation per element (correlated, without repetition), taken level by level; a text is done
 as soon as its largest value is below the next level. BANDS bands of ROWS values each are bucket keys:
 a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**6)**48, below 5e-7.
 
-Buckets never list all their pairs. Members are first verified against the bucket's smallest member,
-then only pairs between components that are still apart are verified, until no bucket has
-untested pairs across components. Links are confirmed on the full sets.
-
-Edge cases: texts without words have an empty set and stay alone; a null doc_id cannot be named, so
-such rows stay alone with a null component and are kept; repeated rows share a class; documents that
-share a doc_id but not a text are in their own classes; an empty table gives an empty result; further
-columns are ignored.
+Buckets never list all their pairs. First every class is verified against the pivot it meets most often
+(the pivot of a bucket is its member with the largest buckets, so one hub serves a whole group of copies).
+What then matters are buckets that hold more than one component:
+
+* one with few pairs for its members (PAIRS_EACH each) lists those across components;
+* a larger one is centred on a pivot c again: each member x is verified against c and represented by its
+  difference from c, D(x) = x without c, then c without x. Two sets are similar enough if and only if
+  9 * |x ^ y| <= |x| + |y|, so their differences must share at least
+  (9 |D(x)| - |x| + 9 |D(y)| - |y|) / 18 elements. That is above 0 unless both are linked with c, so the
+  first |D| - overlap + 1 elements of D, in one order for all, are buckets of the next level (prefix
+  filter), in which c itself no longer is. Copies of one text differ from it at places of their
+  own, so these buckets are small.
+
+This is repeated until no bucket holds two components. Nothing but the bands is approximate, links are
+confirmed on full sets, and a level writes rows in proportion to its members and their differences.
+
+Edge cases: texts without words have an empty set and stay alone; a null doc_id cannot be named, so for
+``group`` such rows stay alone with a null component and are kept, while ``dedup`` treats them like others;
+repeated rows share a class; documents that share a doc_id but not a text are in their own classes; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .anchors import id_type
+from .common import drop, saved
 from .components import components
 from .wordhash import batches, grams, mix, words
 
-SHINGLE = 2
-PERCENT = 80
+#: Words of a shingle: of the query by its contract, and of everything else.
+QUERY_SHINGLE, SHINGLE = 2, 5
 BANDS, ROWS = 48, 6
 SIGNATURE = BANDS * ROWS
-#: Classes (24 bytes each) up to which the list of texts to verify is broadcast; above it is joined by shuffle.
-BROADCAST_CLASSES = 200_000
+#: Pairs for each member that a bucket may list; one that has more is centred on a pivot.
+PAIRS_EACH = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tup
     value, owner = pairs[whole], text[whole]
     if len(short):
         # A text of fewer words than a shingle is one shingle; its length keeps it apart from longer ones.
-        acc = [np.bitwise_xor.reduce(mix(hashes[first[i] : first[i + 1]], 11)) for i in short]
+        acc = [np.bitwise_xor.reduce(mix(hashes[first[i] : first[i + 1]] ^ mix(np.arange(count[i], dtype=np.uint64), 12), 11)) for i in short]
         value, owner = np.concatenate([value, mix(np.array(acc, np.uint64), 13)]), np.concatenate([owner, short])
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
@@ -100,106 +113,200 @@ def _keys(value: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [raw[i * 16 : i * 16 + 16] if first[i + 1] > first[i] else b"" for i in range(len(first) - 1)]
 
 
-def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for lo, hi, data, offsets in batches(batch.column("text")):
-            value, first = shingle_sets(data, offsets)
-            bands = super_minhash(value, first).reshape(hi - lo, BANDS, ROWS)
-            key = np.full((hi - lo, BANDS), 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for j in range(ROWS):
-                key = mix(key ^ bands[:, :, j], 31 + j)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(_signed(key.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.string()), pa.array(np.diff(first).astype(np.int64)), pa.array(_keys(value, first), pa.binary()), lists, *(batch.column(c).slice(lo, hi - lo) for c in batch.schema.names[2:])], ["id", "n", "k", "bands", *batch.schema.names[2:]])
-
-
-def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        wanted = batch.column("k").to_pylist()
-        for lo, hi, data, offsets in batches(batch.column("text")):
-            value, first = shingle_sets(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(_signed(value)))
-            ok = pa.array([a == b for a, b in zip(_keys(value, first), wanted[lo:hi], strict=True)])
-            out = pa.RecordBatch.from_arrays([pa.array(wanted[lo:hi], pa.binary()), lists], ["k", "s"])
-            yield out.filter(ok)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class keys whose full sets are similar enough."""
-    need = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    need = saved(need.join(classes.select("k", "doc"), "k"))
-    few = need.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(need) if few else need, "doc")
-    sets = texts.select("k", "text").mapInArrow(_sets, "k binary, s array<bigint>").dropDuplicates(["k"])
-    sets = saved(sets)
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("common") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends have different components under ``labels`` (node, root)."""
-    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("root").alias(name))
-    known = pairs.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
-    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def similar_size(a: str, b: str):
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
-
-
-def group(docs: DataFrame, text_key: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; with ``text_key`` also text_key, which tells apart texts that share a doc_id."""
-    keys = [F.xxhash64("text").alias("text_key")] if text_key else []
-    sketch = saved(docs.select("doc_id", "text", *keys).mapInArrow(_sketch, "id string, n bigint, k binary, bands array<bigint>" + ", text_key bigint" * text_key))
-    kind = docs.schema["doc_id"].dataType
-    sketch = sketch.withColumn("doc_id", F.col("id").cast(kind))
-    full = sketch.where("n > 0 and id is not null")
-    classes = saved(full.groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max_by("bands", "n").alias("bands")))
-    rows = classes.select("k", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("k", "n")).alias("pivot")).where("size > 1")
-    members = saved(rows.join(saved(shared), "bucket").select("bucket", "k", "n", F.col("pivot.k").alias("pivot"), F.col("pivot.n").alias("pn")))
-    star = members.where((F.col("k") != F.col("pivot")) & similar_size("n", "pn")).groupBy(F.col("pivot").alias("a"), F.col("k").alias("b")).agg(F.count("*").alias("times"))
-    star = saved(star)
-    # Round 1: every member against the pivot it meets most often.
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    tested = best
-    edges = saved(_verified(saved(best), docs, classes))
-    labels = components(edges)
-    # Round 2: the other pivots that are still in another component.
-    more = saved(_apart(star.select("a", "b"), labels).join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        edges = saved(edges.unionByName(_verified(more, docs, classes)))
-        labels = components(edges)
-    # Round 3: all remaining pairs across components, bucket by bucket.
-    rooted = members.join(labels.select(F.col("node").alias("k"), "root"), "k", "left").select("bucket", "k", "n", F.coalesce("root", "k").alias("root"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    left = saved(rooted.join(split, "bucket"))
-    x, y = (left.select("bucket", F.col("k").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in ("a", "b"))
-    rest = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & similar_size("na", "nb")).select("a", "b").distinct()
-    rest = saved(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        edges = saved(edges.unionByName(_verified(rest, docs, classes)))
-        labels = components(edges)
-    named = classes.select("k", "doc").join(labels.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    lowest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = saved(named.join(lowest, "root").select("k", "component_id"))
-    out = sketch.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("k")).alias("k"), *["text_key"] * text_key).join(named, "k", "left")
+def _sketch(shingle: int):
+    """mapInArrow function over (doc_id, t, text): n, the set's key and the band keys in place of the text."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for lo, hi, data, offsets in batches(batch.column("text")):
+                value, first = shingle_sets(data, offsets, shingle)
+                bands = super_minhash(value, first).reshape(hi - lo, BANDS, ROWS)
+                key = np.full((hi - lo, BANDS), 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+                for j in range(ROWS):
+                    key = mix(key ^ bands[:, :, j], 31 + j)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(_signed(key.reshape(-1))))
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "t")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first).astype(np.int64)), pa.array(_keys(value, first), pa.binary()), lists], ["doc_id", "t", "n", "k", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    """mapInArrow function over (k, text): the sorted shingle hashes of each text whose set has the key k."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            wanted = batch.column("k").to_pylist()
+            for lo, hi, data, offsets in batches(batch.column("text")):
+                value, first = shingle_sets(data, offsets, shingle)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(_signed(value)))
+                ok = pa.array([a == b for a, b in zip(_keys(value, first), wanted[lo:hi], strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[lo:hi], pa.binary()), lists], ["k", "s"]).filter(ok)
+
+    return run
+
+
+def _linked(a: str, b: str, common: str) -> Column:
+    """Whether sets of ``a`` and ``b`` elements with ``common`` ones are at a similarity of 0.8 or more."""
+    return 9 * F.col(common) >= 4 * (F.col(a) + F.col(b))
+
+
+def _similar_size(a: str, b: str) -> Column:
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) with their full sets sa and sb and the number of common elements."""
+    end = lambda name: sets.select(F.col("k").alias(name), F.col("s").alias(f"s{name}"), F.size("s").alias(f"n{name}"))
+    return pairs.join(end("b"), "b").join(end("a"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, k, n, side, far) of buckets that hold several components, with their root and whether the bucket is wide.
+
+    side 0 stands for any member; in a bucket of sides 1 and 2 only pairs of one with the other count.
+    """
+    rooted = members.join(labels.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    rooted = saved(rooted)
+    size = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *[F.count_if(F.col("side") == i).alias(f"m{i}") for i in range(3)]).where("lo <> hi and (m0 > 1 or m1 * m2 > 0)")
+    size = saved(size.select("bucket", (F.col("m0") + F.col("m1") + F.col("m2")).alias("size"), (F.col("m0") * (F.col("m0") - 1) / 2 + F.col("m1") * F.col("m2")).alias("pairs")))
+    out = saved(rooted.join(size, "bucket").withColumn("wide", F.col("pairs") > PAIRS_EACH * F.col("size")).drop("pairs"))
+    drop(rooted, size)
+    return out
+
+
+def _listed(few: DataFrame) -> DataFrame:
+    """Pairs (a, b) across the components of buckets that are not wide, as far as sizes and distances from a shared centre allow."""
+    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "side", "far", "root")]) for i in (1, 2))
+    sides = ((F.col("side1") == 0) & (F.col("k1") < F.col("k2"))) | ((F.col("side1") == 1) & (F.col("side2") == 2))
+    near = F.coalesce(9 * F.abs(F.col("far1") - F.col("far2")) <= F.col("n1") + F.col("n2"), F.lit(True))
+    return x.join(y, "bucket").where(sides & (F.col("root1") != F.col("root2")) & _similar_size("n1", "n2") & near).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """(bucket, pivot, pn): the member whose buckets are the largest, from members (bucket, k, n, size)."""
+    whole = members.groupBy("k").agg(F.sum("size").alias("degree"), F.collect_list("bucket").alias("buckets"), F.max("n").alias("n"))  # a class has as many rows as it has bands or prefix elements
+    return whole.select("k", "n", "degree", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("degree", "k", "n")).alias("top")).select("bucket", F.col("top.k").alias("pivot"), F.col("top.n").alias("pn"))
+
+
+def _centred(wide: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, linked, d): members b of wide buckets against their pivots a, with the difference d of b from a."""
+    pivots = saved(_pivots(wide))
+    pairs = saved(wide.join(pivots, "bucket").where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct())
+    both = _compared(pairs, sets)
+    out = saved(both.select("a", "b", "na", "nb", _linked("na", "nb", "common").alias("linked"), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("d")))
+    drop(pivots, pairs)
+    return out
+
+
+def _deeper(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the next level: of every centre whose members are still in several components, prefixes of the differences."""
+    rooted = stars.select("a", "b", "nb", "linked").join(labels.select(F.col("node").alias("b"), "root"), "b", "left")
+    groups = rooted.groupBy("a").agg(F.min(F.coalesce("root", "b")).alias("lo"), F.max(F.coalesce("root", "b")).alias("hi"), F.max(F.when(F.col("linked"), F.col("nb"))).alias("most")).where("lo <> hi")
+    groups = saved(groups.select("a", "most"))
+    far = F.size("d")
+    # Overlaps that a partner not linked with the centre asks for, and that a linked one does (it has at most ``most`` elements).
+    beyond = F.greatest(F.lit(1), F.ceil((9 * far - F.col("nb") + F.col("na") + 1) / 18))
+    within = F.greatest(F.lit(1), F.ceil((9 * far - F.col("nb") - F.least(F.floor(5 * F.col("nb") / 4), F.col("most"))) / 9))
+    prefix = lambda overlap: F.slice("d", F.lit(1), F.greatest(F.lit(0), far - overlap + 1).cast("int"))
+    other = F.when(~F.col("linked"), F.struct(F.lit(0).alias("side"), prefix(beyond).alias("e")))
+    near = F.when(F.col("linked"), F.struct(F.lit(2).alias("side"), prefix(beyond).alias("e"))).when(F.col("most").isNotNull(), F.struct(F.lit(1).alias("side"), prefix(within).alias("e")))
+    parts = stars.join(groups, "a").select("a", F.col("b").alias("k"), F.col("nb").alias("n"), far.alias("far"), F.explode(F.array_compact(F.array(other, near))).alias("part"))
+    parts = parts.select("a", "k", "n", "far", "part.side", F.explode("part.e").alias("e"))
+    # Buckets of pairs beyond the centre's reach and of those across it are kept apart by one byte.
+    kind = F.when(F.col("side") == 0, F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
+    out = saved(parts.select(F.concat(kind, F.unhex(F.lpad(F.hex("e"), 16, "0")), "a").alias("bucket"), "k", "n", "side", "far"))
+    drop(groups)
+    return out
+
+
+def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved tables: rows (doc_id, t, n, k), classes (k, rep) and their components (node, root).
+
+    t is the text's 128-bit digest, k the class (null without words, and with ``named`` without a doc_id), rep the
+    least (is the id null, doc_id, t) of a class. Classes without any link have no component.
+    """
+    texts = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("t"), "text")
+    sketch = saved(texts.mapInArrow(_sketch(shingle), f"doc_id {id_type(docs)}, t binary, n bigint, k binary, bands array<bigint>"))
+    used = (F.col("n") > 0) & (F.col("doc_id").isNotNull() | F.lit(not named))
+    rows = saved(sketch.select("doc_id", "t", "n", F.when(used, F.col("k")).alias("k")))
+    rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t")
+    whole = saved(sketch.where(used).groupBy("k").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.max_by("bands", "n").alias("bands")))
+    drop(sketch)
+    classes = saved(whole.select("k", "rep"))
+    banded = whole.select("k", "n", F.explode("bands").alias("bucket"))
+    shared = saved(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    members = saved(banded.join(shared, "bucket").select(F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("bucket"), "k", "n", "size"))
+    drop(whole, shared)
+    need = saved(members.select("k").distinct().join(classes, "k"))
+    sets = texts.join(need.select("k", "rep"), texts["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (texts["t"] == F.col("rep.t")))
+    sets = saved(sets.select("k", "text").mapInArrow(_sets(shingle), "k binary, s array<bigint>").dropDuplicates(["k"]))
+    drop(need)
+    # Every class against the pivot that it meets most often.
+    pivots = saved(_pivots(members))
+    star = members.join(pivots, "bucket").where((F.col("k") != F.col("pivot")) & _similar_size("n", "pn")).groupBy(F.col("pivot").alias("a"), F.col("k").alias("b")).agg(F.count("*").alias("times"))
+    best = saved(star.groupBy("b").agg(F.max(F.struct("times", "a")).alias("most")).select(F.col("most.a").alias("a"), "b"))
+    drop(pivots)
+    edges = [saved(_compared(best, sets).where(_linked("na", "nb", "common")).select("a", "b"))]
+    drop(best)
+    labels = components(edges[0])
+    members_at = members.select("bucket", "k", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("far"))
+    while True:
+        apart = _apart(members_at, labels)
+        drop(members)
+        if apart.isEmpty():
+            drop(apart)
+            break
+        listed = saved(_listed(apart.where("not wide")))
+        edges.append(saved(_compared(listed, sets).where(_linked("na", "nb", "common")).select("a", "b")))
+        stars = _centred(apart.where("wide"), sets)
+        edges.append(saved(stars.where("linked").select("a", "b")))
+        drop(apart, listed)
+        every = edges[0]
+        for more in edges[1:]:
+            every = every.unionByName(more)
+        drop(labels)
+        labels = components(every)
+        members = members_at = _deeper(stars, labels)
+        drop(stars)
+    drop(sets, *edges)
+    return rows, classes, labels
+
+
+def group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows, classes, labels = link(docs, shingle, named=True)
+    rooted = classes.select("k", F.col("rep.doc_id").alias("doc")).join(labels.select(F.col("node").alias("k"), "root"), "k")
+    lowest = saved(rooted.groupBy("root").agg(F.min("doc").alias("component_id")))
+    # Only classes of more than one row or with links can have another component than the row's own id.
+    alone = classes.join(labels.select(F.col("node").alias("k")), "k", "left_anti").select("k", F.col("rep.doc_id").alias("component_id"))
+    named = saved(rooted.join(lowest, "root").select("k", "component_id").unionByName(alone))
+    drop(classes, labels, lowest)
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *["text_key"] * text_key)
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, all columns; of rows that are kept under one doc_id one stays."""
-    keys = saved(group(docs, text_key=True))
-    gone = saved(keys.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    few = gone.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    # By row, not by doc_id: another text under the doc_id of a rejected one is a document of its own.
-    out = docs.join(F.broadcast(gone) if few else gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
-    repeated = keys.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return rows.join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group, all columns: the one with the least doc_id (null last), then text digest.
+
+    Of rows equal in doc_id and text one stays, whichever; rows without words all stay.
+    """
+    rows, classes, labels = link(docs, shingle)
+    rooted = saved(classes.join(labels.select(F.col("node").alias("k"), "root"), "k", "left").select("k", "rep", F.coalesce("root", "k").alias("root")))
+    first = saved(rooted.groupBy("root").agg(F.min("rep").alias("first")))
+    of_class = saved(rooted.join(first, "root").select("k", "first"))
+    judged = saved(rows.where("k is not null").join(of_class, "k").select("doc_id", "t", (F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t") == F.col("first")).alias("stays")))
+    drop(rows, classes, labels, rooted, first, of_class)
+    gone = saved(judged.where("not stays").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct())
+    again = saved(judged.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count().where("count > 1").select("_id", "_t"))
+    drop(judged)
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_digest"))
+    same = lambda keys: packed["_doc_id"].eqNullSafe(keys["_id"]) & (packed["_digest"] == keys["_t"])
+    once = packed.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        once = once.join(again, same(again), "left_anti").unionByName(packed.join(again, same(again), "left_semi").dropDuplicates(["_doc_id", "_digest"]))
+    return once.select("_doc.*")
 
 
 def op10_neardup(spark, sf_dir: str) -> DataFrame:
-    return group(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return group(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_SHINGLE)

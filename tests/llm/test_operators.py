@@ -98,11 +98,14 @@ def test_suffixes_find_passages_whose_parts_stand_in_other_documents(spark):
     assert _suffix_rows(spark, texts) == bag(_without_later_copies(list(enumerate(texts)), 50))
 
 
-def _groups(docs_rows):
-    sets = []
+def _sets(docs_rows, shingle):
     for r in docs_rows:
         w = words(lower(r[1] or ""))
-        sets.append(frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset([tuple(w)] if w else []))
+        yield frozenset(tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+
+
+def _roots(sets, among):
+    """Root of each index of ``among`` under links of similarity 0.8 or more, by brute force."""
     root = list(range(len(sets)))
 
     def find(x):
@@ -110,35 +113,53 @@ def _groups(docs_rows):
             x = root[x]
         return x
 
-    named = [i for i, r in enumerate(docs_rows) if r[0] is not None and sets[i]]
-    for i in named:
-        for j in named:
+    for i in among:
+        for j in among:
             if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+    return {i: find(i) for i in among}
+
+
+def _groups(docs_rows, shingle=2):
+    sets = list(_sets(docs_rows, shingle))
+    root = _roots(sets, [i for i, r in enumerate(docs_rows) if r[0] is not None and sets[i]])
     least = {}
-    for i in named:
-        least[find(i)] = min(least.get(find(i), docs_rows[i][0]), docs_rows[i][0])
+    for i, x in root.items():
+        least[x] = min(least.get(x, docs_rows[i][0]), docs_rows[i][0])
     for i, r in enumerate(docs_rows):
-        component = least[find(i)] if i in named else r[0]
+        component = least[root[i]] if i in root else r[0]
         yield (r[0], len(sets[i]), component, r[0] == component if r[0] is not None else True)
 
 
-def test_near_duplicates_are_the_exact_components(docs, docs_rows, none):
-    assert bag(neardup.group(docs).collect()) == bag(_groups(docs_rows))
+@pytest.mark.parametrize("shingle", [2, 5])
+def test_near_duplicates_are_the_exact_components(docs, docs_rows, none, shingle):
+    assert bag(neardup.group(docs, shingle).collect()) == bag(_groups(docs_rows, shingle))
     assert neardup.group(none).count() == 0
-    kept = neardup.dedup(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and None in ids
-    assert set(ids) == {g[0] for g in _groups(docs_rows) if g[3]}
+
+
+@pytest.mark.parametrize("shingle", [2, 5])
+def test_dedup_keeps_one_row_of_each_group_whatever_its_id(docs, docs_rows, none, shingle):
+    kept = neardup.dedup(docs, shingle)
+    assert kept.columns == docs.columns and neardup.dedup(none).count() == 0
+    sets = list(_sets(docs_rows, shingle))
+    root = _roots(sets, [i for i, s in enumerate(sets) if s])
+    digest = lambda t: hashlib.md5((t or "").encode()).digest()
+    first = {}
+    for i, x in root.items():
+        key = (docs_rows[i][0] is None, docs_rows[i][0] or 0, digest(docs_rows[i][1]))
+        if x not in first or key < first[x][0]:
+            first[x] = (key, docs_rows[i])
+    want = [r[:2] for _, r in first.values()] + [r[:2] for r, s in zip(docs_rows, sets, strict=True) if not s]
+    assert bag(kept.select("doc_id", "text").collect()) == bag(want)
 
 
 def test_a_rejected_text_takes_no_other_text_of_its_doc_id_along(spark):
     rng = random.Random(13)
-    copied, other = sentence(rng, 50), sentence(rng, 50)
-    rows = spark.createDataFrame([(1, copied, "_id"), (2, copied, "_id"), (2, other, "_id"), (None, other, None)], "doc_id bigint, text string, _key string")
+    copied, other, third = sentence(rng, 50), sentence(rng, 50), sentence(rng, 50)
+    rows = spark.createDataFrame([(1, copied, "_id"), (2, copied, "_id"), (2, other, "_id"), (2, third, "_doc"), (None, other, None), (None, None, None)], "doc_id bigint, text string, _key string")
     kept = neardup.dedup(rows)
-    assert kept.columns == rows.columns and bag(kept.select("doc_id", "text").collect()) == bag([(1, copied), (2, other), (None, other)])
+    assert kept.columns == rows.columns and bag(kept.select("doc_id", "text").collect()) == bag([(1, copied), (2, other), (2, third), (None, None)])
+    assert bag(kept.where("doc_id is not null").select("doc_id", "text").collect()) == bag([(1, copied), (2, other), (2, third)])
 
 
 def test_a_chain_of_near_copies_is_one_component(spark):
@@ -147,11 +168,32 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     for k in range(12):
         text[5 * k % 60] = f"new{k}"
         chain.append((100 - k, " ".join(text)))
-    rows = neardup.group(spark.createDataFrame(chain, "doc_id bigint, text string")).collect()
+    rows = neardup.group(spark.createDataFrame(chain, "doc_id bigint, text string"), 2).collect()
     assert {tuple(r) for r in rows} == set(_groups(chain))
     assert {r["component_id"] for r in rows} == {89}
 
 
+def test_wide_buckets_lose_no_link(spark):
+    """Copies of one text at all distances around the threshold, some of them with copies of their own, and cut ones."""
+    rng = random.Random(17)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 99)) for _ in range(120)]
+
+    def changed(w, n):
+        w = list(w)
+        for i in rng.sample(range(len(w)), n):
+            w[i] = rng.choice(base) if rng.random() < 0.3 else f"n{rng.randint(0, 400)}"
+        return w
+
+    texts = [changed(base, rng.randint(0, 16)) for _ in range(200)]
+    texts += [changed(t, rng.randint(1, 5)) for t in [changed(base, 14) for _ in range(8)] for _ in range(12)]
+    texts += [base[: rng.randint(80, 120)] for _ in range(20)] + [base[rng.randint(0, 40) :] for _ in range(20)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = neardup.group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 2)
+    want = bag(_groups(rows))
+    assert 5 < len({r[2] for r in want}) < 300 and bag(got.collect()) == want
+
+
 def test_decontamination_counts_words_under_windows(spark, docs, docs_rows, none):
     items = [(1, docs_rows[2][1]), (2, "zzz " + " ".join(words(docs_rows[6][1])[3:16]).upper()), (3, None), (4, "--"), (5, "one two"), (None, docs_rows[2][1]), (7, "changed"), (1, "one two")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
