@@ -11,14 +11,15 @@ Buckets never list all their pairs. First every class is verified against the pi
 (the pivot of a bucket is its member with the largest buckets, so one hub serves a whole group of copies).
 What then matters are buckets that hold more than one component:
 
-* one with few pairs for its members (PAIRS_EACH each) lists those across components;
+* one with few pairs for its members (PAIRS_EACH, then DEEP_PAIRS_EACH each) lists those across components;
 * a larger one is centred on a pivot c again: each member x is verified against c and represented by its
   difference from c, D(x) = x without c, then c without x. Two sets are similar enough if and only if
   9 * |x ^ y| <= |x| + |y|, so their differences must share at least
   (9 |D(x)| - |x| + 9 |D(y)| - |y|) / 18 elements. That is above 0 unless both are linked with c, so the
   first |D| - overlap + 1 elements of D, in one order for all, are buckets of the next level (prefix
   filter), in which c itself no longer is. Copies of one text differ from it at places of their
-  own, so these buckets are small.
+  own, so these buckets are small, and two copies are compared only if enough of their differences can
+  follow the element that they share (positional filter).
 
 This is repeated until no bucket holds two components. Nothing but the bands is approximate, links are
 confirmed on full sets, and a level writes rows in proportion to its members and their differences.
@@ -47,8 +48,8 @@ from .wordhash import batches, grams, mix, words
 QUERY_SHINGLE, SHINGLE = 2, 5
 BANDS, ROWS = 48, 6
 SIGNATURE = BANDS * ROWS
-#: Pairs for each member that a bucket may list; one that has more is centred on a pivot.
-PAIRS_EACH = 8
+#: Pairs for each member that a bucket of bands, and one of differences, may look at; one that has more is centred on a pivot.
+PAIRS_EACH, DEEP_PAIRS_EACH = 8, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +162,8 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(end("b"), "b").join(end("a"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, k, n, side, far) of buckets that hold several components, with their root and whether the bucket is wide.
+def _apart(members: DataFrame, labels: DataFrame, each: int) -> DataFrame:
+    """Members (bucket, k, n, side, far, pos) of buckets that hold several components, with their root and whether the bucket is wide.
 
     side 0 stands for any member; in a bucket of sides 1 and 2 only pairs of one with the other count.
     """
@@ -170,16 +171,21 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     rooted = saved(rooted)
     size = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *[F.count_if(F.col("side") == i).alias(f"m{i}") for i in range(3)]).where("lo <> hi and (m0 > 1 or m1 * m2 > 0)")
     size = saved(size.select("bucket", (F.col("m0") + F.col("m1") + F.col("m2")).alias("size"), (F.col("m0") * (F.col("m0") - 1) / 2 + F.col("m1") * F.col("m2")).alias("pairs")))
-    out = saved(rooted.join(size, "bucket").withColumn("wide", F.col("pairs") > PAIRS_EACH * F.col("size")).drop("pairs"))
+    out = saved(rooted.join(size, "bucket").withColumn("wide", F.col("pairs") > each * F.col("size")).drop("pairs"))
     drop(rooted, size)
     return out
 
 
 def _listed(few: DataFrame) -> DataFrame:
-    """Pairs (a, b) across the components of buckets that are not wide, as far as sizes and distances from a shared centre allow."""
-    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "side", "far", "root")]) for i in (1, 2))
+    """Pairs (a, b) across the components of buckets that are not wide, as far as sizes and distances from a shared centre allow.
+
+    far and pos, where there is a centre, are the size of the difference from it and the place of the bucket's element in it:
+    what follows the first common element has to be enough for the overlap that the pair needs.
+    """
+    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "side", "far", "pos", "root")]) for i in (1, 2))
     sides = ((F.col("side1") == 0) & (F.col("k1") < F.col("k2"))) | ((F.col("side1") == 1) & (F.col("side2") == 2))
-    near = F.coalesce(9 * F.abs(F.col("far1") - F.col("far2")) <= F.col("n1") + F.col("n2"), F.lit(True))
+    enough = 18 * F.least(F.col("far1") - F.col("pos1"), F.col("far2") - F.col("pos2")) >= 9 * (F.col("far1") + F.col("far2")) - F.col("n1") - F.col("n2")
+    near = F.coalesce((9 * F.abs(F.col("far1") - F.col("far2")) <= F.col("n1") + F.col("n2")) & enough, F.lit(True))
     return x.join(y, "bucket").where(sides & (F.col("root1") != F.col("root2")) & _similar_size("n1", "n2") & near).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 
 
@@ -212,10 +218,10 @@ def _deeper(stars: DataFrame, labels: DataFrame) -> DataFrame:
     other = F.when(~F.col("linked"), F.struct(F.lit(0).alias("side"), prefix(beyond).alias("e")))
     near = F.when(F.col("linked"), F.struct(F.lit(2).alias("side"), prefix(beyond).alias("e"))).when(F.col("most").isNotNull(), F.struct(F.lit(1).alias("side"), prefix(within).alias("e")))
     parts = stars.join(groups, "a").select("a", F.col("b").alias("k"), F.col("nb").alias("n"), far.alias("far"), F.explode(F.array_compact(F.array(other, near))).alias("part"))
-    parts = parts.select("a", "k", "n", "far", "part.side", F.explode("part.e").alias("e"))
+    parts = parts.select("a", "k", "n", "far", "part.side", F.posexplode("part.e").alias("pos", "e"))
     # Buckets of pairs beyond the centre's reach and of those across it are kept apart by one byte.
     kind = F.when(F.col("side") == 0, F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
-    out = saved(parts.select(F.concat(kind, F.unhex(F.lpad(F.hex("e"), 16, "0")), "a").alias("bucket"), "k", "n", "side", "far"))
+    out = saved(parts.select(F.concat(kind, F.unhex(F.lpad(F.hex("e"), 16, "0")), "a").alias("bucket"), "k", "n", "side", "far", "pos"))
     drop(groups)
     return out
 
@@ -250,9 +256,10 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
     edges = [saved(_compared(best, sets).where(_linked("na", "nb", "common")).select("a", "b"))]
     drop(best)
     labels = components(edges[0])
-    members_at = members.select("bucket", "k", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("far"))
+    members_at = members.select("bucket", "k", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("pos"))
+    each = PAIRS_EACH
     while True:
-        apart = _apart(members_at, labels)
+        apart = _apart(members_at, labels, each)
         drop(members)
         if apart.isEmpty():
             drop(apart)
@@ -268,6 +275,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
         drop(labels)
         labels = components(every)
         members = members_at = _deeper(stars, labels)
+        each = DEEP_PAIRS_EACH
         drop(stars)
     drop(sets, *edges)
     return rows, classes, labels
