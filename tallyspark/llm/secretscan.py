@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import let, text_of
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "random")
@@ -36,28 +36,39 @@ SAMPLE_TOKENS, SAMPLE_DOCS = 10_000, 200
 HOLDOUT_QUANTILE = 0.9995
 MASK = "[SECRET]"
 
+CHUNK = 256
+
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _spans(text: Column, found: Column, pattern: str, kind: int) -> Column:
-    """(start, kind, end) of each match; ``found`` are the matches themselves, the gaps come from a split."""
-    gaps = F.split(text, pattern, -1)
+    """(start, kind, end) of each match; ``found`` are the matches themselves, the gaps come from a split.
+
+    Offsets add up in chunks of CHUNK matches, as a list that grows by one is copied each time.
+    """
+    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("own")))
 
-    def add(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.get(gaps_col, i))
-        end = start + F.length(F.get(found, i))
+    def add(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        end = start + x["own"]
         return F.struct(end.alias("at"), F.array_append(a["s"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("s"))
 
-    gaps_col = gaps
-    index = F.sequence(F.lit(0), F.size(found) - 1)
-    folded = F.aggregate(index, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("s")), add)["s"]
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(_SPAN))
+    def chunk(a: Column, part: Column) -> Column:
+        return let(
+            F.aggregate(part, F.struct(a["at"].alias("at"), F.array().cast(_SPAN).alias("s")), add),
+            lambda done: F.struct(done["at"].alias("at"), F.array_append(a["parts"], done["s"]).alias("parts")),
+        )
+
+    # The last gap has no match behind it.
+    chunks = let(lengths, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_, i * CHUNK + 1, F.least(F.lit(CHUNK), F.size(found) - i * CHUNK))))
+    folded = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("parts")), chunk)["parts"]
+    return F.when(F.size(found) > 0, F.flatten(folded)).otherwise(F.array().cast(_SPAN))
 
 
 def pair_codes(token: Column) -> Column:
     """Codes of adjacent characters, all within ALPHABET."""
     places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.transform(F.sequence(F.lit(0), F.length(token) - 2), lambda i: (F.get(places, i) - 1) * len(ALPHABET) + F.get(places, i + 1))
+    return let(places, lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: (a - 1) * len(ALPHABET) + b))
 
 
 def mean_ratio(token: Column, table: Column) -> Column:
@@ -114,7 +125,8 @@ def scan(docs: DataFrame, model: tuple[str, float] | None, keep: tuple[str, ...]
     every = lambda pattern, group=0: F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))
     rows = docs.select(*keep, text_of(docs).alias("_text"))
     rows = rows.select("*", every(ASSIGN).alias("_a"), every(ACCESS).alias("_k"), every(HEX).alias("_h"))
-    assign = F.filter(F.arrays_zip(_spans(F.col("_text"), F.col("_a"), ASSIGN, 0).alias("s"), F.when(F.size("_a") > 0, every(ASSIGN, 2)).otherwise(F.array().cast("array<string>")).alias("v")), lambda x: F.length(x["v"]) >= ASSIGN_VALUE)
+    value = lambda m: F.regexp_extract(m, ASSIGN, 2)
+    assign = F.filter(F.arrays_zip(_spans(F.col("_text"), F.col("_a"), ASSIGN, 0).alias("s"), F.col("_a").alias("m")), lambda x: F.length(value(x["m"])) >= ASSIGN_VALUE)
     base = F.concat(F.transform(assign, lambda x: x["s"]), _spans(F.col("_text"), F.col("_k"), ACCESS, 1), _spans(F.col("_text"), F.col("_h"), HEX, 2))
     rows = rows.select(*keep, "_text", F.sort_array(base).alias("base"))
     if model is None:
@@ -138,15 +150,23 @@ def joined(spans: str) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every maximal run of overlapping spans replaced by MASK."""
-    cut = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(MASK))).otherwise(a["out"]).alias("out"),
+    # A span that begins before the end of the run so far extends it.
+    run = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    runs = F.aggregate(
+        F.slice(spans, F.lit(2), F.size(spans)),
+        F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.get(spans, 0)["start"].alias("start"), F.get(spans, 0)["end"].alias("end")),
+        lambda a, s: F.when(s["start"] < a["end"], F.struct(a["done"].alias("done"), a["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"))).otherwise(
+            F.struct(F.array_append(a["done"], run(a["start"], a["end"])).alias("done"), s["start"].alias("start"), s["end"].alias("end"))
         ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+        lambda a: F.array_append(a["done"], run(a["start"], a["end"])),
     )
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+
+    def cut(x: Column) -> Column:
+        chars, merged = x["chars"], x["runs"]
+        piece = lambda i: let(F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(F.lit(0)), lambda at: F.array_join(F.slice(chars, at + 1, F.coalesce(F.get(merged, i)["start"], F.size(chars)) - at), ""))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(merged)), piece), MASK)
+
+    return F.when(F.size(spans) > 0, let(F.struct(F.split(text, "").alias("chars"), runs.alias("runs")), cut)).otherwise(text)
 
 
 def default_model(spark, docs: DataFrame, labels: DataFrame) -> tuple[str, float] | None:
