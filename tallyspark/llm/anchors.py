@@ -73,8 +73,8 @@ def anchored(window: int, k: int, phrases: bool):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, th and text: th tells apart texts that share a doc_id."""
-    return docs.select("doc_id", F.hash("text").alias("th"), "text")
+    """doc_id, th and text: th, the text's 128-bit digest, tells apart texts that share a doc_id, null ones included."""
+    return docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("th"), "text")
 
 
 def same_row(left: DataFrame, right: DataFrame):

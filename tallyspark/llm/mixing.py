@@ -26,8 +26,9 @@ from .common import WORD, hinted, saved
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
-#: Rows of one size class and source that one sorting task handles, about.
-ROWS_PER_BUCKET = 100_000
+#: Rows of one size class and source that one sorting task handles, about. Buckets are ranges of the seeded key, so the
+#: order (class, key) and with it the result does not depend on their number.
+ROWS_PER_BUCKET = 20_000
 
 
 def sized(docs: DataFrame, seed: str, buckets: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +39,7 @@ def sized(docs: DataFrame, seed: str, buckets: int, keep: tuple[str, ...] = ())
         docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("key"))
         .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~null")))
         .withColumn("cls", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
-        .withColumn("bucket", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint"), F.lit(buckets)))
+        .withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * buckets / F.lit(1 << 32)).cast("bigint"))
     )
 
 
@@ -98,8 +99,7 @@ WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(text, '')) AS key
   FROM documents),
-c AS (SELECT *, lpad(CAST(len(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 1, 3) AS cls,
-         CAST('0x' || substr(key, 1, 8) AS BIGINT) % greatest(1, CAST(ceil((SELECT count(*) FROM d) / 100000.0) AS BIGINT)) AS bucket FROM d),
+c AS (SELECT *, lpad(CAST(len(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 1, 3) AS cls FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS pos FROM s),
 w AS (SELECT *, CAST([1, 2, 3][pos % 3 + 1] AS BIGINT) AS weight, source_size * 3 AS cap FROM r),
@@ -113,7 +113,7 @@ t AS (SELECT o.source, o.source_size,
       FROM o, f),
 i AS (SELECT c.doc_id, c.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         row_number() OVER (PARTITION BY c.source ORDER BY c.cls, c.bucket, c.key) AS idx
+         row_number() OVER (PARTITION BY c.source ORDER BY c.cls, c.key) AS idx
       FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + floor(idx * (rate - floor(rate)) + 0.5) - floor((idx - 1) * (rate - floor(rate)) + 0.5)) AS BIGINT) AS taken

@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-Two fixed base rules reject short and self-repeating texts. Four further signals (symbols, repeated
-lines, repeated words, word length) become rules only where labelled holdout rows prove them safe:
-for each stratum and signal, cutoffs are tested from the mildest to the strictest, and a cutoff is
-certified while the exact binomial tail P[Bin(n, alpha) <= k] of its k false rejections among n good
-rows stays within delta divided by the number of (stratum, signal) tests (Bonferroni across tests,
-fixed sequence within one). ``alpha`` is shared equally by the signals, so that all rules of a stratum
-together falsely reject at most ALPHA of its good texts with probability 1 - DELTA. A certified cutoff
-takes effect only if it rejects more bad than good labelled rows. Strata that have too few labels
-keep everything that passes the base rules.
+Two fixed base rules reject short and self-repeating texts. Four further signals (symbols, repeated lines,
+repeated words, word length), each a whole number from 0 to 100 on a fixed scale, give one score, their
+largest. Its cutoffs become rules only where labelled holdout rows prove them safe: in each stratum (lang)
+cutoffs are tested from the mildest to the strictest, and a cutoff is certified while the exact binomial
+tail P[Bin(n, ALPHA) <= k] of its k false rejections among n good rows stays within DELTA divided by the
+number of strata (Bonferroni across strata, fixed sequence within one). So with probability 1 - DELTA no
+stratum's rule falsely rejects more than ALPHA of its good texts. Of the certified cutoffs the one with the
+most bad rows rejected beyond good ones takes effect, the mildest of equals. One score instead of a test
+for each signal leaves ALPHA whole: a stratum needs log(DELTA / strata) / log(1 - ALPHA) good rows (217
+for four strata); with fewer it keeps everything that passes the base rules.
 
 Edge cases: a null text has no words and fails the base rules; a null lang is its own stratum;
 labels that disagree about one doc_id, or are null, are not used; repeated rows are judged one by
@@ -17,6 +18,8 @@ one; empty tables give empty results; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,11 +30,12 @@ ALPHA = 0.02
 DELTA = 0.05
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Tests per (stratum, signal): cutoffs 5, 10, ..., 100 of a signal scaled to 0..100.
+#: Cutoffs 5, 10, ..., 100 of the score.
 STEP = 5
-SIGNALS = ("symbols", "lines", "repeats", "length")
-#: Rejections up to which the tail is summed exactly; a Chernoff bound, which is never smaller, takes over above.
-EXACT_TERMS = 20_000
+#: Characters of a mean word from which on the length signal counts, and what each further one adds.
+LONG_WORD, LONG_STEP = 10, 10
+#: Reach of the tail below its last term, in square roots of that term's index: what lies beyond is below the smallest double.
+REACH = 40
 
 
 def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
@@ -66,66 +70,59 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     return base.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
-def with_signals(stats: DataFrame) -> DataFrame:
-    """The four signals, each a whole number from 0 to 100 that is higher for worse texts."""
-    share = lambda top, of: F.least(F.lit(100), F.floor(100 * F.col(top) / F.greatest(F.lit(1), F.col(of)))).cast("int")
-    return stats.withColumns({
-        "symbols": share("n_symbols", "n_words"),
-        "lines": share("n_dup_lines", "n_lines"),
-        "repeats": share("n_repeat_words", "n_words"),
-        "length": F.least(F.lit(100), F.floor(4 * F.col("word_chars") / F.greatest(F.lit(1), F.col("n_words")))).cast("int"),
-    })
+def with_score(stats: DataFrame) -> DataFrame:
+    """The largest of four signals, each a whole number from 0 to 100 that is higher for worse texts."""
+    share = lambda top, of: F.floor(100 * F.col(top) / F.greatest(F.lit(1), F.col(of)))
+    length = F.floor(LONG_STEP * F.col("word_chars") / F.greatest(F.lit(1), F.col("n_words"))) - LONG_STEP * LONG_WORD
+    signals = [share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), length]
+    return stats.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.greatest(*signals))).cast("int"))
 
 
-def log_binomial_tail(n: Column, k: Column, alpha: float) -> Column:
-    """log P[Bin(n, alpha) <= k], summed in logarithms; a Chernoff bound beyond EXACT_TERMS terms."""
-    odds = F.log(F.lit(alpha / (1 - alpha)))
-    first = n * F.log(F.lit(1 - alpha))
-    state = F.struct(first.alias("term"), first.alias("total"))
+def log_factorial(x: Column) -> Column:
+    """log(x!) by Stirling's series eight places further on, correct to double precision."""
+    z = x + 9.0
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    steps = F.log(x + 1.0)
+    for i in range(2, 9):
+        steps = steps + F.log(x + float(i))
+    return (z - 0.5) * F.log(z) - z + math.log(2 * math.pi) / 2 + series - steps
 
-    def add(s: Column, i: Column) -> Column:
-        term = s["term"] + F.log((n - i + 1) / i) + odds
-        top = F.greatest(term, s["total"])
-        return F.struct(term.alias("term"), (top + F.log1p(F.exp(-F.abs(term - s["total"])))).alias("total"))
 
-    exact = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>")), state, add)["total"]
-    p = k / n
-    chernoff = -n * (p * F.log(p / alpha) + (1 - p) * F.log((1 - p) / (1 - alpha)))
-    return F.when(k > EXACT_TERMS, chernoff).otherwise(exact)
+def log_binomial_tail(n: Column, k: Column, alpha: float) -> Column:
+    """log P[Bin(n, alpha) <= k] for k < alpha * n: the last term, times the sum of all terms relative to it.
+
+    Terms fall from the k-th one down, faster than a normal density, so those beyond REACH root k are zero as doubles.
+    """
+    last = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(alpha)) + (n - k) * F.log(F.lit(1 - alpha))
+    reach = F.least(k, (REACH * F.sqrt(k)).cast("bigint") + 1000)
+    down = F.when(reach > 0, F.sequence(k, k - reach + 1)).otherwise(F.array().cast("array<bigint>"))
+    step = lambda a, i: a["term"] * i * (1 - alpha) / ((n - i + 1) * alpha)
+    total = F.aggregate(down, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), lambda a, i: F.struct(step(a, i).alias("term"), (a["total"] + step(a, i)).alias("total")))["total"]
+    return last + F.log(total)
 
 
 def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and one nullable cutoff per signal, from rows (stratum, good, *SIGNALS)."""
-    long = labelled.select("stratum", "good", F.explode(F.create_map(*[x for s in SIGNALS for x in (F.lit(s), F.col(s))])).alias("signal", "value"))
-    bins = long.groupBy("stratum", "signal", F.floor(F.col("value") / STEP).cast("int").alias("bin")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    all_bins = F.transform(F.sequence(F.lit(0), F.lit(100 // STEP)), lambda b: b)
-    grid = bins.select("stratum", "signal").distinct().select("stratum", "signal", F.explode(all_bins).alias("bin"))
-    bins = grid.join(bins, ["stratum", "signal", "bin"], "left").fillna(0, ["good", "bad"])
-    group = W.partitionBy("stratum", "signal")
-    worse = group.orderBy(F.desc("bin"))
-    tests = F.count_if(F.col("bin") == 0).over(W.partitionBy(F.lit(1)))
-    bins = bins.select(
-        "stratum", "signal", "bin", F.sum("good").over(group).alias("n"), F.sum("good").over(worse).alias("k"), F.sum("bad").over(worse).alias("hit"), tests.alias("tests")
-    ).where("bin > 0")
-    part = alpha / len(SIGNALS)
-    bins = bins.withColumn("safe", F.when((F.col("n") > 0) & (F.col("k") < part * F.col("n")), log_binomial_tail(F.col("n"), F.col("k"), part) <= F.log(delta / F.col("tests"))).otherwise(False))
+    """(stratum, cutoff), from rows (stratum, good, score); strata without a certified and useful cutoff are left out."""
+    bins = labelled.groupBy("stratum", F.floor(F.col("score") / STEP).cast("int").alias("bin")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    # One row per stratum holds its 21 bins; the window over all of them counts the strata for Bonferroni.
+    rows = bins.groupBy("stratum").agg(F.sum("good").alias("n"), F.collect_list(F.struct("bin", "good", "bad")).alias("bins")).withColumn("tests", F.count("*").over(W.partitionBy(F.lit(1))))
+    above = lambda name, b: F.aggregate(F.filter("bins", lambda x: x["bin"] >= b), F.lit(0).cast("bigint"), lambda a, x: a + x[name])
+    cuts = rows.select("stratum", "n", "tests", F.explode(F.transform(F.sequence(F.lit(1), F.lit(100 // STEP)), lambda b: F.struct(b.alias("bin"), above("good", b).alias("k"), above("bad", b).alias("hit")))).alias("c")).select("stratum", "n", "tests", "c.*")
+    safe = F.when((F.col("n") > 0) & (F.col("k") < alpha * F.col("n")), log_binomial_tail(F.col("n"), F.col("k"), alpha) <= F.log(delta / F.col("tests"))).otherwise(False)
     # Fixed sequence: a cutoff counts only if all milder ones are certified as well.
-    bins = bins.withColumn("safe", F.min("safe").over(worse))
-    return bins.where("safe and hit > k").groupBy("stratum").pivot("signal", list(SIGNALS)).agg(F.min(F.col("bin") * STEP))
+    cuts = cuts.withColumn("safe", F.min(safe).over(W.partitionBy("stratum").orderBy(F.desc("bin"))))
+    return cuts.where("safe and hit > k").groupBy("stratum").agg(F.max_by(F.col("bin") * STEP, F.struct(F.col("hit") - F.col("k"), "bin")).alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Statistics and verdict of every row of ``docs`` (the ``keep`` columns identify it)."""
-    stats = saved(text_stats(docs.withColumn("stratum", F.coalesce("lang", F.lit("~null"))), *keep, "stratum"))
-    stats = with_signals(stats)
+    stats = with_score(saved(text_stats(docs.withColumn("stratum", F.coalesce("lang", F.lit("~null"))), *keep, "stratum")))
     stats = stats.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     agreed = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    labelled = stats.where(~F.col("base_failed")).join(agreed, "doc_id").select("stratum", (F.col("low") == 1).alias("good"), *SIGNALS)
-    cutoffs = saved(certified_cutoffs(labelled, alpha, delta).select("stratum", *[F.col(s).alias(f"{s}_cutoff") for s in SIGNALS]))
+    labelled = stats.where(~F.col("base_failed")).join(agreed, "doc_id").select("stratum", (F.col("low") == 1).alias("good"), "score")
+    cutoffs = saved(certified_cutoffs(labelled, alpha, delta))
     judged = stats.join(hinted(cutoffs), "stratum", "left")
-    failed = [F.coalesce(F.col(s) >= F.col(f"{s}_cutoff"), F.lit(False)) for s in SIGNALS]
-    rule_failed = failed[0] | failed[1] | failed[2] | failed[3]
-    return judged.withColumn("kept", ~F.col("base_failed") & ~rule_failed)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,22 +152,20 @@ s0 AS (SELECT d.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words,
         len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words
       FROM d JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN cover ON d.doc_id = cover.doc_id),
 s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-        least(100, 100 * n_symbols // greatest(1, n_words)) AS symbols, least(100, 100 * n_dup_lines // greatest(1, n_lines)) AS lines,
-        least(100, 100 * n_repeat_words // greatest(1, n_words)) AS repeats, least(100, 4 * word_chars // greatest(1, n_words)) AS length FROM s0),
+        greatest(0, least(100, greatest(100 * n_symbols // greatest(1, n_words), 100 * n_dup_lines // greatest(1, n_lines), 100 * n_repeat_words // greatest(1, n_words),
+          10 * word_chars // greatest(1, n_words) - 100))) AS score FROM s0),
 lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
-long AS (SELECT stratum, q = 1 AS good, unnest(['symbols', 'lines', 'repeats', 'length']) AS signal, unnest([symbols, lines, repeats, length]) AS value
-      FROM s JOIN lab USING (doc_id) WHERE NOT base_failed),
-bins AS (SELECT g.stratum, g.signal, b.bin, (SELECT count(*) FROM long x WHERE x.stratum = g.stratum AND x.signal = g.signal AND good) AS n,
-        (SELECT count(*) FROM long x WHERE x.stratum = g.stratum AND x.signal = g.signal AND good AND value // 5 >= bin) AS k,
-        (SELECT count(*) FROM long x WHERE x.stratum = g.stratum AND x.signal = g.signal AND NOT good AND value // 5 >= bin) AS hit
-      FROM (SELECT DISTINCT stratum, signal FROM long) g, (SELECT unnest(range(1, 21)) AS bin) b),
-tests AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, signal FROM long)),
-ok AS (SELECT *, CASE WHEN n > 0 AND k < 0.005 * n THEN
-          list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) <= 0.05 / m
+long AS (SELECT stratum, q = 1 AS good, score FROM s JOIN lab USING (doc_id) WHERE NOT base_failed),
+bins AS (SELECT g.stratum, b.bin, (SELECT count(*) FROM long x WHERE x.stratum = g.stratum AND good) AS n,
+        (SELECT count(*) FROM long x WHERE x.stratum = g.stratum AND good AND score // 5 >= bin) AS k,
+        (SELECT count(*) FROM long x WHERE x.stratum = g.stratum AND NOT good AND score // 5 >= bin) AS hit
+      FROM (SELECT DISTINCT stratum FROM long) g, (SELECT unnest(range(1, 21)) AS bin) b),
+tests AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum FROM long)),
+ok AS (SELECT *, CASE WHEN n > 0 AND k < 0.02 * n THEN
+          list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) <= 0.05 / m
         ELSE false END AS safe FROM bins, tests),
-seq AS (SELECT *, bool_and(safe) OVER (PARTITION BY stratum, signal ORDER BY bin DESC) AS certified FROM ok),
-cut AS (SELECT stratum, signal, min(bin * 5) AS cutoff FROM seq WHERE certified AND hit > k GROUP BY ALL),
-judged AS (SELECT s.*, NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.stratum = s.stratum AND
-        CASE cut.signal WHEN 'symbols' THEN symbols WHEN 'lines' THEN lines WHEN 'repeats' THEN repeats ELSE length END >= cut.cutoff) AS kept FROM s)
+seq AS (SELECT *, bool_and(safe) OVER (PARTITION BY stratum ORDER BY bin DESC) AS certified FROM ok),
+best AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY hit - k DESC, bin DESC) AS place FROM seq WHERE certified AND hit > k),
+judged AS (SELECT s.*, NOT base_failed AND coalesce(score < 5 * bin, true) AS kept FROM s LEFT JOIN best ON best.stratum = s.stratum AND place = 1)
 """
 ORACLE = f"WITH {ORACLE_WITH} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"

@@ -81,15 +81,15 @@ def _kept(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(rows: DataFrame, name: str, *cols: str) -> DataFrame:
-    """One list of ``cols`` per row key."""
-    return rows.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct(*cols)).alias(name))
+    """One list of distinct ``cols`` per row key: equal rows have one between them, however many they are."""
+    return rows.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct(*cols)).alias(name))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, th, at, n): runs of n windows, from word ``at`` on, that also start elsewhere."""
     kind = id_type(docs)
     texts = keyed(docs)
-    phrases = texts.mapInArrow(anchored(WINDOW, KMER, True), f"doc_id {kind}, th int, anchor bigint, place int, at int, n int, phrase bigint")
+    phrases = texts.mapInArrow(anchored(WINDOW, KMER, True), f"doc_id {kind}, th binary, anchor bigint, place int, at int, n int, phrase bigint")
     # Counts are saved before rows are joined with them: both sides of the join are then plain shuffles, which AQE can split where a key is hot.
     known = phrases.groupBy("anchor").agg(F.count("*").alias("times"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("times > 1")
     known = saved(known.select("anchor", (F.col("lo") == F.col("hi")).alias("one")))
@@ -103,7 +103,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     # A window beside a factor may equal one inside another factor: one place of each factor is looked up too.
     look = _listed(several.where("not factor or reference"), "look", "anchor", "at", "n")
     asked = texts.join(look, same_row(texts, look), "left").where("look is not null").select("doc_id", "th", "text", "look")
-    asked = saved(asked.mapInArrow(_boundary_windows, f"doc_id {kind}, th int, anchor bigint, hash bigint, at int"))
+    asked = saved(asked.mapInArrow(_boundary_windows, f"doc_id {kind}, th binary, anchor bigint, hash bigint, at int"))
     twice = asked.groupBy("anchor", "hash").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "hash")
     single = asked.join(saved(twice), ["anchor", "hash"], "left_semi").select("doc_id", "th", "at", F.lit(1).alias("n"))
     factors = hits.where("one").select("doc_id", "th", "at", "n").unionByName(several.where("factor").select("doc_id", "th", "at", "n"))

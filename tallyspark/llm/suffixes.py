@@ -74,7 +74,7 @@ def passages(docs: DataFrame) -> DataFrame:
     texts = keyed(docs)
     numeric = kind in ("bigint", "int", "smallint", "tinyint")
     rank = F.coalesce(F.col("doc_id").cast("bigint") if numeric else F.xxhash64("doc_id"), F.lit((1 << 63) - 1)) if kind != "void" else F.lit((1 << 63) - 1)
-    phrases = texts.mapInArrow(anchored(PASSAGE, KMER, True), f"doc_id {kind}, th int, anchor bigint, place int, at int, n int, phrase bigint")
+    phrases = texts.mapInArrow(anchored(PASSAGE, KMER, True), f"doc_id {kind}, th binary, anchor bigint, place int, at int, n int, phrase bigint")
     # Counts are saved, so that both sides of the joins are plain shuffles, which AQE can split where a key is hot.
     known = phrases.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("copies > 1")
     known = saved(known.select("anchor", (F.col("lo") == F.col("hi")).alias("one")))
@@ -85,7 +85,7 @@ def passages(docs: DataFrame) -> DataFrame:
     look = groups.where("not one").groupBy(F.col("ref.doc_id").alias("_id"), F.col("ref.th").alias("_th"))
     look = look.agg(F.collect_list(F.struct("anchor", "phrase", F.col("ref.at").alias("at"), "n", "times")).alias("look"))
     asked = texts.join(look, same_row(texts, look)).select("th", rank.alias("rank"), "text", "look")
-    asked = saved(asked.mapInArrow(_windows, "anchor bigint, phrase bigint, offset int, hash bigint, times bigint, rank bigint, th int, at int"))
+    asked = saved(asked.mapInArrow(_windows, "anchor bigint, phrase bigint, offset int, hash bigint, times bigint, rank bigint, th binary, at int"))
     twice = asked.groupBy("anchor", "hash").agg(F.sum("times").alias("total"), F.min(F.struct("rank", "th", "at")).alias("first")).where("total > 1")
     twice = asked.join(saved(twice.select("anchor", "hash", "first")), ["anchor", "hash"]).groupBy("anchor", "phrase").agg(F.collect_set(F.struct("offset", "first")).alias("windows"))
     whole = groups.where("one").select("anchor", "phrase", F.expr("named_struct('rank', ref.rank, 'th', ref.th, 'at', ref.at)").alias("first"), F.lit(None).cast(twice.schema["windows"].dataType).alias("windows"))
@@ -126,7 +126,7 @@ def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """Per row: its words, those in repeated passages, those removed as later copies, the spans and the digest of the rest."""
     texts = keyed(docs)
-    spans = passages(docs).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("at", "repeated", "later")).alias("spans"))
+    spans = passages(docs).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("at", "repeated", "later")).alias("spans"))
     out = texts.join(spans, same_row(texts, spans), "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_digest, f"doc_id {id_type(docs)}, n_words bigint, n_repeated bigint, n_removed bigint, spans string, kept_sha256 string")
 

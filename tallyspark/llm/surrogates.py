@@ -290,7 +290,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, the text with surrogates, and the number of entities of each kind, row by row."""
     kind = id_type(docs)
     texts = keyed(docs)
-    listed = texts.mapInArrow(_listing, f"doc_id {kind}, th int, kind string, form string")
+    listed = texts.mapInArrow(_listing, f"doc_id {kind}, th binary, kind string, form string")
     later = later_attempts(listed, key)
     later = saved(later)
     shipped: dict[tuple[str, str], int] = {}

@@ -244,7 +244,8 @@ def test_mixing_meets_targets_and_limits(docs, docs_rows, none):
         assert {r["source_size"] for r in own} == {sizes[s]} and own[0]["target"] == pytest.approx(target[s])
         assert abs(sum(r["taken"] for r in own) - target[s]) <= largest
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
-    assert bag(mixing.mix(docs).select("doc_id", "size", "taken").collect()) == bag((r["doc_id"], r["size"], r["taken"]) for r in rows)
+    for per_bucket in (1, 7, 20_000):
+        assert bag(mixing.mix(docs, rows_per_bucket=per_bucket).select("doc_id", "size", "taken").collect()) == bag((r["doc_id"], r["size"], r["taken"]) for r in rows)
 
 
 def test_quality_statistics_and_verdicts(spark, docs, docs_rows, none):
@@ -264,17 +265,25 @@ def test_quality_statistics_and_verdicts(spark, docs, docs_rows, none):
 
 
 def test_cutoffs_are_certified_by_the_exact_binomial_tail(spark):
-    good, bad = [("en", True, 0, 0, 0, 0)] * 2000 + [("en", True, 30, 0, 0, 0)], [("en", False, 40, 0, 0, 0)] * 50
-    few = [("de", True, 0, 0, 0, 0)] * 30 + [("de", False, 90, 0, 0, 0)] * 30
-    rows = spark.createDataFrame(good + bad + few, "stratum string, good boolean, symbols int, lines int, repeats int, length int")
-    cut = {r["stratum"]: r for r in quality.certified_cutoffs(rows).collect()}
-    assert set(cut) == {"en"} and cut["en"]["symbols"] == 5 and cut["en"]["lines"] is None
-    n, k, a = 2001, 3, 0.005
+    # en: all cutoffs from 35 on catch as much, the mildest of them takes effect; de has too few rows, fr an unsafe tail.
+    rows = [("en", True, 0)] * 300 + [("en", True, 30)] + [("en", False, 37)] * 50 + [("de", True, 0)] * 200 + [("de", False, 90)] * 30
+    rows += [("fr", True, 0)] * 300 + [("fr", True, 80)] * 6 + [("fr", False, 90)] * 2 + [("fr", False, 70)] * 30
+    rows = spark.createDataFrame(rows, "stratum string, good boolean, score int")
+    assert {r["stratum"]: r["cutoff"] for r in quality.certified_cutoffs(rows).collect()} == {"en": 35, "fr": 90}
+
+
+def test_the_binomial_tail_is_exact_for_few_and_many_rejections(spark):
     import math
 
-    tail = sum(math.comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(k + 1))
-    got = spark.range(1).select(quality.log_binomial_tail(F.lit(n).cast("bigint"), F.lit(k).cast("bigint"), a).alias("x")).first()["x"]
-    assert math.exp(got) == pytest.approx(tail)
+    def tail(n, k, a):
+        term = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(a) + (n - i) * math.log(1 - a)
+        top = term(k)
+        return top + math.log(math.fsum(math.exp(term(i) - top) for i in range(k, -1, -1)))
+
+    cases = [(1, 0), (217, 0), (2001, 3), (2001, 39), (10**6, 19_500), (10**7, 199_000), (2 * 10**6, 100)]
+    rows = spark.createDataFrame(cases, "n bigint, k bigint")
+    for r in rows.withColumn("x", quality.log_binomial_tail(F.col("n"), F.col("k"), 0.02)).collect():
+        assert r["x"] == pytest.approx(tail(r["n"], r["k"], 0.02), rel=1e-9, abs=1e-6)
 
 
 def test_secret_spans(spark, docs, docs_rows, none):
