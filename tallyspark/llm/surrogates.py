@@ -1,6 +1,6 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
-Kinds: email addresses, phone numbers, IPv4 addresses, card numbers, and the given and family names of
+Kinds: email addresses, phone numbers, IPv4 addresses, card numbers, IBANs, and the given and family names of
 persons. A surrogate is drawn with a keyed hash of (kind, canonical form, attempt): digits for digits and
 letters for letters in the original's own layout, card numbers with the same first digit and the same
 Luhn validity, given names of the same gender and script, family names of the same script and ending
@@ -10,16 +10,16 @@ number or address has one surrogate in all texts and spellings.
 Distinctness is checked over the whole corpus: all distinct entities are listed, two that share a
 surrogate, and a surrogate that is itself a real entity, send the later one to its next attempt,
 until nothing collides. Every CROWDED attempts mail parts, phone numbers and names get longer, so that
-this ends where all forms of one length are in use; IPv4 addresses and card numbers have no longer form,
-but 254**4 and at least 10**11 ones. Only entities with a later attempt have to be told to the rewriting tasks: up
+this ends where all forms of one length are in use; IPv4 addresses, card numbers and IBANs have no longer form,
+but 254**4 and at least 10**8 ones. Only entities with a later attempt have to be told to the rewriting tasks: up
 to BROADCAST_ROWS of them are shipped as a dictionary, more are joined to their texts.
 
 Detection is bounded. Phone numbers have 9 to 15 digits (11 with the country code 1), separated by single
-spaces, dots or hyphens; one without + and brackets needs two groups, of 2 to 4 digits unless it begins
-with 0. Where other digits follow, it ends at the most digits, or from 9 on at a change of separator. Persons
-are found by the given names of GIVEN or a title of TITLES before a capitalised Latin or Cyrillic family
-name of three letters or more, hyphens, Mc, Mac and O' included; other given names, lone family names
-and decomposed accents are not.
+spaces, dots or hyphens; one without + and brackets begins with 0 or has groups of 3, 3 and 4 digits.
+Where other digits follow, it ends at the most digits, or from 9 on at a change of separator. Card numbers
+pass the Luhn test. Persons are found by the given names of GIVEN, a title of TITLES or a phrase of CUES
+("my name is", "Contact:") before a capitalised Latin or Cyrillic name of three letters or more, hyphens,
+Mc, Mac and O' included; other names without such a phrase, lone family names and decomposed accents are not.
 
 Edge cases: null texts stay null and have no entities; empty texts stay empty; null or repeated doc_ids
 are handled row by row; empty tables give empty results; further columns are ignored.
@@ -38,21 +38,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import id_type, keyed, same_row
-from .common import BROADCAST_ROWS, saved
+from .common import BROADCAST_ROWS, drop, saved
 
 KEY = b"surrogates-1"
 #: Attempts after which a surrogate gets longer, once more every so many attempts.
 CROWDED = 4
 #: Where two overlap, the earlier kind wins.
-KINDS = ("email", "ip", "card", "phone", "name")
+KINDS = ("email", "iban", "ip", "card", "phone", "name")
 
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)*\.[A-Za-z]{2,}")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")
 #: Where a phone number may begin: +country code, (area) or a bare digit; groups of digits follow.
 PHONE = re.compile(r"(?<![\w+])(?:(?:\+\d{1,3}|\(\+\d{1,3}\))[ .-]?(?:\(\d{1,5}\)[ .-]?)?|\(\d{2,5}\)[ .-]?)?(?=\d)")
 PHONE_GROUP = re.compile(r"[ .-]?(\d+)")
 PHONE_DIGITS = range(9, 16)
+#: The only layout of a number that begins neither with + nor a bracket nor 0; others may be years, dates or amounts.
+PHONE_BARE = re.compile(r"\d{3}([ .-])\d{3}\1\d{4}(?!\w|[.-]\d)")
 #: Four groups of four digits, or a bare run of as many: where such a card number follows, a phone number ends.
 CARD_AHEAD = re.compile(r"[ .-](\d{4}([ -]?)\d{4}\2\d{4}\2\d{4})(?!\d)")
 
@@ -64,10 +67,13 @@ FAMILY = "Miller Davis Wilson Moore Taylor Anderson Jackson White Harris Martin
 FAMILY_CYR = "Иванов Петров Сидоров Кузнецов Смирнов Попов Соколов Лебедев Козлов Новиков Морозов Волков".split()
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Dr": "", "Herr": "m", "Frau": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f"}
 GIVEN = {**{n: "m:lat" for n in MALE}, **{n: "f:lat" for n in FEMALE}, **{n: "m:cyr" for n in MALE_CYR}, **{n: "f:cyr" for n in FEMALE_CYR}}
-POOLS = {"m:lat": MALE, "f:lat": FEMALE, "m:cyr": MALE_CYR, "f:cyr": FEMALE_CYR}
+#: n: found by a cue, gender not known.
+POOLS = {"m:lat": MALE, "f:lat": FEMALE, "n:lat": MALE + FEMALE, "m:cyr": MALE_CYR, "f:cyr": FEMALE_CYR, "n:cyr": MALE_CYR + FEMALE_CYR}
+#: What a person's full name follows, with only spaces between.
+CUES = ["(?i:my name is)", "(?i:i am called)", "Name:", "Contact:", "Contact person:", "Author:", "Attn:", "Signed:", "Signed by", "Dear", "Sincerely,", "Regards,", "(?i:ich heiße)", "(?i:mein name ist)", "(?i:je m['’]appelle)", "(?i:me llamo)", "(?i:mi nombre es)", "(?i:меня зовут)"]
 _UPPER, _LOWER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽȘȚ", "a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľłńņňōőœŕřśşšţťūůűųźżžșț"
 _CAP = rf"(?:(?:Mc|Mac|[A-Z]['’])?[{_UPPER}][{_LOWER}]{{2,}}(?:-[{_UPPER}][{_LOWER}]{{2,}})*|[А-ЯЁ][а-яё]{{2,}}(?:-[А-ЯЁ][а-яё]{{2,}})*)"
-NAME = re.compile(rf"\b(?:(?P<given>{'|'.join(GIVEN)})[ ](?P<family>{_CAP})|(?P<title>{'|'.join(TITLES)})\.?[ ](?P<family2>{_CAP}))\b")
+NAME = re.compile(rf"\b(?:(?P<given>{'|'.join(GIVEN)})[ ](?P<family>{_CAP})|(?P<title>{'|'.join(TITLES)})\.?[ ](?P<family2>{_CAP})|(?:{'|'.join(CUES)})[ ](?P<given3>{_CAP})[ ](?P<family3>{_CAP}))\b")
 
 #: A span of text, its kind, and the parts of it that are mapped: (start, end, key kind, canonical form).
 Found = tuple[int, int, str, list[tuple[int, int, str, str]]]
@@ -78,6 +84,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _is_card(digits: str) -> bool:
+    return luhn(digits) and len(set(digits)) > 1
+
+
 def _script(name: str) -> str:
     return "cyr" if name[0] > "Ѐ" else "lat"
 
@@ -97,10 +111,10 @@ def _phone_end(text: str, head: re.Match[str]) -> int:
     """
     bare = re.sub(r"\D", "", head[0])
     least, most = PHONE_DIGITS[0], 11 if "+" in head[0] and bare[:1] == "1" else PHONE_DIGITS[-1]
-    # Without a code, an area in brackets or a leading zero, groups have 2 to 4 digits.
-    free = bool(bare) or text[head.end()] == "0"
+    if not bare and text[head.end()] != "0":
+        return m.end() if (m := PHONE_BARE.match(text, head.end())) else 0
     n, at, groups, sep, end = len(bare), head.end(), int(bool(bare)), None, 0
-    while (m := PHONE_GROUP.match(text, at)) and n + len(m[1]) <= most and (free or 2 <= len(m[1]) <= 4):
+    while (m := PHONE_GROUP.match(text, at)) and n + len(m[1]) <= most:
         between = text[at] if groups and at > head.end() else None
         if end and (between != sep or (CARD_AHEAD.match(text, at) and luhn(re.sub(r"\D", "", CARD_AHEAD.match(text, at)[1])))):
             break
@@ -135,7 +149,10 @@ def detect(text: str) -> list[Found]:
             at = m.end() - len(m[0].rpartition("@")[2])
             out.append((m.start(), m.end(), "email", [(m.start(), at - 1, "local", m[0].rpartition("@")[0].lower()), (at, m.end(), "domain", m[0].rpartition("@")[2].lower())]))
     if digits:
-        for m in IP.finditer(text):
+        for m in IBAN.finditer(text):
+            if _mod97(form := m[0].replace(" ", "")) == 1:
+                out.append((*m.span(), "iban", [(*m.span(), "iban", form)]))
+        for m in IP.finditer(_without(text, out)):
             if all(int(x) < 256 for x in m[0].split(".")):
                 out.append((m.start(), m.end(), "ip", [(m.start(), m.end(), "ip", m[0])]))
         # What is taken is blanked before the next kind is sought, so that no match runs on into it: phone numbers with
@@ -144,12 +161,15 @@ def detect(text: str) -> list[Found]:
         marked = [(a, b) for a, b in phones(left) if text[a] in "+("]
         out += [(a, b, "phone", [(a, b, "phone", re.sub(r"\D", "", text[a:b]))]) for a, b in marked]
         left = _without(left, out)
-        out += (cards := [(*m.span(), "card", [(*m.span(), "card", re.sub(r"\D", "", m[0]))]) for m in CARD.finditer(left)])
+        out += (cards := [(*m.span(), "card", [(*m.span(), "card", re.sub(r"\D", "", m[0]))]) for m in CARD.finditer(left) if _is_card(re.sub(r"\D", "", m[0]))])
         out += [(a, b, "phone", [(a, b, "phone", re.sub(r"\D", "", text[a:b]))]) for a, b in phones(_without(left, cards))]
     for m in NAME.finditer(text):
         if m["given"]:
             gender = GIVEN[m["given"]][0]
             parts = [(*m.span("given"), f"given:{GIVEN[m['given']]}", m["given"]), (*m.span("family"), *_family(m["family"], gender))]
+        elif m["given3"]:
+            gender = GIVEN.get(m["given3"], "n")[0]
+            parts = [(*m.span("given3"), f"given:{gender}:{_script(m['given3'])}", m["given3"]), (*m.span("family3"), *_family(m["family3"], gender))]
         else:
             parts = [(*m.span("family2"), *_family(m["family2"], TITLES[m["title"]]))]
         out.append((parts[0][0], parts[-1][1], "name", parts))
@@ -194,6 +214,9 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
         return ".".join(str(1 + draw(254)) for _ in range(4))
     if kind == "phone":
         return form[:1] + "".join(str(draw(10)) for _ in range(len(form) - 1 + more))
+    if kind == "iban":
+        body = "".join(str(draw(10)) if c.isdigit() else chr(65 + draw(26)) for c in form[4:])
+        return f"{form[:2]}{98 - _mod97(f'{form[:2]}00{body}'):02}{body}"
     if kind == "card":
         body = form[0] + "".join(str(draw(10)) for _ in form[1:-1])
         good = next(d for d in "0123456789" if luhn(body + d))
@@ -213,6 +236,9 @@ def poured(original: str, kind: str, new: str) -> str:
     if kind in ("phone", "card"):
         rest = iter(new)
         return "".join(next(rest) if c.isdigit() else c for c in original) + "".join(rest)
+    if kind == "iban":
+        rest = iter(new)
+        return "".join(c if c == " " else next(rest) for c in original)
     if kind in ("local", "domain"):
         # A local part is cased as a whole, a domain label by label: the made one may be longer.
         pairs = zip(original.split("."), new.split("."), strict=True) if kind == "domain" else [(original, new)]
@@ -251,20 +277,27 @@ def _drawn(key: bytes):
 
 
 def later_attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, form, attempt) of the distinct entities whose first surrogate collides; checked until none does."""
+    """(kind, form, attempt) of the distinct entities whose first surrogate collides; checked until none does.
+
+    A surrogate loses if it is the entity itself, another entity's of its kind with an earlier attempt (then form),
+    or a real entity (not for names: their pools are small and hold real names). Only losers are drawn again.
+    """
     real = saved(entities.select("kind", "form").distinct())
-    current = real.withColumn("attempt", F.lit(0))
+    drawn = lambda rows: rows.mapInArrow(_drawn(key), "kind string, form string, attempt int, made string")
+    current = saved(drawn(real.withColumn("attempt", F.lit(0))))
     while True:
-        current = saved(current.mapInArrow(_drawn(key), "kind string, form string, attempt int, made string"))
-        shared = current.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "form")).alias("first")).where("n > 1")
-        losers = current.join(shared, ["kind", "made"]).where(F.struct("attempt", "form") != F.col("first")).select("kind", "form")
-        taken = real.select("kind", F.col("form").alias("made"))
-        # Small closed pools of names may map onto real names; what matters there is that no two meet.
-        open_kinds = ~F.col("kind").rlike("^(given|family)")
-        losers = saved(losers.unionByName(current.where(open_kinds).join(taken, ["kind", "made"], "left_semi").select("kind", "form")).distinct().withColumn("lost", F.lit(1)))
-        if losers.isEmpty():
+        first = current.groupBy("kind", "made").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count("*").alias("n"))
+        taken = real.where(~F.col("kind").rlike("^(given|family)")).select("kind", F.col("form").alias("made"), F.lit(True).alias("taken"))
+        judged = current.join(first, ["kind", "made"]).join(taken, ["kind", "made"], "left")
+        lost = (F.col("made") == F.col("form")) | (F.struct("attempt", "form") != F.col("first")) | F.coalesce("taken", F.lit(False))
+        judged = saved(judged.select("kind", "form", "attempt", "made", lost.alias("lost")))
+        if judged.where("lost").isEmpty():
+            drop(real, judged)
             return current.where("attempt > 0").select("kind", "form", "attempt")
-        current = current.join(losers, ["kind", "form"], "left").select("kind", "form", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
+        again = drawn(judged.where("lost").select("kind", "form", (F.col("attempt") + 1).alias("attempt")))
+        drop(current)
+        current = saved(judged.where("not lost").select("kind", "form", "attempt", "made").unionByName(again))
+        drop(judged)
 
 
 def _rewriting(shipped: dict[tuple[str, str], int], key: bytes):
@@ -305,5 +338,5 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def op7_surrogates(spark, sf_dir: str) -> DataFrame:
     out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    total = F.col("n_email") + F.col("n_phone") + F.col("n_ip") + F.col("n_card") + F.col("n_name")
+    total = F.col("n_email") + F.col("n_iban") + F.col("n_phone") + F.col("n_ip") + F.col("n_card") + F.col("n_name")
     return out.withColumn("n_entities", total).select("doc_id", "n_entities", *[f"n_{k}" for k in KINDS], "text")

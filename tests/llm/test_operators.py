@@ -357,6 +357,23 @@ def test_family_names_have_all_latin_and_cyrillic_letters():
     assert [text[a:b] for a, b, k, _ in surrogates.detect(text)] == ["Hans Müller", "O'Brien", "Mary Smith-Jones", "McDonald", "Мария Семёнова"]
 
 
+def test_years_dates_amounts_and_random_digits_are_no_entities():
+    for text in ("1000 2000 3000", "fiscal 2019 2020 2021", "12.05.2024 10", "9807915762804490 in all", "0000000000000000", "4845168114407328"):
+        assert not surrogates.detect(text), text
+    assert [k for *_, k, _ in surrogates.detect("826 555 4081, 4845168114407329, DE44 5001 0517 5407 3249 31")] == ["phone", "card", "iban"]
+    made = surrogates.surrogate("iban", "DE44500105175407324931")
+    assert surrogates.detect(made)[0][2] == "iban" and made[:2] == "DE" and made[4:] != "500105175407324931"
+
+
+def test_names_after_a_cue_are_found_and_no_name_stays_its_own(spark):
+    text = "My name is Sofia Rossi. Contact: Wei Zhang\nRegards, Ahmed Khan; New York and General Public stay"
+    assert [text[a:b] for a, b, k, _ in surrogates.detect(text)] == ["Sofia Rossi", "Wei Zhang", "Ahmed Khan"]
+    people = [(f"given:{k}", n) for k, pool in surrogates.POOLS.items() if k[0] != "n" for n in pool] + [("family:lat", n) for n in surrogates.FAMILY] + [("family:cyr", n) for n in surrogates.FAMILY_CYR]
+    later = {(r["kind"], r["form"]): r["attempt"] for r in surrogates.later_attempts(spark.createDataFrame(people, "kind string, form string")).collect()}
+    made = [(k, surrogates.surrogate(k, f, later.get((k, f), 0))) for k, f in people]
+    assert len(set(made)) == len(made) and all(m[1] != f for m, (_, f) in zip(made, people, strict=True))
+
+
 def test_surrogates_grow_where_all_forms_are_in_use(spark):
     from string import ascii_lowercase as az
 
