@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import id_type
-from .common import drop, saved
+from .common import drop, hinted, saved
 from .components import components
 from .wordhash import batches, grams, mix, words
 
@@ -49,7 +49,9 @@ QUERY_SHINGLE, SHINGLE = 2, 5
 BANDS, ROWS = 48, 6
 SIGNATURE = BANDS * ROWS
 #: Pairs for each member that a bucket of bands, and one of differences, may look at; one that has more is centred on a pivot.
-PAIRS_EACH, DEEP_PAIRS_EACH = 8, 64
+PAIRS_EACH, DEEP_PAIRS_EACH = 8, 256
+#: Rows of at most 100 bytes (class keys, roots, row keys) up to which a counted side is broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +169,11 @@ def _apart(members: DataFrame, labels: DataFrame, each: int) -> DataFrame:
 
     side 0 stands for any member; in a bucket of sides 1 and 2 only pairs of one with the other count.
     """
-    rooted = members.join(labels.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    rooted = saved(rooted)
+    rooted = members.join(hinted(labels, BROADCAST_KEYS).select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     size = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *[F.count_if(F.col("side") == i).alias(f"m{i}") for i in range(3)]).where("lo <> hi and (m0 > 1 or m1 * m2 > 0)")
     size = saved(size.select("bucket", (F.col("m0") + F.col("m1") + F.col("m2")).alias("size"), (F.col("m0") * (F.col("m0") - 1) / 2 + F.col("m1") * F.col("m2")).alias("pairs")))
-    out = saved(rooted.join(size, "bucket").withColumn("wide", F.col("pairs") > each * F.col("size")).drop("pairs"))
-    drop(rooted, size)
+    out = saved(rooted.join(hinted(size, BROADCAST_KEYS), "bucket").withColumn("wide", F.col("pairs") > each * F.col("size")).drop("pairs"))
+    drop(size)
     return out
 
 
@@ -207,7 +208,7 @@ def _centred(wide: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _deeper(stars: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the next level: of every centre whose members are still in several components, prefixes of the differences."""
-    rooted = stars.select("a", "b", "nb", "linked").join(labels.select(F.col("node").alias("b"), "root"), "b", "left")
+    rooted = stars.select("a", "b", "nb", "linked").join(hinted(labels, BROADCAST_KEYS).select(F.col("node").alias("b"), "root"), "b", "left")
     groups = rooted.groupBy("a").agg(F.min(F.coalesce("root", "b")).alias("lo"), F.max(F.coalesce("root", "b")).alias("hi"), F.max(F.when(F.col("linked"), F.col("nb"))).alias("most")).where("lo <> hi")
     groups = saved(groups.select("a", "most"))
     far = F.size("d")
@@ -217,7 +218,7 @@ def _deeper(stars: DataFrame, labels: DataFrame) -> DataFrame:
     prefix = lambda overlap: F.slice("d", F.lit(1), F.greatest(F.lit(0), far - overlap + 1).cast("int"))
     other = F.when(~F.col("linked"), F.struct(F.lit(0).alias("side"), prefix(beyond).alias("e")))
     near = F.when(F.col("linked"), F.struct(F.lit(2).alias("side"), prefix(beyond).alias("e"))).when(F.col("most").isNotNull(), F.struct(F.lit(1).alias("side"), prefix(within).alias("e")))
-    parts = stars.join(groups, "a").select("a", F.col("b").alias("k"), F.col("nb").alias("n"), far.alias("far"), F.explode(F.array_compact(F.array(other, near))).alias("part"))
+    parts = stars.join(hinted(groups, BROADCAST_KEYS), "a").select("a", F.col("b").alias("k"), F.col("nb").alias("n"), far.alias("far"), F.explode(F.array_compact(F.array(other, near))).alias("part"))
     parts = parts.select("a", "k", "n", "far", "part.side", F.posexplode("part.e").alias("pos", "e"))
     # Buckets of pairs beyond the centre's reach and of those across it are kept apart by one byte.
     kind = F.when(F.col("side") == 0, F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
@@ -245,7 +246,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
     members = saved(banded.join(shared, "bucket").select(F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("bucket"), "k", "n", "size"))
     drop(whole, shared)
     need = saved(members.select("k").distinct().join(classes, "k"))
-    sets = texts.join(need.select("k", "rep"), texts["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (texts["t"] == F.col("rep.t")))
+    sets = texts.join(hinted(need, 2 * BROADCAST_KEYS).select("k", "rep"), texts["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (texts["t"] == F.col("rep.t")))
     sets = saved(sets.select("k", "text").mapInArrow(_sets(shingle), "k binary, s array<bigint>").dropDuplicates(["k"]))
     drop(need)
     # Every class against the pivot that it meets most often.
@@ -256,27 +257,31 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
     edges = [saved(_compared(best, sets).where(_linked("na", "nb", "common")).select("a", "b"))]
     drop(best)
     labels = components(edges[0])
-    members_at = members.select("bucket", "k", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("pos"))
+    every = edges[0]
+    level = members.select("bucket", "k", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("pos"))
     each = PAIRS_EACH
     while True:
-        apart = _apart(members_at, labels, each)
+        apart = _apart(level, labels, each)
         drop(members)
         if apart.isEmpty():
             drop(apart)
             break
-        listed = saved(_listed(apart.where("not wide")))
-        edges.append(saved(_compared(listed, sets).where(_linked("na", "nb", "common")).select("a", "b")))
-        stars = _centred(apart.where("wide"), sets)
-        edges.append(saved(stars.where("linked").select("a", "b")))
-        drop(apart, listed)
-        every = edges[0]
-        for more in edges[1:]:
+        edges.append(saved(_compared(_listed(apart.where("not wide")), sets).where(_linked("na", "nb", "common")).select("a", "b")))
+        wide = not apart.where("wide").isEmpty()
+        if wide:
+            stars = _centred(apart.where("wide"), sets)
+            edges.append(saved(stars.where("linked").select("a", "b")))
+        drop(apart)
+        for more in edges[-1 - wide :]:
             every = every.unionByName(more)
-        drop(labels)
-        labels = components(every)
-        members = members_at = _deeper(stars, labels)
-        each = DEEP_PAIRS_EACH
+        if not all(more.isEmpty() for more in edges[-1 - wide :]):
+            drop(labels)
+            labels = components(every)
+        if not wide:
+            break
+        members = level = _deeper(stars, labels)
         drop(stars)
+        each = DEEP_PAIRS_EACH
     drop(sets, *edges)
     return rows, classes, labels
 
