@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import graphs, ledger, movement, papers, prices, site, succession, textual, trends
+from tallyspark.plans import civic, graphs, ledger, movement, papers, prices, site, succession, textual, trends
 
-_MODULES = [ledger, prices, trends, movement, textual, succession, graphs, papers, site]
+_MODULES = [ledger, prices, trends, movement, textual, succession, graphs, papers, site, civic]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

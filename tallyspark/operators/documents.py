@@ -84,6 +84,112 @@ def running_lines(lines: DataFrame) -> DataFrame:
     return found.join(pages, "doc").where(F.col("n") >= F.greatest(F.floor(F.col("pages") / 2), F.lit(2))).select("doc", "y", "key", "n")
 
 
+def without_running_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (doc, page, y, text) without the document's running heads and feet."""
+    heads = running_lines(lines).select("doc", F.col("y").alias("_y"), F.col("key").alias("_key"))
+    keyed = lines.withColumns({"_y": F.round("y"), "_key": running_key(F.col("text"))})
+    return keyed.join(heads, ["doc", "_y", "_key"], "left_anti").select(*lines.columns)
+
+
+def rule_clusters(marks: DataFrame, tolerance: float) -> DataFrame:
+    """doc, page, rule, marks: marks (doc, page, x) from left to right; one joins the rule whose running mean is within ``tolerance``."""
+    page = marks.groupBy("doc", "page").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # the marks of one page
+    kind = "array<struct<total:double,n:int>>"
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        near = (F.size(a) > 0) & (F.abs(x - F.get(a, F.size(a) - 1)["total"] / F.get(a, F.size(a) - 1)["n"]) <= tolerance)
+        grown = F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct((last["total"] + x).alias("total"), (last["n"] + 1).alias("n"))))
+        return F.when(near, grown).otherwise(F.concat(a, F.array(F.struct(x.alias("total"), F.lit(1).alias("n")))))
+
+    rules = page.select("doc", "page", F.explode(F.aggregate("xs", F.array().cast(kind), step)).alias("r"))
+    return rules.select("doc", "page", (F.col("r.total") / F.col("r.n")).alias("rule"), F.col("r.n").alias("marks"))
+
+
+def drawn_rules(marks: DataFrame, content: DataFrame, tolerance: float) -> DataFrame:
+    """Marks (doc, page, y, ..) that share no baseline, within ``tolerance``, with content of their page (doc, page, y).
+
+    The range condition is an equality on bands as high as the tolerance: near heights lie in the same or an adjacent band.
+    """
+    band = lambda: F.floor(F.col("y") / tolerance)
+    near = content.select("doc", "page", F.col("y").alias("_y"), F.explode(F.array(*[band() + k for k in (-1, 0, 1)])).alias("_band")).distinct()
+    keyed = marks.withColumn("_band", band())
+    same = [keyed[c] == near[c] for c in ("doc", "page", "_band")]
+    return keyed.join(near, [*same, F.abs(F.col("y") - F.col("_y")) <= tolerance], "left_anti").drop("_band")
+
+
+def entry_starts(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Content rows (doc, page, y) that a drawn rule (doc, page, y) marks: the last one above each rule, rows running down."""
+    both = rows.select("doc", "page", "y", F.lit(True).alias("content")).unionByName(rules.select("doc", "page", "y", F.lit(False).alias("content")))
+    # Above means a larger y; a row on the rule's own height is not above it, so it sorts behind the rule.
+    order = W.partitionBy("doc", "page").orderBy(F.desc("y"), "content").rowsBetween(W.unboundedPreceding, -1)
+    above = both.withColumn("above", F.min(F.when(F.col("content"), F.col("y"))).over(order))
+    return above.where("not content and above is not null").select("doc", "page", F.col("above").alias("y")).distinct()
+
+
+def is_running_foot(text: Column) -> Column:
+    return F.trim(text).rlike(r"^Page [0-9]+ of [0-9]+$")
+
+
+def join_lines(lines: Column, soft: bool = True) -> Column:
+    """An array of lines as one text; a hyphen at a line's end joins without a space.
+
+    With ``soft`` the hyphen goes where a letter stands before it and a lower-case one begins the next line; without, it always stays.
+    """
+
+    def step(a: Column, line: Column) -> Column:
+        x = F.trim(line)
+        dropped = F.lit(soft) & a.rlike(r"\p{L}-$") & x.rlike(r"^\p{Ll}")
+        joined = F.when(dropped, F.concat(F.substring(a, F.lit(1), F.length(a) - 1), x)).when(a.endswith("-") | (a == ""), F.concat(a, x)).otherwise(F.concat(a, F.lit(" "), x))
+        return F.when(x == "", a).otherwise(joined)
+
+    return F.aggregate(lines, F.lit(""), step)
+
+
+def heading(lines: Column, fill: int = 75, most: int = 40) -> Column:
+    """struct(title, rejoined): the first line, with the second where the first is full (in bytes) and the second short."""
+    first, second = F.trim(F.coalesce(F.get(lines, 0), F.lit(""))), F.trim(F.coalesce(F.get(lines, 1), F.lit("")))
+    wraps = (F.octet_length(first) >= fill) & (second != "") & (F.octet_length(second) < most)
+    return F.struct(F.when(wraps, F.concat_ws(" ", first, second)).otherwise(first).alias("title"), wraps.alias("rejoined"))
+
+
+def veto_marker(title: Column) -> Column:
+    """struct(status, title): the marker that opens a provision's heading, split off."""
+    t = F.trim(title)
+    # The markers as printed.
+    marker = F.when(t.startswith("**PARTIALLY VETOED**"), "**PARTIALLY VETOED**").when(t.startswith("**VETOED**"), "**VETOED**").otherwise("")
+    status = F.when(marker == "", "not_vetoed").when(marker == "**VETOED**", "vetoed").otherwise("partially_vetoed")
+    return F.struct(status.alias("status"), F.trim(F.substring(t, F.length(marker) + 1, F.length(t))).alias("title"))
+
+
+def provision_provenance(provisions: DataFrame) -> DataFrame:
+    """code, title and page of a provision, with the reference and the locator that cite it."""
+    reference = F.concat(F.lit("provision "), F.coalesce("code", F.concat(F.lit('"'), "title", F.lit('"'))))
+    return provisions.withColumns({"document_ref": reference, "locator": F.concat(F.lit("page "), F.col("page").cast("string"))})
+
+
+def entry_index(entries: DataFrame, *order: str) -> DataFrame:
+    """``entries`` with their place, from 0, within (doc, code)."""
+    return entries.withColumn("entry_index", F.row_number().over(W.partitionBy("doc", "code").orderBy(*order)) - 1)
+
+
+def is_header_row(cells: Column, spellings: list[str]) -> Column:
+    """At least two cells are filled, and more than half of the filled ones name a stage."""
+    filled = F.filter(F.transform(cells, F.trim), lambda c: c != "")
+    named = F.filter(filled, lambda c: F.regexp_replace(F.lower(c), r"\s+", " ").isin(spellings))
+    return (F.size(filled) >= 2) & (F.size(named) * 2 > F.size(filled))
+
+
+def veto_report(items: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Per doc: counts of items (doc, item_number, has_formula) and deletions (doc, item_number, kind, text), what is amiss, and whether nothing is."""
+    cut = deletions.groupBy("doc", "item_number").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "unrecognised").alias("unknown"), F.max(F.coalesce(F.contains("text", F.lit("$")), F.lit(False))).alias("money"))
+    rows = items.join(cut, ["doc", "item_number"], "left").groupBy("doc").agg(
+        F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("deletions"), F.count_if(~F.col("has_formula")).alias("without_formula"), F.count_if(F.col("n").isNull()).alias("without_deletions"),
+        F.coalesce(F.sum("unknown"), F.lit(0)).alias("unrecognised"), F.count_if("money").alias("striking_money"), (F.max("item_number") - F.min("item_number") + 1 - F.count_distinct("item_number")).cast("bigint").alias("missing_numbers"),
+    )
+    return rows.withColumn("is_clean", F.expr("without_formula + without_deletions + unrecognised + missing_numbers = 0"))
+
+
 def body_font(lines: DataFrame) -> DataFrame:
     """The commonest line size of a document in tenths, the smallest on a tie."""
     sizes = lines.groupBy("doc", F.round(F.col("font_size") * 10).cast("int").alias("tenths")).count()

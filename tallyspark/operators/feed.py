@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numbers import parse_money, percent
@@ -58,3 +59,55 @@ def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def change(first: Column, last: Column) -> Column:
     return percent(last - first, first)
+
+
+def first_decomposition(steps: DataFrame) -> DataFrame:
+    """The first step of each (item, period) in feed order: by stage."""
+    return steps.groupBy("item", "period").agg(F.min(F.struct("to_stage", "from_stage", "delta_cents")).alias("s")).select("item", "period", "s.*")
+
+
+def with_decomposition(appropriations: DataFrame, steps: DataFrame) -> DataFrame:
+    """Appropriations (item, period, ..) with the first step of their item and period, null where there is none."""
+    return appropriations.join(first_decomposition(steps), ["item", "period"], "left")
+
+
+def largest_movements(steps: DataFrame, n: int = 2) -> DataFrame:
+    """The ``n`` largest movements of each (item, period), the earlier stage first of equal ones."""
+    order = W.partitionBy("item", "period").orderBy(F.abs("delta_cents").desc(), "to_stage")
+    return steps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("item", "period", "to_stage", "delta_cents", "place")
+
+
+def enacted_points(points: DataFrame, last_stage: int) -> DataFrame:
+    """(item, period, cents) of the figures at the last stage that have an amount."""
+    return points.where((F.col("stage") == last_stage) & F.col("cents").isNotNull()).select("item", "period", "cents")
+
+
+def citing_counts(sources: DataFrame, citations: DataFrame) -> DataFrame:
+    """(source, nodes): distinct nodes that cite each source, 0 included."""
+    counted = citations.groupBy("source").agg(F.count_distinct("node").alias("nodes"))
+    return sources.join(counted, "source", "left").fillna(0, ["nodes"])
+
+
+def node_by_slug(nodes: DataFrame) -> DataFrame:
+    """(slug, path, ambiguous): the first node, by path, of each bare slug and whether others have it too."""
+    slug = F.regexp_extract("path", r"([^/]+)$", 1)
+    return nodes.groupBy(slug.alias("slug")).agg(F.min("path").alias("path"), (F.count("*") > 1).alias("ambiguous"))
+
+
+def restated_at(periods: DataFrame, series: DataFrame) -> DataFrame:
+    """Periods (item, period) with the restated point of the series (item, period, real_cents), null without one."""
+    return periods.join(series, ["item", "period"], "left")
+
+
+def humanised(slug: Column) -> Column:
+    """Hyphens as spaces, the first character upper-cased and nothing else."""
+    plain = F.replace(slug, F.lit("-"), F.lit(" "))
+    return F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 2147483647))
+
+
+def first_line(text: Column) -> Column:
+    return F.trim(F.get(F.split(F.coalesce(text, F.lit("")), "\n"), 0))
+
+
+def constant_dollar_label(base: Column, series: Column) -> Column:
+    return F.concat(base, F.lit(" dollars ("), series, F.lit(")"))

@@ -68,3 +68,31 @@ def adjustment_test(wide: DataFrame) -> DataFrame:
         F.count_if((j != e) & (after < before)).alias("toward"), F.count_if((j != e) & (after > before)).alias("away"),
     )
     return out.withColumns({"closed_pct": percent(F.col("distance_enacted") - F.col("distance_adjusted"), F.col("distance_enacted")), "toward_pct": percent(F.col("toward"), F.col("toward") + F.col("away"))})
+
+
+def with_previous(biennia: DataFrame) -> DataFrame:
+    """Biennia (bill, file, previous_bill) with the previous one's file; null for the first."""
+    before = biennia.select(F.col("bill").alias("previous_bill"), F.col("file").alias("previous_file"))
+    return biennia.join(before, "previous_bill", "left")
+
+
+def with_officers(tallies: DataFrame, officers: DataFrame) -> DataFrame:
+    """Tallies (actor, bill, ..) with the officer who presided over the actor's chamber (bill, actor, officer); none for others."""
+    return tallies.join(F.broadcast(officers), ["actor", "bill"], "left")
+
+
+def findings(wide: DataFrame, required: DataFrame, hand_offs: list[tuple[str, int, int, int, int]], officers: DataFrame) -> DataFrame:
+    """All conditioned tallies with officers, and no row at all if a bill of ``required`` (bill) has no figures."""
+    absent = required.join(wide.select("bill").distinct(), "bill", "left_anti").agg((F.count("*") == 0).alias("complete"))
+    rows = with_officers(conditioning(wide, hand_offs), officers).withColumn("complete", F.lit(True))
+    return rows.join(F.broadcast(absent), "complete").drop("complete")
+
+
+def hand_off_rows(tallies: DataFrame) -> DataFrame:
+    """Plot-ready shares of conditioned tallies: percent raised by what came before, their gap, and how often toward the baseline."""
+    share = lambda up, of: F.when(F.col(of) > 0, F.round(100 * F.col(up) / F.col(of), 6))
+    rows = tallies.select(
+        "actor", "bill", share("raised_after_raise", "after_raise").alias("raised_when_prior_raised"), share("raised_after_cut", "after_cut").alias("raised_when_prior_cut"),
+        (F.col("after_raise") + F.col("after_cut")).alias("moved_n"), F.when(F.col("toward") + F.col("away") > 0, F.round(100 * F.col("toward") / (F.col("toward") + F.col("away")), 6)).alias("toward_baseline"),
+    )
+    return rows.withColumn("gap", F.round(F.col("raised_when_prior_cut") - F.col("raised_when_prior_raised"), 5))

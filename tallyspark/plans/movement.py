@@ -22,22 +22,22 @@ CATEGORIES, NARROW = ["own_source", "shared", "reimbursement", "school_aid"], ["
 def points(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("item"), period(F.col("o_orderdate")).alias("period"), F.substring("o_orderpriority", 1, 1).cast("int").alias("stage"),
-        F.when(F.col("o_orderstatus") != "P", cents_of(F.col("o_totalprice"))).alias("cents"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 1000).alias("version"), F.col("o_orderkey").alias("ref"),
+        F.when(F.col("o_orderstatus") != "P", cents_of(F.col("o_totalprice"))).alias("cents"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("version"), F.col("o_orderkey").alias("ref"),
     )
 
 
 def actions(spark, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return lines.select(
-        "l_orderkey", "l_returnflag", "l_linenumber", "l_quantity", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents_of(F.col("l_extendedprice"))).alias("action"),
+        "l_orderkey", "l_partkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents_of(F.col("l_extendedprice"))).alias("action"),
         F.when(F.col("l_tax") < 0.005, "veto").otherwise("amendment").alias("kind"), F.concat(F.lit("actor-"), F.col("l_suppkey").cast("string")).alias("actor"),
     )
 
 
 def c12(spark, sf_dir):
     acts = actions(spark, sf_dir)
-    applies = acts.where("l_returnflag = 'R' and l_quantity > 49.5 and l_linenumber = 1").select((F.col("l_orderkey") % 1000).alias("version"), "action", "kind", "actor").distinct()
-    modifies = acts.where("l_returnflag <> 'N' and l_linenumber = 7").select(F.col("l_orderkey").alias("ref"), "action", "kind", "actor").distinct()
+    applies = acts.select(F.col("l_orderkey").alias("version"), "action", "kind", "actor").distinct()
+    modifies = acts.select(F.col("l_partkey").alias("ref"), "action", "kind", "actor").distinct()
     return stages.attributed(stages.steps(points(spark, sf_dir)), applies, modifies)
 
 
@@ -113,9 +113,9 @@ ORACLES = {
     "w03_series": f"""WITH {POINTS} SELECT item, period, greatest(count(cents) - 1, 0) AS n_steps, arg_max(cents, stage) FILTER (cents IS NOT NULL) - arg_min(cents, stage) FILTER (cents IS NOT NULL) AS net_cents,
   array_to_string(list_filter([1, 2, 3, 4, 5], lambda x: NOT list_contains(coalesce(list(stage) FILTER (cents IS NOT NULL), []), x)), ',') AS missing,
   coalesce(max(stage) FILTER (cents IS NOT NULL) - min(stage) FILTER (cents IS NOT NULL) + 1 = count(cents), true) AS is_complete FROM fst GROUP BY item, period""",
-    "c12_decompose": f"""WITH {POINTS}, act AS (SELECT DISTINCT l_orderkey, l_returnflag, l_linenumber, l_quantity, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {CENTS.format('l_extendedprice')}) AS action, CASE WHEN l_tax < 0.005 THEN 'veto' ELSE 'amendment' END AS kind, 'actor-' || l_suppkey AS actor FROM lineitem),
-f AS (SELECT s.item, s.period, s.to_stage, action, kind, actor FROM steps s JOIN act ON s.ord % 1000 = l_orderkey % 1000 WHERE l_returnflag = 'R' AND l_quantity > 49.5 AND l_linenumber = 1
-  UNION SELECT s.item, s.period, s.to_stage, action, kind, actor FROM steps s JOIN act ON s.ord = l_orderkey WHERE l_returnflag <> 'N' AND l_linenumber = 7),
+    "c12_decompose": f"""WITH {POINTS}, act AS (SELECT DISTINCT l_orderkey, l_partkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {CENTS.format('l_extendedprice')}) AS action, CASE WHEN l_tax < 0.005 THEN 'veto' ELSE 'amendment' END AS kind, 'actor-' || l_suppkey AS actor FROM lineitem),
+f AS (SELECT s.item, s.period, s.to_stage, action, kind, actor FROM steps s JOIN act ON s.ord = l_orderkey
+  UNION SELECT s.item, s.period, s.to_stage, action, kind, actor FROM steps s JOIN act ON s.ord = l_partkey),
 b AS (SELECT item, period, to_stage, count(*) AS n, bool_or(kind = 'veto') AS veto, arg_min(actor, action) AS actor FROM f GROUP BY ALL)
 SELECT s.item, s.period, s.to_stage, from_stage, from_cents, to_cents, delta_cents, skipped, coalesce(n, 0) AS n_actions, actor AS first_actor, skipped = '' AND coalesce(n, 0) > 0 AS is_attributed, coalesce(veto, false) AND delta_cents > 0 AS veto_with_rise
 FROM steps s LEFT JOIN b ON s.item = b.item AND s.period = b.period AND s.to_stage = b.to_stage""",

@@ -37,16 +37,11 @@ GLYPHS = fx.Rows("glyphs", "doc string, page int, x double, y double, advance do
 CELLS_SQL = "SELECT * FROM (VALUES ('d', 1, 0, 0, 'Agency'), ('d', 1, 0, 1, 'Name here'), ('d', 1, 0, 2, '1.00'), ('d', 1, 1, 0, 'EDU'), ('d', 1, 1, 1, 'Aid'), ('d', 1, 1, 2, '2.00')) v(doc, page, \"row\", col, text)"
 
 
-def text_lines(spark, sf_dir):
-    """Lines of the texts: a source is a document, a text its page, the line's number its height."""
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    return docs.select("doc", "page", F.least(F.col("n"), F.lit(3)).cast("double").alias("y"), "text")
-
-
-def running(spark, sf_dir):
-    lines = text_lines(spark, sf_dir)
-    seen = lines.groupBy(ops.running_key(F.col("text")).alias("key")).agg(F.count_distinct("page").alias("pages")).where("pages >= 3 and length(key) > 8")
-    return seen.select(F.md5("key").alias("key_md5"), "pages")
+def line_marks(spark, sf_dir):
+    """Printed lines: an order is a document, its line numbers are pages, the discount is the height on the page."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.floor(F.col("l_discount") * 20).alias("y"), F.concat("l_returnflag", "l_linestatus", F.floor("l_quantity").cast("string")).alias("text"),
+    )
 
 
 def carried(spark, sf_dir):
@@ -77,8 +72,13 @@ QUERIES = {
     "w13_carry_forward": carried,
     "w11_islands": islands,
     "w16_sessions": sessions,
-    "a24_repeated_lines": running,
+    "a24_repeated_lines": lambda s, d: ops.running_lines(line_marks(s, d)),
+    "j38_without_running_lines": lambda s, d: ops.without_running_lines(line_marks(s, d)),
 }
+RUNNING_SQL = """marks AS (SELECT l_orderkey AS doc, l_linenumber AS page, CAST(floor(l_discount * 20) AS BIGINT) AS y, l_returnflag || l_linestatus || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) AS text,
+  regexp_replace(l_returnflag || l_linestatus || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), '[0-9]', '#', 'g') AS key FROM lineitem),
+own AS (SELECT doc, count(DISTINCT page) AS pages FROM marks GROUP BY doc),
+heads AS (SELECT m.doc, y, key, count(DISTINCT page) AS n FROM marks m JOIN own ON own.doc = m.doc GROUP BY m.doc, y, key, pages HAVING count(DISTINCT page) >= greatest(pages // 2, 2))"""
 ORACLES = {
     "f28_deletions": INS_SQL,
     "w18_veto_items": f"""WITH {LINES.sql()}, s AS (SELECT *, sum(CASE WHEN regexp_matches(trim(text), '^ITEM NUMBER\\s+[0-9]+(\\s|$)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS segment FROM veto)
@@ -89,5 +89,6 @@ SELECT CAST(segment AS BIGINT) AS segment, max(TRY_CAST(nullif(regexp_extract(tr
     "w13_carry_forward": "SELECT user_id AS doc, event_id AS page, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rules FROM events",
     "w11_islands": "WITH d AS (SELECT DISTINCT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day FROM events), i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM d) SELECT user_id, CAST(min(day) AS INTEGER) AS first_day, CAST(count(*) AS INTEGER) AS days FROM i GROUP BY user_id, island",
     "w16_sessions": "WITH s AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations) SELECT conv_id, CAST(segment AS BIGINT) AS segment, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY conv_id, segment",
-    "a24_repeated_lines": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), k AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\s+', '', 'g'), '[0-9]', '#', 'g') AS key FROM l) SELECT md5(key) AS key_md5, count(DISTINCT doc_id) AS pages FROM k WHERE length(key) > 8 GROUP BY key HAVING count(DISTINCT doc_id) >= 3",
+    "a24_repeated_lines": f"WITH {RUNNING_SQL} SELECT doc, y, key, n FROM heads",
+    "j38_without_running_lines": f"WITH {RUNNING_SQL} SELECT doc, page, y, text FROM marks m WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc = m.doc AND h.y = m.y AND h.key = m.key)",
 }
