@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,0)"
@@ -30,15 +29,12 @@ def percent(top: Column, bottom: Column, digits: int = 6) -> Column:
     return F.round(ratio(top, bottom) * 100, digits)
 
 
-def upper_median(value: str, *keys: str) -> tuple[Column, Column]:
-    """(rank column, aggregate): the value at 0-based place n / 2 of the sorted non-null values.
+def upper_median(value: str) -> Column:
+    """Aggregate: the value at 0-based place n / 2 of the sorted non-null values.
 
-    Use the first in a projection named ``_rank``, the second in the following groupBy.
+    That is the lower median of the descending order; tasks count their distinct values first, so no key's rows meet in one sort.
     """
-    window = W.partitionBy(*keys)
-    place = F.when(F.col(value).isNotNull(), F.row_number().over(window.orderBy(F.col(value).asc_nulls_last())))
-    count = F.count(value).over(window)
-    return F.when(place == F.floor(count / 2) + 1, F.col(value)), F.max("_rank")
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def _let(value: Column, body) -> Column:

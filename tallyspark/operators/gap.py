@@ -96,11 +96,10 @@ def summary(gaps: DataFrame) -> DataFrame:
 
 def character_distribution(gaps: DataFrame) -> DataFrame:
     """Per character: pairs, upper median and mean absolute percentage, shares within 1 and beyond 5 percent."""
-    rank, median = upper_median("variance_pct", "character")
-    rows = gaps.where("status = 'computed' and variance_pct is not null").withColumn("_rank", rank)
+    rows = gaps.where("status = 'computed' and variance_pct is not null")
     size = F.abs("variance_pct")
     return rows.groupBy("character").agg(
-        F.count("*").alias("pairs"), median.alias("median_pct"), F.round(F.avg(size), 4).alias("mean_abs_pct"), F.count_if(size < 1.0).alias("within_one"), F.count_if(size > 5.0).alias("beyond_five")
+        F.count("*").alias("pairs"), upper_median("variance_pct").alias("median_pct"), F.round(F.avg(size), 4).alias("mean_abs_pct"), F.count_if(size < 1.0).alias("within_one"), F.count_if(size > 5.0).alias("beyond_five")
     )
 
 

@@ -51,10 +51,10 @@ def domain_links(links: DataFrame) -> DataFrame:
 
 
 def backlinks(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Incoming links of every node, keyed by path, in (class, path) order of their sources."""
+    """Incoming links, one row each: path of the node, class and path of the source, relationship. A hub is many rows, not one."""
     incoming = resolved(links).where(F.col("relationship") != INSTANCE_OF).join(nodes.select("path", F.col("class").alias("src_class")), "path")
-    per_node = incoming.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("src_class", F.col("path").alias("src"), "relationship"))), lambda x: F.concat(x["src"], F.lit(":"), x["relationship"])), ",").alias("sources"))
-    return nodes.select("path").join(per_node, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sources", F.lit("")).alias("sources"))
+    incoming = incoming.select(F.col("dst").alias("path"), "src_class", F.col("path").alias("src"), "relationship")
+    return incoming.join(nodes.select("path"), "path", "left_semi")
 
 
 def _any(text: Column, phrases: list[str]) -> Column:

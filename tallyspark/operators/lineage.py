@@ -63,7 +63,9 @@ def is_namesake(a: Column, b: Column) -> Column:
 def slices(rows: DataFrame) -> DataFrame:
     """Items with namesakes in their agency, and their own share of the money (agency, code, name, cents)."""
     best = rows.groupBy("agency", "code").agg(F.max(F.struct("cents", "name")).alias("m")).select("agency", "code", "m.name", "m.cents")
-    other = best.select("agency", F.col("code").alias("code2"), F.col("name").alias("name2"), F.col("cents").alias("cents2"))
-    found = best.join(other, "agency").where((F.col("code") != F.col("code2")) & is_namesake(F.col("name"), F.col("name2")) & ~is_administrative(F.col("name2")))
+    # The shorter name has at least 12 bytes and begins the longer one, so namesakes agree in their first 12 bytes.
+    best = best.withColumn("_head", F.substring(F.lower(F.trim("name")).cast("binary"), 1, 12)).where(F.octet_length(F.trim("name")) >= 12)
+    other = best.select("agency", "_head", F.col("code").alias("code2"), F.col("name").alias("name2"), F.col("cents").alias("cents2"))
+    found = best.join(other, ["agency", "_head"]).where((F.col("code") != F.col("code2")) & is_namesake(F.col("name"), F.col("name2")) & ~is_administrative(F.col("name2")))
     out = found.groupBy("agency", "code", "name", "cents").agg(F.count("*").alias("siblings"), F.sum("cents2").alias("sibling_cents"))
     return out.select("agency", "code", "name", F.col("cents").alias("own_cents"), "siblings", "sibling_cents", F.round(ratio(F.col("cents"), F.col("cents") + F.col("sibling_cents")), 6).alias("own_share"))

@@ -49,12 +49,11 @@ def conference_position(wide: DataFrame, house: int, senate: int, conference: in
     where = F.when(c == h, "at_house").when(c == s, "at_senate").when((c > F.least(h, s)) & (c < F.greatest(h, s)), "between").otherwise("outside")
     rows = rows.withColumns({"place": where, "cents": F.abs(h - s), "position": F.round(ratio(c - s, h - s), 9)})
     rows = rows.select(F.explode(F.array("bill", F.lit("pooled"))).alias("bill"), "place", "cents", "position")
-    rank, median = upper_median("position", "bill")
     places = "at_house", "at_senate", "between", "outside"
     total = F.sum("cents")
-    return rows.withColumn("_rank", rank).groupBy("bill").agg(
+    return rows.groupBy("bill").agg(
         F.count("*").alias("contested"), total.alias("contested_cents"), *[F.count_if(F.col("place") == p).alias(p) for p in places],
-        *[F.coalesce(percent(F.sum(F.when(F.col("place") == p, F.col("cents"))), total, 4), F.lit(0.0)).alias(f"{p}_dollar_pct") for p in places], median.alias("median_position"),
+        *[F.coalesce(percent(F.sum(F.when(F.col("place") == p, F.col("cents"))), total, 4), F.lit(0.0)).alias(f"{p}_dollar_pct") for p in places], upper_median("position").alias("median_position"),
     )
 
 

@@ -67,7 +67,7 @@ def tables_graph(spark, sf_dir: str):
 
 def j23(spark, sf_dir):
     nodes, links = tables_graph(spark, sf_dir)
-    return graph.backlinks(links, nodes).where("n > 0").select("path", "n", F.md5("sources").alias("sources_md5"))
+    return graph.backlinks(links, nodes)
 
 
 def j26(spark, sf_dir):
@@ -113,6 +113,6 @@ ORACLES = {
     "v_rules": f"{_RULES} SELECT path, rule, severity, count(*) AS n FROM f GROUP BY ALL",
     "a29_findings_by_severity": f"{_RULES} SELECT severity, count(*) AS findings FROM f GROUP BY severity",
     "j22_link_resolution": f"WITH {_FIX} SELECT path, pos, relationship, raw, dst, CASE WHEN dst IN (SELECT path FROM nodes) THEN 'node' WHEN dst IN (SELECT path FROM classes) THEN 'class' WHEN dst IN (SELECT path FROM catalog) THEN 'catalog' ELSE 'unresolved' END AS kind FROM full_links",
-    "j23_backlinks": f"WITH {_BULK} SELECT e.dst AS path, count(*) AS n, md5(string_agg(e.path || ':belongs-to', ',' ORDER BY s.class, e.path)) AS sources_md5 FROM e JOIN n s ON s.path = e.path JOIN n t ON t.path = e.dst GROUP BY e.dst",
+    "j23_backlinks": f"WITH {_BULK} SELECT e.dst AS path, s.class AS src_class, e.path AS src, 'belongs-to' AS relationship FROM e JOIN n s ON s.path = e.path JOIN n t ON t.path = e.dst",
     "j26_broken_links": f"WITH {_BULK} SELECT path, dst FROM e WHERE dst NOT IN (SELECT path FROM n)",
 }
