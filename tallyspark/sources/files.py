@@ -156,3 +156,54 @@ def write_feed(folder: str, **sections: DataFrame) -> None:
         rows.write.mode("overwrite").json(f"{folder}/{name}.json")
     spark = next(iter(sections.values())).sparkSession
     spark.createDataFrame([(CONTRACT_VERSION,)], "contract string").write.mode("overwrite").json(f"{folder}/manifest.json")
+
+
+def decisions(spark, folder: str) -> DataFrame:
+    """path and top-level keys of the decision files below ``folder``, by path; one that is no mapping has no keys, one that does not parse is left out."""
+    return corpus(spark, folder).where("parse_error is null").select("path", F.coalesce("keys", F.array().cast("array<string>")).alias("keys")).orderBy("path")
+
+
+def skills(spark, folder: str) -> DataFrame:
+    """path, name and description in the front matter of Markdown files; files without both are left out."""
+    files = whole_files(spark, folder, ".md").withColumn("value", front_matter(F.col("value"))).where("value is not null")
+    return files.mapInPandas(_skills, "path string, name string, description string").where("name is not null and description is not null")
+
+
+def _skills(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import yaml
+
+    for part in parts:
+        rows = []
+        for path, value in zip(part["path"], part["value"], strict=True):
+            try:
+                doc = _plain(yaml.compose(value))
+                rows.append((path, _text(doc.get("name")), _text(doc.get("description"))))
+            except (yaml.YAMLError, AttributeError):
+                rows.append((path, None, None))
+        yield pd.DataFrame(rows, columns=["path", "name", "description"])
+
+
+def fixture_rows(spark, folder: str, schema: str) -> DataFrame:
+    """Rows of all .yml lists below ``folder``, with their file's path; a file that does not parse fails the read."""
+
+    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        import yaml
+
+        for part in parts:
+            rows = [(path, json.dumps(row, default=str)) for path, value in zip(part["path"], part["value"], strict=True) for row in yaml.safe_load(value) or []]
+            yield pd.DataFrame(rows, columns=["path", "row"])
+
+    rows = whole_files(spark, folder, ".yml").mapInPandas(parsed, "path string, row string")
+    return rows.select("path", F.from_json("row", schema, {"mode": "FAILFAST"}).alias("r")).select("path", "r.*")
+
+
+def bill(rows: DataFrame, assembly: str, number: str) -> DataFrame:
+    """The fixture rows of one bill: a number is unique only within its general assembly."""
+    return rows.where((F.col("general_assembly") == assembly) & (F.col("bill_number") == number))
+
+
+def http_rows(url: str) -> DataFrame:
+    """Nothing is fetched, and nothing stands in for it."""
+    raise NotImplementedError(f"no network source: {url}")

@@ -2,7 +2,7 @@ import zipfile
 
 import pytest
 
-from tallyspark.sources import files, workbook
+from tallyspark.sources import files, sinks, workbook
 
 
 def test_corpus_reads_nodes_classes_and_scalar_kinds(spark, tmp_path):
@@ -80,3 +80,36 @@ def test_workbook_cells_sheet_choice_and_header_row(spark, tmp_path):
 def test_workbook_is_told_by_content(tmp_path):
     with pytest.raises(ValueError, match="by content"):
         list(workbook.cells(b"\xd0\xcf\x11\xe0"))
+
+
+def test_decisions_and_skills_skip_what_does_not_parse(spark, tmp_path):
+    (tmp_path / "b.yml").write_text("title: x\nstatus: open\n")
+    (tmp_path / "a.yml").write_text("- one\n")
+    (tmp_path / "c.yml").write_text("a: [1,\n")
+    assert [(r["path"], r["keys"]) for r in files.decisions(spark, str(tmp_path)).collect()] == [("a.yml", []), ("b.yml", ["title", "status"])]
+    (tmp_path / "one.md").write_text("---\nname: n\ndescription: d e\n---\nx")
+    (tmp_path / "two.md").write_text("---\nname: n\n---\n")
+    (tmp_path / "three.md").write_text("---\nname: [\n---\n")
+    assert [tuple(r) for r in files.skills(spark, str(tmp_path)).collect()] == [("one.md", "n", "d e")]
+
+
+def test_fixture_rows_are_found_by_assembly_and_number(spark, tmp_path):
+    (tmp_path / "b.yml").write_text("- {bill_number: HB 96, general_assembly: 136th, amount_cents: 5}\n- {bill_number: HB 96, general_assembly: 135th, amount_cents: null}\n")
+    (tmp_path / "a.yml").write_text("- {bill_number: HB 1, general_assembly: 136th, amount_cents: 7}\n")
+    rows = files.fixture_rows(spark, str(tmp_path), "bill_number string, general_assembly string, amount_cents bigint")
+    assert sorted((r["path"], r["bill_number"], r["amount_cents"] or 0) for r in rows.collect()) == [("a.yml", "HB 1", 7), ("b.yml", "HB 96", 0), ("b.yml", "HB 96", 5)]
+    assert [r["amount_cents"] for r in files.bill(rows, "136th", "HB 96").collect()] == [5]
+    with pytest.raises(NotImplementedError):
+        files.http_rows("https://x.example")
+
+
+def test_rows_and_schemas_round_trip_as_json(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    rows = spark.createDataFrame([(1, "a", None), (2, None, [3])], "id bigint, name string, many array<int>")
+    sinks.emit_rows(rows, f"{tmp_path}/rows")
+    sinks.emit_schema(rows, str(tmp_path), "row")
+    import json
+
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{tmp_path}/row.schema.json").first()["value"]))
+    assert schema == rows.schema and sorted(map(str, spark.read.schema(schema).json(f"{tmp_path}/rows").collect())) == sorted(map(str, rows.collect()))
