@@ -20,6 +20,8 @@ ORACLES = {
     "op3_decontaminate": decontam.ORACLE,
     "op4_mix": mixing.ORACLE,
     "op5_quality": quality.ORACLE,
+    "op8_substring_dedup": rlz.ORACLE,
+    "op10_neardup": neardup.ORACLE,
 }
 
 

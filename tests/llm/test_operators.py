@@ -427,6 +427,12 @@ def test_html_text(spark):
     assert "Weather" not in by_id[10] and htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_class_words_drop_widgets_and_no_text_of_an_article():
+    page = '<article><p class="share-price">one</p><p class="notice-period">two</p><p id="related-work">three</p><div class="share-buttons">no</div><div class="cookieNotice">no</div></article>'
+    assert htmltext.page_blocks(page)[0] == ["one", "two", "three"]
+    assert htmltext.page_blocks('<main><div class="promo-code-guide">yes</div><div id="sidebar-left">no</div></main>')[0] == ["yes"]
+
+
 def test_pipeline_stages_take_effect(spark, docs, docs_rows, tmp_path):
     import corpus_pipeline
 
