@@ -3,13 +3,18 @@
 Only suffixes that start at minimiser positions are kept (see ``anchors``): equal windows of PASSAGE
 words select the same minimiser at the same place, so all copies of a window meet under its anchor,
 the KMER words that the suffix starts with. Suffixes whose anchor is unique cannot match and go after
-one count. The others are settled by counting equal windows, not by comparing neighbours of a sorted
-order, as a window's first copy need not be a neighbour of the others:
+one count. A phrase, all words of the windows that select one anchor, is counted as a whole, and its first
+place is the smallest (doc_id, text hash, word). Where an anchor has a single phrase, that settles all
+windows. Where it has several, one suffix of each stays:
 
-* a phrase, all words of the windows that select one anchor, is counted as a whole, and its first place
-  is the smallest (doc_id, text hash, word). Where an anchor has a single phrase, that settles all windows;
-* where an anchor has several phrases, every window of one copy of each is hashed, and equal windows
-  are counted, weighted with the copies of their phrases, and their first place is taken over all.
+* they are sorted by the words from the anchor on, and neighbours tell how far each matches any other to
+  the right; sorted by the words before the anchor, backwards, neighbours tell how far to the left;
+* a window can be repeated only if it lies between these two bounds. The best partner to the right need
+  not be the one to the left, so these windows are candidates: equal ones are counted, weighted
+  with the copies of their phrases, and their first place is taken over all.
+
+Sorts are by range over all tasks, anchor first, so a hot anchor is many tasks; the first and last suffix
+of a batch have a neighbour elsewhere and are taken to match as far as they reach, which only adds candidates.
 
 A window with two places or more is a repeated passage; a word is removed if and only if some window
 over it also stands at an earlier place (by doc_id, then place). The first copy of a window is never
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchored, id_type, keyed, same_row, signed
-from .common import saved
+from .common import drop, saved
 from .wordhash import Rolling, batches, mix, words
 
 PASSAGE, KMER = 50, 16
@@ -43,8 +48,21 @@ MOST = PASSAGE - KMER + 1
 _WINDOWS = Rolling(0x9FB21C651E98DF25)
 
 
-def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(th, rank, text, look: list of (anchor, phrase, at, n, times)) to one row per window of the phrases."""
+def _ranges(start: np.ndarray, size: np.ndarray, step: int = 1) -> np.ndarray:
+    """All of start, start + step .. (size of them), one after another."""
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(start, size) + step * within
+
+
+def _cuts(size: np.ndarray, width: int = 1) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(size * width))).astype(np.int32)
+
+
+def _suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(th, rank, text, look: list of (anchor, phrase, at, off, n, times)) to one suffix per phrase.
+
+    ahead and behind are the words after and (backwards) before the anchor in 16 bits each, windows the hashes of all n windows.
+    """
     for batch in rows:
         look = batch.column("look")
         for lo, hi, data, offsets in batches(batch.column("text")):
@@ -54,20 +72,53 @@ def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             _, _, hashes, first = words(data, offsets)
             flat = part.flatten()
-            anchor, phrase, at, n, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            anchor, phrase, at, off, n, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
             text = np.repeat(np.arange(hi - lo), sizes)
-            each = np.repeat(np.arange(len(at)), n)
-            within = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            start = at[each] + within
-            whole = start + first[text[each]]
-            value = mix(_WINDOWS.ranges(_WINDOWS.prefix(hashes), whole, whole + PASSAGE), 62)
-            row = pa.array(text[each] + lo)
+            begin = at + first[text]
+            start = _ranges(begin, n)
+            value = mix(_WINDOWS.ranges(_WINDOWS.prefix(hashes), start, start + PASSAGE), 62)
+            code, after = (hashes >> np.uint64(48)).astype(">u2"), n + PASSAGE - 1 - off - KMER
+            ahead, behind = code[_ranges(begin + off + KMER, after)], code[_ranges(begin + off - 1, off, -1)]
+            packed = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(_cuts(size, 2)), pa.py_buffer(codes.tobytes())]) for codes, size in ((ahead, after), (behind, off))]
+            row = pa.array(text + lo)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[each]), pa.array(phrase[each]), pa.array(within.astype(np.int32)), signed(value), pa.array(times[each]), batch.column("rank").take(row), batch.column("th").take(row), pa.array(start.astype(np.int32))],
-                ["anchor", "phrase", "offset", "hash", "times", "rank", "th", "at"],
+                [*map(pa.array, (anchor, phrase, at, off, n, times)), batch.column("rank").take(row), batch.column("th").take(row), *packed, pa.ListArray.from_arrays(pa.array(_cuts(n)), signed(value))],
+                ["anchor", "phrase", "at", "off", "n", "times", "rank", "th", "ahead", "behind", "windows"],
             )
 
 
+def _matched(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """How many words of ``name`` each suffix of a sorted batch shares with the better of its neighbours of the same anchor."""
+    column, anchor = batch.column(name).cast(pa.large_binary()), batch.column("anchor").to_numpy()
+    edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    codes = np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.int32)
+    size = np.diff(edge) // 2
+    table = np.full((len(column), PASSAGE), -1, np.int32)
+    table[np.repeat(np.arange(len(column)), size), _ranges(np.zeros(len(column), np.int64), size)] = codes
+    same = (table[1:] == table[:-1]) & (table[1:] >= 0)
+    common = np.where(anchor[1:] == anchor[:-1], same.argmin(axis=1), 0)  # a row has fewer than PASSAGE codes, so there is a first difference
+    return np.maximum(np.append(common, PASSAGE), np.concatenate(([PASSAGE], common)))
+
+
+def _reach_ahead(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes in the order of ``ahead``, which gives way to how far they match to the right."""
+    for batch in rows:
+        yield batch.drop_columns(["ahead"]).append_column("reach", pa.array(_matched(batch, "ahead").astype(np.int32)))
+
+
+def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes in the order of ``behind`` to one row per window between both bounds, or of a phrase with several copies."""
+    for batch in rows:
+        off, n, times, reach, at = (batch.column(c).to_numpy() for c in ("off", "n", "times", "reach", "at"))
+        each, offset = np.repeat(np.arange(len(n)), n), _ranges(np.zeros(len(n), np.int64), n)
+        before = off[each] - offset
+        held = (times[each] > 1) | ((before <= _matched(batch, "behind")[each]) & (PASSAGE - KMER - before <= reach[each]))
+        value = batch.column("windows").flatten().filter(pa.array(held))
+        each, offset = each[held], offset[held]
+        own = [batch.column(c).take(pa.array(each)) for c in ("anchor", "phrase", "times", "rank", "th")]
+        yield pa.RecordBatch.from_arrays([*own, value, pa.array(offset.astype(np.int32)), pa.array((at[each] + offset).astype(np.int32))], ["anchor", "phrase", "times", "rank", "th", "hash", "offset", "at"])
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, th, at, repeated, later): bit i stands for the window of PASSAGE words from word at + i on."""
     kind = id_type(docs)
@@ -78,14 +129,20 @@ def passages(docs: DataFrame) -> DataFrame:
     # Counts are saved, so that both sides of the joins are plain shuffles, which AQE can split where a key is hot.
     known = phrases.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("copies > 1")
     known = saved(known.select("anchor", (F.col("lo") == F.col("hi")).alias("one")))
-    hits = saved(phrases.join(known, "anchor").select("doc_id", "th", rank.alias("rank"), "anchor", "phrase", "at", "n", "one"))
-    groups = hits.groupBy("anchor", "phrase", "n", "one").agg(F.count("*").alias("times"), F.min(F.struct("rank", "th", "at", "doc_id")).alias("ref"))
+    hits = saved(phrases.join(known, "anchor").select("doc_id", "th", rank.alias("rank"), "anchor", "phrase", "at", (F.col("place") - F.col("at")).alias("off"), "n", "one"))
+    groups = hits.groupBy("anchor", "phrase", "off", "n", "one").agg(F.count("*").alias("times"), F.min(F.struct("rank", "th", "at", "doc_id")).alias("ref"))
     groups = saved(groups)
-    # One copy of each phrase of an anchor that has several lists its windows.
+    # One copy of each phrase of an anchor that has several.
     look = groups.where("not one").groupBy(F.col("ref.doc_id").alias("_id"), F.col("ref.th").alias("_th"))
-    look = look.agg(F.collect_list(F.struct("anchor", "phrase", F.col("ref.at").alias("at"), "n", "times")).alias("look"))
+    look = look.agg(F.collect_list(F.struct("anchor", "phrase", F.col("ref.at").alias("at"), "off", "n", "times")).alias("look"))
     asked = texts.join(look, same_row(texts, look)).select("th", rank.alias("rank"), "text", "look")
-    asked = saved(asked.mapInArrow(_windows, "anchor bigint, phrase bigint, offset int, hash bigint, times bigint, rank bigint, th binary, at int"))
+    common = "anchor bigint, phrase bigint, at int, off int, n int, times bigint, rank bigint, th binary"
+    # Saved, as a sort by range reads its input twice.
+    suffixes = saved(asked.mapInArrow(_suffixes, f"{common}, ahead binary, behind binary, windows array<bigint>"))
+    ahead = saved(suffixes.repartitionByRange("anchor", "ahead").sortWithinPartitions("anchor", "ahead").mapInArrow(_reach_ahead, f"{common}, behind binary, windows array<bigint>, reach int"))
+    behind = ahead.repartitionByRange("anchor", "behind").sortWithinPartitions("anchor", "behind")
+    asked = saved(behind.mapInArrow(_candidates, "anchor bigint, phrase bigint, times bigint, rank bigint, th binary, hash bigint, offset int, at int"))
+    drop(suffixes, ahead)
     twice = asked.groupBy("anchor", "hash").agg(F.sum("times").alias("total"), F.min(F.struct("rank", "th", "at")).alias("first")).where("total > 1")
     twice = asked.join(saved(twice.select("anchor", "hash", "first")), ["anchor", "hash"]).groupBy("anchor", "phrase").agg(F.collect_set(F.struct("offset", "first")).alias("windows"))
     whole = groups.where("one").select("anchor", "phrase", F.expr("named_struct('rank', ref.rank, 'th', ref.th, 'at', ref.at)").alias("first"), F.lit(None).cast(twice.schema["windows"].dataType).alias("windows"))
