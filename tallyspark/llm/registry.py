@@ -17,6 +17,7 @@ QUERIES = {
     "op10_neardup": neardup.op10_neardup,
 }
 ORACLES = {
+    "op2_suffix_dedup": suffixes.ORACLE,
     "op3_decontaminate": decontam.ORACLE,
     "op4_mix": mixing.ORACLE,
     "op5_quality": quality.ORACLE,

@@ -190,3 +190,14 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, md5(coalesce(text, '')) AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, {'k': k, 't': t, 'i': i} AS place, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT r, k, t, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+twice AS (SELECT s, min(place) AS earliest FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, j, bool_or(later) AS later FROM (SELECT r, unnest(range(i, i + 50)) AS j, place > earliest AS later FROM win JOIN twice ON twice.s = win.s) GROUP BY r, j),
+span AS (SELECT r, g, min(j) - 1 AS a, max(j) AS b, count(*) AS n, count_if(later) AS gone FROM (SELECT r, j, later, j - row_number() OVER (PARTITION BY r ORDER BY j) AS g FROM hit) GROUP BY r, g),
+per AS (SELECT r, sum(n) AS n, sum(gone) AS gone, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM span GROUP BY r),
+kept AS (SELECT e.r, string_agg(word, ' ' ORDER BY e.j) AS text FROM (SELECT r, j, w[j] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)) e ANTI JOIN (SELECT r, j FROM hit WHERE later) h ON h.r = e.r AND h.j = e.j GROUP BY e.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, '') AS spans, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN per ON per.r = d.r LEFT JOIN kept ON kept.r = d.r"""
