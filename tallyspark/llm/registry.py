@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, mixing, neardup, quality, rlz, secretscan, suffixes, surrogates, toxicity
+from . import chatformat, decontam, htmltext, mixing, neardup, quality, ranked, rlz, secretscan, spelling, suffixes, surrogates, toxicity
 
 QUERIES = {
     "op1_html_text": htmltext.op1_html_text,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_substring_dedup": rlz.op8_substring_dedup,
     "op9_secrets": secretscan.op9_secrets,
     "op10_neardup": neardup.op10_neardup,
+    "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_chat_format": chatformat.op12_chat_format,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLES = {
     "op2_suffix_dedup": suffixes.ORACLE,
@@ -23,6 +26,9 @@ ORACLES = {
     "op5_quality": quality.ORACLE,
     "op8_substring_dedup": rlz.ORACLE,
     "op10_neardup": neardup.ORACLE,
+    "op11_ranked_search": ranked.ORACLE,
+    "op12_chat_format": chatformat.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
 
 
