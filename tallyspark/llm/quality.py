@@ -126,8 +126,10 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; repeated and null ids are told apart by text."""
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_of(docs)))
+    """The rows of ``docs`` that pass, with all their columns; repeated and null ids are told apart by all that a verdict depends on: language and text."""
+    # Lengths keep the parts of the key apart; null differs from every string.
+    part = lambda c: F.concat_ws("|", F.coalesce(F.length(c), F.lit(-1)), c)
+    key = F.md5(F.concat_ws("|", part(F.col("doc_id").cast("string")), part(F.col("lang")), text_of(docs)))
     marked = docs.withColumn("__row", key)
     bad = saved(judge(marked, labels, keep=("doc_id", "__row")).where("not kept").select("__row").distinct())
     return marked.join(hinted(bad, 10 * BROADCAST_ROWS), "__row", "left_anti").select(*docs.columns)
