@@ -38,31 +38,57 @@ MASK = "[SECRET]"
 
 CHUNK = 256
 
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+_SPAN_ROW = "struct<start:int,kind:int,end:int>"
+_SPAN = f"array<{_SPAN_ROW}>"
 
 
-def _spans(text: Column, found: Column, pattern: str, kind: int) -> Column:
-    """(start, kind, end) of each match; ``found`` are the matches themselves, the gaps come from a split.
+def _folded(items: Column, start: Column, step, kind: str) -> Column:
+    """Fold of ``items``, which hands on a state and adds at most one output a step, to struct(state, out).
 
-    Offsets add up in chunks of CHUNK matches, as a list that grows by one is copied each time.
+    ``step(state, item)`` gives struct(state, out), out null for none. A list that grows by one is copied each time, so
+    outputs are gathered in chunks of CHUNK items and the chunks put together at the end: linear in the number of items.
     """
-    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("own")))
+    outs = F.array().cast(f"array<{kind}>")
 
     def add(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + x["own"]
-        return F.struct(end.alias("at"), F.array_append(a["s"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("s"))
+        return let(step(a["state"], x), lambda r: F.struct(r["state"].alias("state"), F.when(r["out"].isNull(), a["out"]).otherwise(F.array_append(a["out"], r["out"])).alias("out")))
 
     def chunk(a: Column, part: Column) -> Column:
-        return let(
-            F.aggregate(part, F.struct(a["at"].alias("at"), F.array().cast(_SPAN).alias("s")), add),
-            lambda done: F.struct(done["at"].alias("at"), F.array_append(a["parts"], done["s"]).alias("parts")),
-        )
+        done = F.aggregate(part, F.struct(a["state"].alias("state"), outs.alias("out")), add)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.array_append(a["parts"], d["out"]).alias("parts")))
+
+    chunks = let(items, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_), F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_, i * CHUNK + 1, F.lit(CHUNK))))
+    folded = F.aggregate(chunks, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("parts")), chunk)
+    return let(folded, lambda f: F.struct(f["state"].alias("state"), F.flatten(f["parts"]).alias("out")))
+
+
+def _spans(text: Column, found: Column, pattern: str, kind: int) -> Column:
+    """(start, kind, end) of each match; ``found`` are the matches themselves, the gaps come from a split."""
+    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("own")))
+
+    def add(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        end = start + x["own"]
+        # The last gap has no match behind it.
+        return F.struct(end.alias("state"), F.when(x["own"].isNotNull(), F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("out"))
+
+    return F.when(F.size(found) > 0, _folded(lengths, F.lit(0), add, _SPAN_ROW)["out"]).otherwise(F.array().cast(_SPAN))
+
 
-    # The last gap has no match behind it.
-    chunks = let(lengths, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_, i * CHUNK + 1, F.least(F.lit(CHUNK), F.size(found) - i * CHUNK))))
-    folded = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("parts")), chunk)["parts"]
-    return F.when(F.size(found) > 0, F.flatten(folded)).otherwise(F.array().cast(_SPAN))
+def _free(runs: Column, base: Column) -> Column:
+    """The ``runs`` (start, end, token; apart from each other) that overlap no span of ``base``: one pass over both, in order.
+
+    A run overlaps a base span if the largest end of the base spans that start before the run's end lies behind the run's start.
+    """
+    event = lambda pos, order, x, token: F.struct(pos.alias("pos"), F.lit(order).alias("order"), x["start"].alias("start"), x["end"].alias("end"), token.alias("token"))
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b["start"], 1, b, F.lit(""))), F.transform(runs, lambda r: event(r["end"], 0, r, r["token"]))))
+
+    def step(reach: Column, x: Column) -> Column:
+        free = (x["order"] == 0) & (reach <= x["start"])
+        return F.struct(F.when(x["order"] == 1, F.greatest(reach, x["end"])).otherwise(reach).alias("state"), F.when(free, F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"))).alias("out"))
+
+    passed = _folded(events, F.lit(0), step, "struct<start:int,end:int,token:string>")["out"]
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), passed).otherwise(runs)
 
 
 def pair_codes(token: Column) -> Column:
@@ -136,10 +162,10 @@ def scan(docs: DataFrame, model: tuple[str, float] | None, keep: tuple[str, ...]
     mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
     likely = F.exists("_r", mixed)
     rows = rows.select(*keep, "_text", "base", "_r", F.when(likely, _spans(F.col("_text"), F.col("_r"), RUN, 3)).otherwise(F.array().cast(_SPAN)).alias("_s"))
-    zipped = F.arrays_zip(F.col("_s"), F.col("_r"))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.filter(zipped, lambda x: x["_s"].isNotNull() & mixed(x["_r"]) & free(x["_s"]) & (mean_ratio(x["_r"], _table(table)) > cutoff))
-    rows = rows.select(*keep, "_text", "base", F.when(likely, F.transform(extra, lambda x: x["_s"])).otherwise(F.array().cast(_SPAN)).alias("_x"))
+    # Without a mixed run there are no spans of runs, and the zip holds nulls.
+    zipped = F.transform(F.filter(F.arrays_zip(F.col("_s"), F.col("_r")), lambda x: x["_s"].isNotNull() & mixed(x["_r"])), lambda x: F.struct(x["_s"]["start"].alias("start"), x["_s"]["end"].alias("end"), x["_r"].alias("token")))
+    extra = F.filter(_free(zipped, F.col("base")), lambda x: mean_ratio(x["token"], _table(table)) > cutoff)
+    rows = rows.select(*keep, "_text", "base", F.when(likely, F.transform(extra, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))).otherwise(F.array().cast(_SPAN)).alias("_x"))
     return rows.select(*keep, "_text", "base", F.sort_array(F.concat("base", "_x")).alias("spans"))
 
 
@@ -150,16 +176,18 @@ def joined(spans: str) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every maximal run of overlapping spans replaced by MASK."""
-    # A span that begins before the end of the run so far extends it.
+    # A span that begins before the end of the run so far extends it; the state is the open run.
     run = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
-    runs = F.aggregate(
-        F.slice(spans, F.lit(2), F.size(spans)),
-        F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.get(spans, 0)["start"].alias("start"), F.get(spans, 0)["end"].alias("end")),
-        lambda a, s: F.when(s["start"] < a["end"], F.struct(a["done"].alias("done"), a["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"))).otherwise(
-            F.struct(F.array_append(a["done"], run(a["start"], a["end"])).alias("done"), s["start"].alias("start"), s["end"].alias("end"))
-        ),
-        lambda a: F.array_append(a["done"], run(a["start"], a["end"])),
-    )
+
+    def step(a: Column, s: Column) -> Column:
+        extends = s["start"] < a["end"]
+        return F.struct(
+            F.when(extends, run(a["start"], F.greatest(a["end"], s["end"]))).otherwise(run(s["start"], s["end"])).alias("state"), F.when(~extends, run(a["start"], a["end"])).alias("out")
+        )
+
+    first = let(F.get(spans, 0), lambda s: run(s["start"], s["end"]))
+    folded = _folded(F.slice(spans, F.lit(2), F.size(spans)), first, step, "struct<start:int,end:int>")
+    runs = let(folded, lambda f: F.array_append(f["out"], f["state"]))
 
     def cut(x: Column) -> Column:
         chars, merged = x["chars"], x["runs"]
