@@ -107,20 +107,21 @@ def _reach_ahead(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes in the order of ``behind`` to one row per window between both bounds, or of a phrase with several copies."""
+    """Suffixes in the order of ``behind`` to the marks of their windows between both bounds (all, if the phrase has several copies); suffixes without any go."""
     for batch in rows:
-        off, n, times, reach, at = (batch.column(c).to_numpy() for c in ("off", "n", "times", "reach", "at"))
+        off, n, times, reach = (batch.column(c).to_numpy() for c in ("off", "n", "times", "reach"))
         each, offset = np.repeat(np.arange(len(n)), n), _ranges(np.zeros(len(n), np.int64), n)
         before = off[each] - offset
         held = (times[each] > 1) | ((before <= _matched(batch, "behind")[each]) & (PASSAGE - KMER - before <= reach[each]))
-        value = batch.column("windows").flatten().filter(pa.array(held))
-        each, offset = each[held], offset[held]
-        own = [batch.column(c).take(pa.array(each)) for c in ("anchor", "phrase", "times", "rank", "th")]
-        yield pa.RecordBatch.from_arrays([*own, value, pa.array(offset.astype(np.int32)), pa.array((at[each] + offset).astype(np.int32))], ["anchor", "phrase", "times", "rank", "th", "hash", "offset", "at"])
+        marks = np.zeros(len(n), np.int64)
+        np.bitwise_or.at(marks, each[held], np.int64(1) << offset[held])
+        some = np.flatnonzero(marks)
+        row = pa.array(some)
+        yield pa.RecordBatch.from_arrays([batch.column("anchor").take(row), batch.column("phrase").take(row), pa.array(marks[some])], ["anchor", "phrase", "marks"])
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, repeated, later): bit i stands for the window of PASSAGE words from word at + i on."""
+def passages(docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(doc_id, th, at, repeated, later), and the saved tables that it reads: bit i stands for the window of PASSAGE words from word at + i on."""
     kind = id_type(docs)
     texts = keyed(docs)
     numeric = kind in ("bigint", "int", "smallint", "tinyint")
@@ -137,21 +138,30 @@ def passages(docs: DataFrame) -> DataFrame:
     look = look.agg(F.collect_list(F.struct("anchor", "phrase", F.col("ref.at").alias("at"), "off", "n", "times")).alias("look"))
     asked = texts.join(look, same_row(texts, look)).select("th", rank.alias("rank"), "text", "look")
     common = "anchor bigint, phrase bigint, at int, off int, n int, times bigint, rank bigint, th binary"
-    # Saved, as a sort by range reads its input twice.
+    # Saved, as a sort by range reads its input twice. The window hashes, most of a suffix, stay out of both sorts.
     suffixes = saved(asked.mapInArrow(_suffixes, f"{common}, ahead binary, behind binary, windows array<bigint>"))
-    ahead = saved(suffixes.repartitionByRange("anchor", "ahead").sortWithinPartitions("anchor", "ahead").mapInArrow(_reach_ahead, f"{common}, behind binary, windows array<bigint>, reach int"))
+    sortable = suffixes.select("anchor", "phrase", "off", "n", "times", "ahead", "behind")
+    keys = "anchor bigint, phrase bigint, off int, n int, times bigint"
+    ahead = saved(sortable.repartitionByRange("anchor", "ahead").sortWithinPartitions("anchor", "ahead").mapInArrow(_reach_ahead, f"{keys}, behind binary, reach int"))
     behind = ahead.repartitionByRange("anchor", "behind").sortWithinPartitions("anchor", "behind")
-    asked = saved(behind.mapInArrow(_candidates, "anchor bigint, phrase bigint, times bigint, rank bigint, th binary, hash bigint, offset int, at int"))
-    drop(suffixes, ahead)
+    marked = saved(behind.mapInArrow(_candidates, "anchor bigint, phrase bigint, marks bigint"))
+    drop(ahead)
+    # An anchor and a phrase name one suffix.
+    held = suffixes.select("anchor", "phrase", "times", "rank", "th", "at", "windows").join(marked, ["anchor", "phrase"])
+    held = held.select("anchor", "phrase", "times", "rank", "th", "at", "marks", F.posexplode("windows").alias("offset", "hash")).where("shiftright(marks, offset) & 1 = 1")
+    asked = saved(held.select("anchor", "phrase", "times", "rank", "th", "hash", "offset", (F.col("at") + F.col("offset")).alias("at")))
+    drop(suffixes, marked)
     twice = asked.groupBy("anchor", "hash").agg(F.sum("times").alias("total"), F.min(F.struct("rank", "th", "at")).alias("first")).where("total > 1")
-    twice = asked.join(saved(twice.select("anchor", "hash", "first")), ["anchor", "hash"]).groupBy("anchor", "phrase").agg(F.collect_set(F.struct("offset", "first")).alias("windows"))
-    whole = groups.where("one").select("anchor", "phrase", F.expr("named_struct('rank', ref.rank, 'th', ref.th, 'at', ref.at)").alias("first"), F.lit(None).cast(twice.schema["windows"].dataType).alias("windows"))
-    settled = saved(whole.unionByName(twice.select("anchor", "phrase", F.lit(None).cast(whole.schema["first"].dataType).alias("first"), "windows")))
+    twice = saved(twice.select("anchor", "hash", "first"))
+    found = asked.join(twice, ["anchor", "hash"]).groupBy("anchor", "phrase").agg(F.collect_set(F.struct("offset", "first")).alias("windows"))
+    whole = groups.where("one").select("anchor", "phrase", F.expr("named_struct('rank', ref.rank, 'th', ref.th, 'at', ref.at)").alias("first"), F.lit(None).cast(found.schema["windows"].dataType).alias("windows"))
+    settled = saved(whole.unionByName(found.select("anchor", "phrase", F.lit(None).cast(whole.schema["first"].dataType).alias("first"), "windows")))
+    drop(known, groups, asked, twice)
     out = hits.join(settled, ["anchor", "phrase"])
     repeated = F.expr("if(one, shiftleft(1L, n) - 1, aggregate(windows, 0L, (m, w) -> m | shiftleft(1L, w.offset)))")
     later = F.expr("""if(one, if(named_struct('rank', rank, 'th', th, 'at', at) > first, shiftleft(1L, n) - 1, 0L),
         aggregate(windows, 0L, (m, w) -> m | if(named_struct('rank', rank, 'th', th, 'at', at + w.offset) > w.first, shiftleft(1L, w.offset), 0L)))""")
-    return out.select("doc_id", "th", "at", repeated.alias("repeated"), later.alias("later"))
+    return out.select("doc_id", "th", "at", repeated.alias("repeated"), later.alias("later")), (hits, settled)
 
 
 def _under(at: np.ndarray, bits: np.ndarray, n_words: int) -> np.ndarray:
@@ -181,11 +191,14 @@ def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """Per row: its words, those in repeated passages, those removed as later copies, the spans and the digest of the rest."""
+    """Per row: its words, those in repeated passages, those removed as later copies, the spans and the digest of the rest; saved, without other tables left."""
     texts = keyed(docs)
-    spans = passages(docs).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("at", "repeated", "later")).alias("spans"))
+    found, tables = passages(docs)
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("at", "repeated", "later")).alias("spans"))
     out = texts.join(spans, same_row(texts, spans), "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_digest, f"doc_id {id_type(docs)}, n_words bigint, n_repeated bigint, n_removed bigint, spans string, kept_sha256 string")
+    done = saved(out.mapInArrow(_digest, f"doc_id {id_type(docs)}, n_words bigint, n_repeated bigint, n_removed bigint, spans string, kept_sha256 string"))
+    drop(*tables)
+    return done
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
