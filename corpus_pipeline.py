@@ -27,18 +27,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their language's certified cutoff; null and empty texts fail, an empty table stays empty."""
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; null ids and repeated rows are rows like others, texts without words all stay."""
     return neardup.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item; texts without words hold none, an empty benchmark removes nothing."""
     return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked and n_chars recounted; null texts stay null, without labels only the fixed patterns are masked."""
     return secretscan.redact(docs, secretscan.default_model(spark, docs, _table(spark, sf_dir, "labels")))
 
 
