@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import civic, comparing, graphs, ledger, movement, papers, prices, site, succession, textual, trends
+from tallyspark.plans import civic, comparing, graphs, ledger, movement, papers, prices, site, succession, textual, trends, vetoes
 
-_MODULES = [ledger, prices, trends, movement, textual, succession, graphs, papers, site, civic, comparing]
+_MODULES = [ledger, prices, trends, movement, textual, succession, graphs, papers, site, civic, comparing, vetoes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -147,7 +147,7 @@ def document_columns(lines: DataFrame) -> DataFrame:
     known = F.size(F.filter(filled, lambda c: _stage(c).isNotNull()))
     found = lines.where((F.size(filled) >= 2) & (known * 2 > F.size(filled)))
     first = found.groupBy("doc").agg(F.min(F.struct("page", "line_no", "cells"))["cells"].alias("cells"))
-    return first.select("doc", F.transform("cells", F.trim).alias("labels"), F.transform("cells", _stage).alias("stages"))
+    return first.select("doc", F.transform("cells", lambda c: F.trim(c)).alias("labels"), F.transform("cells", _stage).alias("stages"))
 
 
 def content_lines(lines: DataFrame) -> DataFrame:

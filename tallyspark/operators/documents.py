@@ -175,7 +175,7 @@ def entry_index(entries: DataFrame, *order: str) -> DataFrame:
 
 def is_header_row(cells: Column, spellings: list[str]) -> Column:
     """At least two cells are filled, and more than half of the filled ones name a stage."""
-    filled = F.filter(F.transform(cells, F.trim), lambda c: c != "")
+    filled = F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: c != "")
     named = F.filter(filled, lambda c: F.regexp_replace(F.lower(c), r"\s+", " ").isin(spellings))
     return (F.size(filled) >= 2) & (F.size(named) * 2 > F.size(filled))
 

@@ -21,7 +21,7 @@ TOLERANCE = 0.5
 BIENNIA = fx.Rows("biennia", "bill string, file string, previous_bill string", [("N", "n.xlsx", "R"), ("R", "r.xlsx", "A"), ("A", "a.xlsx", None)])
 OFFICERS = fx.Rows("officers", "actor string, bill string, officer string", [("house", "A", "Speaker A"), ("house", "N", "Speaker N"), ("senate", "A", "President A")])
 LINES = fx.Rows("broken", "id int, line string", list(enumerate([
-    "the func-|tions of DeWine-|Tressel", "ADD-|ON and 90-|credit-hour", " a |  | b", "", "one-|", "Größen-|änderung", "Page 1 of 2|x", "career-|technical",
+    "a ter-|race by Miller-|Jones", "TOP-|UP and 12-|month", " a |  | b", "", "one-|", "Größen-|änderung", "Page 1 of 2|x", "river-|side",
 ])))
 FEET = fx.Rows("feet", "id int, line string", list(enumerate(["Page 12 of 57", "  Page 1 of 2 ", "Page 1 of", "Page a of 2", "Page 1 of 2 x", "page 1 of 2", "", None])))
 _TITLES = [("x" * 74, "short"), ("x" * 75, "short"), ("é" * 38, " short "), ("x" * 80, "y" * 40), ("x" * 80, ""), ("x", "y"), ("", "y")]
