@@ -70,3 +70,11 @@ def real_series(points: DataFrame, factors: DataFrame, alternate: DataFrame | No
         F.when(ok, F.col("a.period")).alias("first_period"), F.when(ok, F.col("z.period")).alias("last_period"), "nominal_pct", "real_pct", "alternate_pct",
         (F.signum("nominal_pct") * F.signum("real_pct") < 0).alias("sign_reverses"), F.round(F.abs(F.col("real_pct") - F.col("alternate_pct")), 6).alias("spread_pct"),
     )
+
+
+# What is nominal by nature and is not restated.
+NOMINAL = ["debt service", "bond", "statutory threshold", "principal and interest"]
+
+
+def is_nominal(purpose: Column) -> Column:
+    return F.lower(purpose).rlike("|".join(NOMINAL))

@@ -82,6 +82,32 @@ def enacted_points(points: DataFrame, last_stage: int) -> DataFrame:
     return points.where((F.col("stage") == last_stage) & F.col("cents").isNotNull()).select("item", "period", "cents")
 
 
+def enacted_by_period(backlinks: DataFrame, appropriations: DataFrame) -> DataFrame:
+    """Enacted figures of every line item, through its backlinks: item, period, cents, slug and place (by first year, then slug).
+
+    backlinks: item, class, slug of the nodes that point to it. appropriations: slug, stage, period, cents. A link to a node that does
+    not exist gives nothing, nor does a figure without an amount or a period.
+    """
+    own = backlinks.where("class = 'appropriation'").select("item", "slug").join(appropriations, "slug")
+    points = own.where((F.trim("stage") == "as-enacted") & F.col("cents").isNotNull() & (F.trim("period") != "")).select("item", F.trim("period").alias("period"), "cents", "slug")
+    year = F.coalesce(F.regexp_extract("period", "([0-9]{4})", 1).try_cast("int"), F.lit(2147483647))
+    return points.withColumn("place", F.row_number().over(W.partitionBy("item").orderBy(year, "slug", "cents")))
+
+
+def related_nodes(backlinks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How many existing nodes of each class point to every item: item, class, nodes, and place (most nodes first, then class).
+
+    Counted before they meet, so that a hub is one row a class; repeated links count again, as the feed lists them.
+    """
+    found = backlinks.join(nodes.select("class", "slug").distinct(), ["class", "slug"], "left_semi").groupBy("item", "class").agg(F.count("*").alias("nodes"))
+    return found.withColumn("place", F.row_number().over(W.partitionBy("item").orderBy(F.desc("nodes"), "class")))
+
+
+def citing_nodes(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """The nodes (class, slug) that cite each parsed source (links: class, slug, kind, target), once each."""
+    return links.where("kind = 'catalog'").select("class", "slug", F.col("target").alias("source")).join(sources.where("state = 'parsed'").select("source"), "source", "left_semi").distinct()
+
+
 def citing_counts(sources: DataFrame, citations: DataFrame) -> DataFrame:
     """(source, nodes): distinct nodes that cite each source, 0 included."""
     counted = citations.groupBy("source").agg(F.count_distinct("node").alias("nodes"))

@@ -103,6 +103,21 @@ def character_distribution(gaps: DataFrame) -> DataFrame:
     )
 
 
+def funders(items: DataFrame, programs: DataFrame, links: DataFrame) -> DataFrame:
+    """Per line item: its programs' policy areas (counted), whether one is formula-driven, whether one is federally matched, and its character.
+
+    programs: program, policy_area, formula_basis, federal_participation. links: program, item (funded-by). A missing or ``[open]`` text decides
+    nothing; a basis that says "Not formula" and a participation that begins with "None" deny. An item without programs is neither.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.contains(F.col(c), F.lit("[open]"))
+    formula = F.when(known("formula_basis"), ~F.contains("formula_basis", F.lit("Not formula")))
+    matched = F.when(known("federal_participation"), ~F.ltrim("federal_participation").startswith("None"))
+    said = links.distinct().join(programs, "program").groupBy("item").agg(F.count("policy_area").alias("policy_areas"), F.bool_or(formula).alias("formula"), F.bool_or(matched).alias("matched"))
+    joined = items.select("item").join(said, "item", "left")
+    false = lambda c: F.coalesce(c, F.lit(False))
+    return joined.select("item", F.coalesce("policy_areas", F.lit(0)).alias("policy_areas"), false("formula").alias("formula_driven"), false("matched").alias("federally_matched"), character(F.col("formula"), F.col("matched")).alias("character"))
+
+
 def character(formula: Column, matched: Column) -> Column:
     """entitlement if federally matched, else formula, else unclassified."""
     return F.when(F.coalesce(matched, F.lit(False)), "entitlement").when(F.coalesce(formula, F.lit(False)), "formula").otherwise("unclassified")

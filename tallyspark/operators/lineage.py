@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numbers import ratio
@@ -14,18 +15,40 @@ ADMINISTRATIVE = ["program support", "administration", "oversight", "fraud", "au
 KEEP_FROM = 0.35
 
 
+def _stated(period: Column) -> Column:
+    return period.isNotNull() & ~F.contains(F.coalesce(period, F.lit("")), F.lit("[open]"))
+
+
+def similar_titles(ended: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Pairs (pred, succ) whose title overlap can reach ``least``, a set-similarity join on rare tokens.
+
+    An overlap of at least t between lists of n and m tokens needs t / (1 + t) * (n + m) tokens of the first in the second. So for every
+    length m that the second can have (at most n / t), one of the first's rarest tokens, all but that many less one, must be in
+    it; join keys are the token and the length. A token that stands in every title comes last in the order, and is a key
+    only where a single shared token is enough, that is where its pairs are results.
+    """
+    often = items.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("titles"))
+    place = F.row_number().over(W.partitionBy("pred").orderBy("titles", "token"))
+    ranked = ended.select(F.col("item").alias("pred"), F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(often, "token").withColumn("place", place)
+    lengths = items.select(F.size("tokens").alias("m")).distinct()
+    need = F.ceil(least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9)
+    reach = ranked.where("n > 0").withColumn("m", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / least).cast("int"))))
+    keys = reach.where(F.col("place") <= F.col("n") - need + 1).join(lengths, "m", "left_semi").select("pred", "token", "m").distinct()
+    return keys.join(items.select(F.col("item").alias("succ"), F.size("tokens").alias("m"), F.explode(F.array_distinct("tokens")).alias("token")), ["token", "m"]).select("pred", "succ")
+
+
 def _candidates(items: DataFrame, agency_links: DataFrame, asserted: DataFrame) -> DataFrame:
-    """Pairs (pred, succ) that can reach the score to keep: a shared title token, an agency succession, or a stated link.
+    """Pairs (pred, succ) that can reach the score to keep: titles that overlap enough, an agency succession, or a stated link.
 
-    Three equi-joins stand for the pairing of all items with all ended ones: without any of the three
-    the score stays at 0.3 or less.
+    Without a succession the score is 0.2, 0.4 of the overlap, and 0.1 where both periods are stated: the overlap must be 0.375, or 0.125
+    where they are. Equi-joins stand for the pairing of all items with all ended ones.
     """
     ended = items.where(F.col("status").isin(*ENDED))
-    tokens = lambda df, name: df.select(F.col("item").alias(name), F.explode(F.array_distinct("tokens")).alias("token"))
-    shared = tokens(ended, "pred").join(tokens(items, "succ"), "token").select("pred", "succ")
+    close = similar_titles(ended, items, 0.375)
+    dated = similar_titles(ended.where(_stated(F.col("last_period"))), items.where(_stated(F.col("first_period"))), 0.125)
     moved = ended.select(F.col("item").alias("pred"), F.col("agency").alias("old")).join(agency_links, "old").join(items.select(F.col("item").alias("succ"), F.col("agency").alias("new")), "new").select("pred", "succ")
     stated = asserted.join(ended.select(F.col("item").alias("pred")), "pred", "left_semi").select("pred", "succ")
-    return shared.unionByName(moved).unionByName(stated).where("pred <> succ").distinct()
+    return close.unionByName(dated).unionByName(moved).unionByName(stated).where("pred <> succ").distinct()
 
 
 def propose(items: DataFrame, agency_links: DataFrame, asserted: DataFrame) -> DataFrame:
@@ -38,8 +61,7 @@ def propose(items: DataFrame, agency_links: DataFrame, asserted: DataFrame) -> D
     pairs = _candidates(items, agency_links, asserted).join(side("pred"), "pred").join(side("succ"), "succ")
     pairs = pairs.join(agency_links.select(F.col("old").alias("_old"), F.col("new").alias("_new"), F.lit(True).alias("moved")), (F.col("pred_.agency") == F.col("_old")) & (F.col("succ_.agency") == F.col("_new")), "left")
     pairs = pairs.join(asserted.withColumn("asserted", F.lit(True)), ["pred", "succ"], "left")
-    stated = lambda c: c.isNotNull() & ~F.contains(F.coalesce(c, F.lit("")), F.lit("[open]"))
-    score = 0.2 + 0.4 * title_overlap(F.col("pred_.tokens"), F.col("succ_.tokens")) + F.when(F.col("moved"), 0.3).otherwise(0.0) + F.when(stated(F.col("pred_.last_period")) & stated(F.col("succ_.first_period")), 0.1).otherwise(0.0)
+    score = 0.2 + 0.4 * title_overlap(F.col("pred_.tokens"), F.col("succ_.tokens")) + F.when(F.col("moved"), 0.3).otherwise(0.0) + F.when(_stated(F.col("pred_.last_period")) & _stated(F.col("succ_.first_period")), 0.1).otherwise(0.0)
     scored = pairs.select("pred", "succ", F.least(F.lit(1.0), F.round(score, 9)).alias("confidence"), F.coalesce("asserted", F.lit(False)).alias("asserted"))
     return scored.where((F.col("confidence") >= KEEP_FROM) | F.col("asserted")).withColumn("requires_confirmation", F.lit(True))
 

@@ -44,3 +44,18 @@ def ambiguous_codes(rows: DataFrame) -> DataFrame:
     """Codes that stand under more than one name."""
     out = rows.groupBy("code").agg(F.sort_array(F.collect_set("name")).alias("names"))
     return out.where(F.size("names") > 1).select("code", F.size("names").alias("n_names"), F.array_join("names", " | ").alias("names"))
+
+
+def points(years: DataFrame) -> DataFrame:
+    """Chart rows of the years that are restated (nominal, actual and real sums of each category in cents); others are dropped.
+
+    ``state_money_paid`` rescales the actuals by the factor that the restated appropriation has to the nominal one, half away from zero, half up below it as
+    the feed rounds; null without actuals or where nothing was appropriated.
+    """
+    both = lambda kind: F.col(f"{kind}_shared_cents") + F.col(f"{kind}_reimbursement_cents")
+    exact = both("actual").cast("decimal(38,0)") * both("real").cast("decimal(19,0)")
+    scaled = F.floor((2 * exact + both("nominal")) / (2 * both("nominal"))).cast("bigint")
+    return years.where("real_own_source_cents IS NOT NULL").select(
+        "period", F.col("real_own_source_cents").alias("own_source"), F.col("real_shared_cents").alias("shared"), F.col("real_reimbursement_cents").alias("reimbursement"), both("real").alias("state_money"),
+        F.col("real_foundation_cents").alias("school_foundation"), (both("real") + F.col("real_foundation_cents")).alias("state_money_wide"), F.when(both("nominal") != 0, scaled).alias("state_money_paid"),
+    )

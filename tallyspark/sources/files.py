@@ -163,6 +163,36 @@ def decisions(spark, folder: str) -> DataFrame:
     return corpus(spark, folder).where("parse_error is null").select("path", F.coalesce("keys", F.array().cast("array<string>")).alias("keys")).orderBy("path")
 
 
+#: Fields of a decision record; corpus_depth may be missing, all others are needed.
+DECISION = ("id", "summary", "corpus_depth", "context", "decision", "rationale")
+
+
+def decision_records(spark, folder: str) -> DataFrame:
+    """path, the fields of DECISION and skipped (why a file is no record, else null) of every .yml below ``folder``; a file of another shape never ends the read."""
+    return whole_files(spark, folder, ".yml").mapInPandas(_decisions, "path string, id string, summary string, corpus_depth int, context string, decision string, rationale string, skipped string")
+
+
+def _decisions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import yaml
+
+    for part in parts:
+        rows = []
+        for path, value in zip(part["path"], part["value"], strict=True):
+            try:
+                doc = yaml.safe_load(value)
+                if not isinstance(doc, dict):
+                    raise ValueError("no mapping")
+                missing = [k for k in DECISION if k != "corpus_depth" and not isinstance(doc.get(k), str)]
+                depth = doc.get("corpus_depth")
+                if missing or not (depth is None or type(depth) is int and depth >= 0):
+                    raise ValueError(f"{(missing or ['corpus_depth'])[0]} is missing or of another type")
+                rows.append((path, *[doc.get(k) for k in DECISION], None))
+            except (yaml.YAMLError, ValueError) as e:
+                rows.append((path, *[None] * len(DECISION), f"{type(e).__name__}: {e}".splitlines()[0]))
+        frame = pd.DataFrame(rows, columns=["path", *DECISION, "skipped"])
+        yield frame.astype({"corpus_depth": "Int32"})
+
+
 def skills(spark, folder: str) -> DataFrame:
     """path, name and description in the front matter of Markdown files; files without both are left out."""
     files = whole_files(spark, folder, ".md").withColumn("value", front_matter(F.col("value"))).where("value is not null")
