@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from itertools import zip_longest
 
@@ -46,7 +47,9 @@ CROWDED = 4
 #: Where two overlap, the earlier kind wins.
 KINDS = ("email", "iban", "ip", "card", "phone", "name")
 
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)*\.[A-Za-z]{2,}")
+#: What follows the @ of a mail address; labels may have letters of any script.
+DOMAIN = re.compile(r"@([^\W_](?:[^\W_]|-)*(?:\.[^\W_](?:[^\W_]|-)*)*\.[^\W\d_]{2,})")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")
@@ -135,19 +138,34 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 def _without(text: str, found: list[Found]) -> str:
     """``text`` with a sign that belongs to no entity in place of every character of ``found``."""
-    for a, b, *_ in found:
-        text = f"{text[:a]}{chr(0) * (b - a)}{text[b:]}"
-    return text
+    pieces, at = [], 0
+    for a, b, *_ in sorted(found, key=lambda f: f[:2]):
+        if b > at:
+            pieces += [text[at : max(a, at)], chr(0) * (b - max(a, at))]
+            at = b
+    return "".join([*pieces, text[at:]])
+
+
+def mails(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, place of the @, end) of mail addresses, each sought backwards from its @, so that long runs without one cost nothing."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        while start < at and not text[start].isalnum():
+            start += 1
+        if start < at and (m := DOMAIN.match(text, at)):
+            yield start, at, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
 
 
 def detect(text: str) -> list[Found]:
     """Non-overlapping entities by place; an earlier kind of KINDS wins where two overlap."""
     out: list[Found] = []
     digits = re.search(r"\d", text) is not None
-    if "@" in text:
-        for m in EMAIL.finditer(text):
-            at = m.end() - len(m[0].rpartition("@")[2])
-            out.append((m.start(), m.end(), "email", [(m.start(), at - 1, "local", m[0].rpartition("@")[0].lower()), (at, m.end(), "domain", m[0].rpartition("@")[2].lower())]))
+    out += [(a, b, "email", [(a, at, "local", text[a:at].lower()), (at + 1, b, "domain", text[at + 1 : b].lower())]) for a, at, b in mails(text)]
     if digits:
         for m in IBAN.finditer(text):
             if _mod97(form := m[0].replace(" ", "")) == 1:
@@ -173,11 +191,13 @@ def detect(text: str) -> list[Found]:
         else:
             parts = [(*m.span("family2"), *_family(m["family2"], TITLES[m["title"]]))]
         out.append((parts[0][0], parts[-1][1], "name", parts))
+    # Entities that are taken do not overlap, so only the neighbours in order of place can meet the next one.
     taken: list[Found] = []
     for f in sorted(out, key=lambda f: (KINDS.index(f[2]), f[0])):
-        if all(f[1] <= t[0] or t[1] <= f[0] for t in taken):
-            taken.append(f)
-    return sorted(taken)
+        i = bisect(taken, f[:1], key=lambda t: t[:1])
+        if (i == 0 or taken[i - 1][1] <= f[0]) and (i == len(taken) or f[1] <= taken[i][0]):
+            taken.insert(i, f)
+    return taken
 
 
 def _stream(kind: str, form: str, attempt: int, key: bytes) -> Callable[[int], int]:
