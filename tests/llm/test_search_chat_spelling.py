@@ -203,3 +203,58 @@ def test_many_secrets_in_one_text_take_linear_time(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     row = secretscan.redact(docs, (table, 0.5)).first()
     assert row["text"] == " ".join(["[SECRET] [SECRET]"] * n) and time.time() - took < 120
+
+
+def test_reader_comments_go_and_article_words_stay():
+    from tallyspark.llm.htmltext import page_blocks
+
+    inside = lambda name: page_blocks(f'<article><p>one two</p><div class="{name}">more</div></article>')[0]
+    for name in ("user-comments", "comment-thread", "reader-responses", "cookie-policy-notice", "comments", "share-buttons", "userReplies"):
+        assert inside(name) == ["one two"], name
+    for name in ("share-price", "notice-period", "discussion-paper", "user-guide", "cookie-recipe", "commentary"):
+        assert inside(name) == ["one two", "more"], name
+    teasers = '<article class="card">a b</article><article class="card">c d</article>'
+    assert page_blocks(teasers + "<div>the main text is longer than both of them</div>")[0] == ["the main text is longer than both of them"]
+    assert page_blocks(teasers + "<div>short</div>")[0] == ["a b", "c d"]
+
+
+def test_stray_tags_take_linear_time():
+    from tallyspark.llm.htmltext import page_blocks
+
+    took = time.time()
+    assert page_blocks("<b></i>" * 40_000 + "end")[0] == ["end"] and time.time() - took < 20
+
+
+def test_host_runs_equal_brute_force_on_unmarked_pages(spark):
+    from tallyspark.llm import htmltext
+
+    rng = random.Random(12)
+    menu, foot = sentence(rng, 12), "all rights reserved"
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k}", f"<!-- <main> --><div>{menu}</div><p>{'text ' if k < 4 else ''}{sentence(rng, 20)}</p><div>{foot}</div>") for k in range(9)]
+    rows += [(20, None, f"<div>{menu}</div>"), (21, "http://c.example/", f"<div>{menu}</div>"), (22, "http://a.example/x", ""), (0, rows[0][1], rows[0][2])]
+    got = sorted(tuple(r) for r in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))).select("page_id", "text").collect())
+    hosts = collections.defaultdict(set)
+    blocks = [htmltext.page_blocks(h)[0] for *_, h in rows]
+    host = lambda u: u and u.split("/")[2]
+    runs = lambda b: [(i, tuple(b.split()[i : i + htmltext.RUN])) for i in range(max(1, len(b.split()) - htmltext.RUN + 1))]
+    for (page, url, h), bs in zip(rows, blocks, strict=True):
+        for b in bs:
+            for _, run in runs(b):
+                hosts[host(url), run].add((page, h))
+    want = []
+    for (page, url, _), bs in zip(rows, blocks, strict=True):
+        lines = []
+        for b in bs:
+            gone = {i + j for i, run in runs(b) if len(hosts[host(url), run]) >= htmltext.MIN_PAGES for j in range(len(run))}
+            lines.append(" ".join(w for i, w in enumerate(b.split()) if i not in gone))
+        want.append((page, "\n".join(filter(None, lines))))
+    assert got == sorted(want) and dict(want)[1] != "" and menu not in dict(want)[1] and menu == dict(want)[21]
+
+
+def test_many_mails_and_long_runs_take_linear_time():
+    from tallyspark.llm import surrogates
+
+    took = time.time()
+    assert len(surrogates.detect(" ".join(f"user{i}@mail{i}.example.org" for i in range(40_000)))) == 40_000
+    assert [f[:3] for f in surrogates.detect("a" * 1_000_000 + " jean-luc@müller.de ..x@y.org a@b.com@c.de")] == [(1_000_001, 1_000_019, "email"), (1_000_022, 1_000_029, "email"), (1_000_030, 1_000_037, "email")]
+    assert time.time() - took < 30
