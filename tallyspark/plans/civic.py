@@ -19,15 +19,16 @@ BASE = "https://records.example//"
 ENDINGS = ["th", "st", "nd", "rdth", ""]
 TOLERANCE = 0.5
 BIENNIA = fx.Rows("biennia", "bill string, file string, previous_bill string", [("N", "n.xlsx", "R"), ("R", "r.xlsx", "A"), ("A", "a.xlsx", None)])
+BILLS = fx.Copied("bills_", "bill string, file string, previous_bill string", [("N/@", "n@.xlsx", "R/@"), ("R/@", "r@.xlsx", "A/@"), ("A/@", "a@.xlsx", None), ("Q/@", "q@.xlsx", "gone/@")])
 OFFICERS = fx.Rows("officers", "actor string, bill string, officer string", [("house", "A", "Speaker A"), ("house", "N", "Speaker N"), ("senate", "A", "President A")])
-LINES = fx.Rows("broken", "id int, line string", list(enumerate([
-    "a ter-|race by Miller-|Jones", "TOP-|UP and 12-|month", " a |  | b", "", "one-|", "Größen-|änderung", "Page 1 of 2|x", "river-|side",
+LINES = fx.Drawn("broken", "id int, line string", list(enumerate([
+    "a ter-|race by Miller-|Jones", "TOP-|UP # and #-|month", " a |  | b", "", "one-|", "Größen-|änderung", "Page 1 of 2|x", "river-|side",
 ])))
-FEET = fx.Rows("feet", "id int, line string", list(enumerate(["Page 12 of 57", "  Page 1 of 2 ", "Page 1 of", "Page a of 2", "Page 1 of 2 x", "page 1 of 2", "", None])))
-_TITLES = [("x" * 74, "short"), ("x" * 75, "short"), ("é" * 38, " short "), ("x" * 80, "y" * 40), ("x" * 80, ""), ("x", "y"), ("", "y")]
-HEADINGS = fx.Rows("headings", "id int, first string, second string", [(i, *t) for i, t in enumerate(_TITLES)])
-ROWS = fx.Rows("header_rows", "id int, line string", list(enumerate(["As Introduced|As Passed by House", "Executive|x", "Executive|x|As Passed by  Senate", "|As Enacted|", "a|b", "", "Executive|x|y|As Enacted"])))
-FIRST = fx.Rows("justifications", "id int, line string", list(enumerate(["one two\nthree", "  padded  \nx", "", "\nafter", None])))
+FEET = fx.Drawn("feet", "id int, line string", list(enumerate(["Page # of 57", "  Page 1 of 2 ", "Page 1 of", "Page a of 2", "Page 1 of 2 x", "page 1 of 2", "", None])))
+_TITLES = [("x" * 74, "short"), ("x" * 72 + "#", "short #"), ("é" * 38, " short "), ("x" * 80, "y" * 40), ("x" * 80, ""), ("x", "y"), ("", "y")]
+HEADINGS = fx.Drawn("headings", "id int, first string, second string", [(i, *t) for i, t in enumerate(_TITLES)])
+ROWS = fx.Drawn("header_rows", "id int, line string", list(enumerate(["As Introduced|As Passed by House", "Executive|x", "Executive|x|As Passed by  Senate", "|As Enacted|", "a|b|#", "", "Executive|x|y|As Enacted"])))
+FIRST = fx.Drawn("justifications", "id int, line string", list(enumerate(["one # two\nthree", "  padded  \nx", "", "\nafter", None])))
 
 
 def numbered(spark, sf_dir):
@@ -98,8 +99,8 @@ def lookup(spark, sf_dir):
     return feed.node_by_slug(table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("path")))
 
 
-def split(rows, spark):
-    return rows.frame(spark).select("id", F.split(F.coalesce("line", F.lit("")), "\\|").alias("cells"))
+def split(rows, spark, sf_dir):
+    return rows.frame(spark, sf_dir).select("id", F.split(F.coalesce("line", F.lit("")), "\\|").alias("cells"))
 
 
 def labels(spark, sf_dir):
@@ -109,7 +110,7 @@ def labels(spark, sf_dir):
 
 
 def process_findings(spark, sf_dir):
-    return process.findings(movement.columns(spark, sf_dir), BIENNIA.frame(spark).select("bill"), movement.HAND_OFFS, OFFICERS.frame(spark))
+    return process.findings(movement.columns(spark, sf_dir), BIENNIA.frame(spark, sf_dir).select("bill"), movement.HAND_OFFS, OFFICERS.frame(spark, sf_dir))
 
 
 QUERIES = {
@@ -123,11 +124,11 @@ QUERIES = {
     "f41_provenance": provenance,
     "w09_entry_index": entries,
     "p28_veto_report": report,
-    "f25_joined_lines": lambda s, d: split(LINES, s).select("id", documents.join_lines(F.col("cells")).alias("soft"), documents.join_lines(F.col("cells"), False).alias("hard")),
-    "f26_running_feet": lambda s, d: FEET.frame(s).select("id", documents.is_running_foot(F.col("line")).alias("foot")),
-    "f29_headings": lambda s, d: HEADINGS.frame(s).select("id", documents.heading(F.array("first", "second")).alias("h")).select("id", "h.*"),
-    "p30_header_rows": lambda s, d: split(ROWS, s).select("id", documents.is_header_row(F.col("cells"), [x for xs in text.DOCUMENT_SPELLINGS.values() for x in xs]).alias("header")),
-    "j14_previous_biennium": lambda s, d: process.with_previous(BIENNIA.frame(s)),
+    "f25_joined_lines": lambda s, d: split(LINES, s, d).select("id", documents.join_lines(F.col("cells")).alias("soft"), documents.join_lines(F.col("cells"), False).alias("hard")),
+    "f26_running_feet": lambda s, d: FEET.frame(s, d).select("id", documents.is_running_foot(F.col("line")).alias("foot")),
+    "f29_headings": lambda s, d: HEADINGS.frame(s, d).select("id", documents.heading(F.array("first", "second")).alias("h")).select("id", "h.*"),
+    "p30_header_rows": lambda s, d: split(ROWS, s, d).select("id", documents.is_header_row(F.col("cells"), [x for xs in text.DOCUMENT_SPELLINGS.values() for x in xs]).alias("header")),
+    "j14_previous_biennium": lambda s, d: process.with_previous(BILLS.frame(s, d)),
     "c17_process_findings": process_findings,
     "c34_hand_off_rows": lambda s, d: process.hand_off_rows(process.conditioning(movement.columns(s, d), movement.HAND_OFFS)),
     "p17_first_decomposition": lambda s, d: feed.first_decomposition(steps(s, d)),
@@ -137,7 +138,7 @@ QUERIES = {
     "a35_citing_counts": cited,
     "p35_node_by_slug": lookup,
     "f35_labels": labels,
-    "f36_first_line": lambda s, d: FIRST.frame(s).select("id", feed.first_line(F.col("line")).alias("first")),
+    "f36_first_line": lambda s, d: FIRST.frame(s, d).select("id", feed.first_line(F.col("line")).alias("first")),
 }
 
 _SPELLINGS = ", ".join(f"'{x}'" for xs in text.DOCUMENT_SPELLINGS.values() for x in xs)
@@ -173,7 +174,7 @@ SELECT *, without_formula + without_deletions + unrecognised + missing_numbers =
     "f29_headings": f"WITH {HEADINGS.sql()}, w AS (SELECT *, strlen(trim(first)) >= 75 AND trim(second) <> '' AND strlen(trim(second)) < 40 AS rejoined FROM headings) SELECT id, CASE WHEN rejoined THEN trim(first) || ' ' || trim(second) ELSE trim(first) END AS title, rejoined FROM w",
     "p30_header_rows": f"""WITH {ROWS.sql()}, c AS (SELECT id, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS filled FROM header_rows)
 SELECT id, len(filled) >= 2 AND len(list_filter(filled, lambda x: regexp_replace(lower(x), '\\s+', ' ', 'g') IN ({_SPELLINGS}))) * 2 > len(filled) AS header FROM c""",
-    "j14_previous_biennium": f"WITH {BIENNIA.sql()} SELECT b.bill, b.file, b.previous_bill, p.file AS previous_file FROM biennia b LEFT JOIN biennia p ON p.bill = b.previous_bill",
+    "j14_previous_biennium": f"WITH {BILLS.sql()} SELECT b.bill, b.file, b.previous_bill, p.file AS previous_file FROM bills_ b LEFT JOIN bills_ p ON p.bill = b.previous_bill",
     "c17_process_findings": f"WITH {OFFICERS.sql()}, k AS ({_COND}) SELECT k.*, officer FROM k LEFT JOIN officers o ON o.actor = k.actor AND o.bill = k.bill WHERE (SELECT count(DISTINCT l_returnflag) FROM lineitem WHERE l_returnflag IN ('N', 'R', 'A')) = 3",
     "c34_hand_off_rows": f"""WITH k AS ({_COND}), s AS (SELECT actor, bill, round(100.0 * raised_after_raise / nullif(after_raise, 0), 6) AS raised_when_prior_raised, round(100.0 * raised_after_cut / nullif(after_cut, 0), 6) AS raised_when_prior_cut, after_raise + after_cut AS moved_n, round(100.0 * toward / nullif(toward + away, 0), 6) AS toward_baseline FROM k)
 SELECT *, round(raised_when_prior_cut - raised_when_prior_raised, 5) AS gap FROM s""",

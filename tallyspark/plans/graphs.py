@@ -1,4 +1,4 @@
-"""Graph queries: the whole rule set on a small inline corpus, link resolution and backlinks on the driver's tables."""
+"""Graph queries: the whole rule set on a small corpus for every supplier, with other records missing in each; link resolution and backlinks on the driver's tables."""
 
 from __future__ import annotations
 
@@ -12,43 +12,43 @@ from . import fixtures as fx
 from .ledger import table
 
 _NODES = [
-    ("appropriation/a.yml", "appropriation", "Appropriation A", "fine [verified]"), ("appropriation/b.yml", "appropriation", "B", "The amount is unfilled here."), ("appropriation/c.yml", "appropriation", "C", "actuals are not carried by any committed source; [guess] →[succeeds]→ x [link](y) [x]"),
-    ("expenditure/e.yml", "expenditure", "E", "Not catalogued (lsc). Also not yet catalogued."), ("line-item/li.yml", "line-item", "LI [verified]", "synthetic-fixture value"), ("wrong/dir.yml", "line-item", "D", ""), ("mystery/m.yml", "mystery", "M", "[guess] [verified]"), ("fiscal-period/p.yml", "fiscal-period", "P", None),
-    ("agency/lone.yml", "agency", "Lone", "not catalogued (unknown-slug)"),
+    ("appropriation/a-@.yml", "appropriation", "Appropriation A", "fine [verified]"), ("appropriation/b-@.yml", "appropriation", "B", "The amount is unfilled here."), ("appropriation/c-@.yml", "appropriation", "C", "actuals are not carried by any committed source; [guess] →[succeeds]→ x [link](y) [x]"),
+    ("expenditure/e-@.yml", "expenditure", "E", "Not catalogued (lsc-@). Also not yet catalogued."), ("line-item/li-@.yml", "line-item", "LI [verified]", "synthetic-fixture value"), ("wrong/dir-@.yml", "line-item", "D", ""), ("mystery/m-@.yml", "mystery", "M", "[guess] [verified]"), ("fiscal-period/p-@.yml", "fiscal-period", "P", None),
+    ("agency/lone-@.yml", "agency", "Lone", "not catalogued (unknown-slug)"),
 ]
 _PROPS = [
-    ("appropriation/a.yml", "amount", "text", "$5.00"), ("appropriation/b.yml", "amount", "text", "$1.00"), ("appropriation/b.yml", "cost_delta", "float", "1.5"), ("appropriation/c.yml", "amount", "text", "[open] tbd"), ("line-item/li.yml", "current_code", "text", "200550 [verified]"),
-    ("line-item/li.yml", "agency_code", "text", "[open] unknown"), ("line-item/li.yml", "stray", "text", "x"), ("expenditure/e.yml", "basis", "text", "see synthetic-fixture"), ("mystery/m.yml", "zzz", "text", "q"),
+    ("appropriation/a-@.yml", "amount", "text", "$@.00"), ("appropriation/b-@.yml", "amount", "text", "$1.00"), ("appropriation/b-@.yml", "cost_delta", "float", "1.5"), ("appropriation/c-@.yml", "amount", "text", "[open] tbd"), ("line-item/li-@.yml", "current_code", "text", "200550 [verified]"),
+    ("line-item/li-@.yml", "agency_code", "text", "[open] unknown"), ("line-item/li-@.yml", "stray", "text", "x"), ("expenditure/e-@.yml", "basis", "text", "see synthetic-fixture"), ("mystery/m-@.yml", "zzz", "text", "q"),
 ]
 _LINKS = [
-    ("appropriation/a.yml", 0, "instance-of", "../appropriation.ont.yml"), ("appropriation/a.yml", 1, "grants-authority-for", "../line-item/li.yml"), ("appropriation/a.yml", 2, "cites", "../catalog/lsc.md"), ("appropriation/b.yml", 0, "instance-of", "../line-item.ont.yml"),
-    ("appropriation/b.yml", 1, "grants-authority-for", "../line-item/none.yml"), ("appropriation/b.yml", 2, "cites", "../catalog/none.md"), ("appropriation/b.yml", 3, "draws-from", "../catalog/lsc.md"), ("appropriation/c.yml", 0, "instance-of", "../appropriation.ont.yml"),
-    ("appropriation/c.yml", 1, "grants-authority-for", "../line-item/li.yml"), ("appropriation/c.yml", 2, "in-period", "../fiscal-period/p.yml"), ("expenditure/e.yml", 0, "instance-of", "../expenditure.ont.yml"), ("expenditure/e.yml", 1, "disburses-against", "./../line-item/li.yml"),
-    ("expenditure/e.yml", 2, "in-period", "../fiscal-period/p.yml"), ("expenditure/e.yml", 3, "praises", "../line-item/li.yml"), ("line-item/li.yml", 0, "instance-of", "../line-item.ont.yml"), ("wrong/dir.yml", 0, "instance-of", "../line-item.ont.yml"), ("fiscal-period/p.yml", 0, "instance-of", "../fiscal-period.ont.yml"),
-    ("mystery/m.yml", 0, "belongs-to", "../nowhere/x.yml"), ("agency/lone.yml", 0, "instance-of", "../agency.ont.yml"),
+    ("appropriation/a-@.yml", 0, "instance-of", "../appropriation.ont.yml"), ("appropriation/a-@.yml", 1, "grants-authority-for", "../line-item/li-@.yml"), ("appropriation/a-@.yml", 2, "cites", "../catalog/lsc-@.md"), ("appropriation/b-@.yml", 0, "instance-of", "../line-item.ont.yml"),
+    ("appropriation/b-@.yml", 1, "grants-authority-for", "../line-item/none-@.yml"), ("appropriation/b-@.yml", 2, "cites", "../catalog/none-@.md"), ("appropriation/b-@.yml", 3, "draws-from", "../catalog/lsc-@.md"), ("appropriation/c-@.yml", 0, "instance-of", "../appropriation.ont.yml"),
+    ("appropriation/c-@.yml", 1, "grants-authority-for", "../line-item/li-@.yml"), ("appropriation/c-@.yml", 2, "in-period", "../fiscal-period/p-@.yml"), ("expenditure/e-@.yml", 0, "instance-of", "../expenditure.ont.yml"), ("expenditure/e-@.yml", 1, "disburses-against", "./../line-item/li-@.yml"),
+    ("expenditure/e-@.yml", 2, "in-period", "../fiscal-period/p-@.yml"), ("expenditure/e-@.yml", 3, "praises", "../line-item/li-@.yml"), ("line-item/li-@.yml", 0, "instance-of", "../line-item.ont.yml"), ("wrong/dir-@.yml", 0, "instance-of", "../line-item.ont.yml"), ("fiscal-period/p-@.yml", 0, "instance-of", "../fiscal-period.ont.yml"),
+    ("mystery/m-@.yml", 0, "belongs-to", "../nowhere/x-@.yml"), ("agency/lone-@.yml", 0, "instance-of", "../agency.ont.yml"),
 ]
-NODES = fx.Rows("nodes", "path string, class string, label string, description string", _NODES)
-PROPS = fx.Rows("props", "path string, key string, kind string, text string", _PROPS)
-LINKS = fx.Rows("links", "path string, pos int, relationship string, raw string", _LINKS)
+NODES = fx.Copied("nodes", "path string, class string, label string, description string", _NODES)
+PROPS = fx.Copied("props", "path string, key string, kind string, text string", _PROPS)
+LINKS = fx.Copied("links", "path string, pos int, relationship string, raw string", _LINKS)
 CLASSES = fx.Rows("classes", "class string, path string", [(c, f"{c}.ont.yml") for c in ("appropriation", "expenditure", "line-item", "fiscal-period", "agency")])
-CLASS_PROPS = fx.Rows("class_props", "class string, name string", [("appropriation", "amount"), ("appropriation", "cost_delta"), ("line-item", "current_code"), ("line-item", "agency_code"), ("expenditure", "basis")])
+CLASS_PROPS = fx.Copied("class_props", "class string, name string", [("appropriation", "amount"), ("appropriation", "cost_delta"), ("line-item", "current_code"), ("line-item", "agency_code"), ("expenditure", "basis")])
 CLASS_EDGES = fx.Rows("class_edges", "class string, relationship string, target string, direction string, expected boolean", [
     ("appropriation", "grants-authority-for", "line-item", "out", False), ("appropriation", "in-period", "fiscal-period", "out", False), ("expenditure", "disburses-against", "line-item", "out", False), ("expenditure", "in-period", "fiscal-period", "out", False),
     ("line-item", "grants-authority-for", "appropriation", "in", True), ("line-item", "belongs-to", "agency", "out", False), ("agency", "succeeds", "agency", "out", False),
 ])
-CATALOG = fx.Rows("catalog", "path string, file_slug string, slug string, parse_error string, feeds string", [("catalog/lsc.md", "lsc", "lsc", None, "line-item,ghost"), ("catalog/obm.md", "obm", "omb", None, ""), ("catalog/bad.md", "bad", None, "no frontmatter", None)])
-DECISIONS = fx.Rows("decisions", "path string, keys string", [("decisions/1.yml", "id,summary,decision"), ("decisions/2.yml", "id,notes"), ("decisions/3.yml", "")])
+CATALOG = fx.Copied("catalog", "path string, file_slug string, slug string, parse_error string, feeds string", [("catalog/lsc-@.md", "lsc-@", "lsc-@", None, "line-item,ghost"), ("catalog/obm-@.md", "obm-@", "omb-@", None, ""), ("catalog/bad-@.md", "bad-@", None, "no frontmatter", None)])
+DECISIONS = fx.Copied("decisions", "path string, keys string", [("decisions/@-1.yml", "id,summary,decision"), ("decisions/@-2.yml", "id,notes"), ("decisions/@-3.yml", "")])
 ALL = [NODES, PROPS, LINKS, CLASSES, CLASS_PROPS, CLASS_EDGES, CATALOG, DECISIONS]
 #: The same links with their targets worked out by another library, for the oracle.
-DST = fx.Rows("full_links", "path string, pos int, relationship string, raw string, dst string", [(*x, posixpath.normpath(posixpath.join(posixpath.dirname(x[0]), x[3]))) for x in _LINKS])
+DST = fx.Copied("full_links", "path string, pos int, relationship string, raw string, dst string", [(*x, posixpath.normpath(posixpath.join(posixpath.dirname(x[0]), x[3]))) for x in _LINKS])
 
 
 def v_rules(spark, sf_dir):
-    return graph.findings(*[x.frame(spark) for x in ALL])
+    return graph.findings(*[x.frame(spark, sf_dir) for x in ALL])
 
 
 def j22(spark, sf_dir):
-    return graph.link_targets(LINKS.frame(spark), NODES.frame(spark), CLASSES.frame(spark), CATALOG.frame(spark))
+    return graph.link_targets(LINKS.frame(spark, sf_dir), NODES.frame(spark, sf_dir), CLASSES.frame(spark, sf_dir), CATALOG.frame(spark, sf_dir))
 
 
 def tables_graph(spark, sf_dir: str):

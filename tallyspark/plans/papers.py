@@ -1,4 +1,4 @@
-"""Document queries: inline pages and messages, and line statistics over the driver's texts."""
+"""Document queries: pages, messages and budgetary lines written from the driver's rows, and line statistics over its tables."""
 
 from __future__ import annotations
 
@@ -7,34 +7,19 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import documents as ops
 
+from tallyspark.sources import pages
+
 from . import fixtures as fx
+from . import printed, vetoes
 from .ledger import table
 
-INSTRUCTIONS = fx.Rows("ins", "id int, instruction string", list(enumerate([
-    "On page 12, delete “one two three.”", 'On page 13 delete lines beginning with "A b" and ending with "y z".', "On page 14, begging with “start here” and continuing to the bottom of the page.", "On page 15, delete the whole section.", "On page 16, delete “broken",
-    "On page 17, starting with nothing quoted and ending with “x”.", "delete all”", "On Page 9a, stating with “p” or ending with “q”",
+INSTRUCTIONS = fx.Drawn("ins", "id int, instruction string", list(enumerate([
+    "On page #, delete “one two # three.”", 'On page 13 delete lines beginning with "A b" and ending with "y z".', "On page 14, begging with “start here” and continuing to the bottom of the page.", "On page 15, delete the whole section.", "On page 16, delete “broken",
+    "On page 17, starting with nothing quoted and ending with “x#”.", "delete all #”", "On Page 9a, stating with “p” or ending with “q”",
 ])))
-INS_SQL = """SELECT * FROM (VALUES (0, 'text', 12, 'one two three.', NULL, NULL, false), (1, 'range', 13, NULL, 'A b', 'y z', false), (2, 'range_to_page_end', 14, NULL, 'start here', NULL, false), (3, 'whole', 15, NULL, NULL, NULL, false),
-  (4, 'text', 16, 'broken', NULL, NULL, true), (5, 'unrecognised', 17, NULL, NULL, NULL, false), (6, 'text', NULL, 'delete all', NULL, NULL, true), (7, 'range', 9, NULL, 'p', 'q', false)) v(id, kind, bill_page, text, begins, ends, quotes_repaired)"""
-LINES = fx.Rows("veto", "doc string, line_no int, text string", [("m", i, t) for i, t in enumerate(["Preamble", "ITEM NUMBER 1", "On page 1, delete.", "  reason ", "ITEM NUMBER 2 Title", "x", "ITEM NUMBER 5", "ITEM NUMBERS vary"])])
-BUDGET = fx.Rows("budget", "id int, line string", list(enumerate([
-    "Dept of Aging|GRF 490321 Operating|1,000.00|1,100.00|900.00|200.00", "Education GRF 200550 Foundation Aid|5.00|5.00|(1.00)|6.00", "Heading only", "Aging GRF 490321|1.00|2.00|1.00|5.00", "Total|1.00|2.00|1.00|1.00", "490321 first|1.00|2.00|1.00|1.00",
+BUDGET = fx.Drawn("budget", "id int, line string", list(enumerate([
+    "Dept of Parks|GRF 4#321 Operating|1,000.00|1,#.00|900.00|200.00", "Lakes GRF 2#50 River Aid|5.00|5.00|(1.00)|6.00", "Heading # only", "Parks GRF 4#321|1.00|2.00|1.00|5.00", "Total|1.00|2.00|1.00|1.00", "4#321 first|1.00|2.00|1.00|1.00", "Lakes GRF 2#50x River Aid|5.00|#.00|0.00|#.00",
 ])))
-BUDGET_SQL = """SELECT * FROM (VALUES (0, 'row', 'Dept of Aging', 'GRF', '490321', 'Operating', 100000, 110000, 90000, 20000), (1, 'row', 'Education', 'GRF', '200550', 'Foundation Aid', 500, 500, -100, 600), (2, 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
-  (3, 'problem', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (4, 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) v(id, outcome, agency, fund, code, name, original_cents, final_cents, actual_cents, unspent_cents)"""
-
-
-def _glyphs() -> list[tuple]:
-    """Two rows of three columns on one page, the second row's baseline slightly off."""
-    out = []
-    for row, (y, texts) in enumerate([(700.0, ["Agency", "Name here", "1.00"]), (680.3, ["EDU", "Aid", "2.00"])]):
-        for left, text in zip((50.0, 150.0, 300.0), texts, strict=True):
-            out += [("d", 1, left + 6 * i, y - (0.2 if row and i % 2 else 0.0), 6.0, 10.0, c) for i, c in enumerate(text) if c != " "]
-    return out
-
-
-GLYPHS = fx.Rows("glyphs", "doc string, page int, x double, y double, advance double, font_size double, text string", _glyphs())
-CELLS_SQL = "SELECT * FROM (VALUES ('d', 1, 0, 0, 'Agency'), ('d', 1, 0, 1, 'Name here'), ('d', 1, 0, 2, '1.00'), ('d', 1, 1, 0, 'EDU'), ('d', 1, 1, 1, 'Aid'), ('d', 1, 1, 2, '2.00')) v(doc, page, \"row\", col, text)"
 
 
 def line_marks(spark, sf_dir):
@@ -64,11 +49,11 @@ def sessions(spark, sf_dir):
 
 
 QUERIES = {
-    "f28_deletions": lambda s, d: ops.deletions(INSTRUCTIONS.frame(s)).drop("instruction"),
-    "w18_veto_items": lambda s, d: ops.veto_items(LINES.frame(s)).select("segment", "item_number", "lines"),
-    "a27_missing_numbers": lambda s, d: ops.missing_numbers(ops.veto_items(LINES.frame(s))),
-    "c28_budget_rows": lambda s, d: ops.budget_rows(BUDGET.frame(s).select("id", F.split("line", "\\|").alias("cells"))),
-    "c26_page_cells": lambda s, d: ops.cells(GLYPHS.frame(s)),
+    "f28_deletions": lambda s, d: ops.deletions(INSTRUCTIONS.frame(s, d)).drop("instruction"),
+    "w18_veto_items": lambda s, d: ops.veto_items(vetoes.lines(s, d)),
+    "a27_missing_numbers": lambda s, d: ops.missing_numbers(ops.veto_items(vetoes.lines(s, d))),
+    "c28_budget_rows": lambda s, d: ops.budget_rows(BUDGET.frame(s, d).select("id", F.split("line", "\\|").alias("cells"))),
+    "c26_page_cells": lambda s, d: ops.cells(pages.page_glyphs(printed.pages(s, d))),
     "w13_carry_forward": carried,
     "w11_islands": islands,
     "w16_sessions": sessions,
@@ -79,13 +64,20 @@ RUNNING_SQL = """marks AS (SELECT l_orderkey AS doc, l_linenumber AS page, CAST(
   regexp_replace(l_returnflag || l_linestatus || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), '[0-9]', '#', 'g') AS key FROM lineitem),
 own AS (SELECT doc, count(DISTINCT page) AS pages FROM marks GROUP BY doc),
 heads AS (SELECT m.doc, y, key, count(DISTINCT page) AS n FROM marks m JOIN own ON own.doc = m.doc GROUP BY m.doc, y, key, pages HAVING count(DISTINCT page) >= greatest(pages // 2, 2))"""
+_VETO = f"""{vetoes.PRINTED}, t AS (SELECT *, TRY_CAST(nullif(regexp_extract(trim(text), '^ITEM NUMBER\\s+([0-9]+)(\\s|$)', 1), '') AS INTEGER) AS num FROM l), s AS (SELECT *, sum(CAST(num IS NOT NULL AS INTEGER)) OVER (PARTITION BY doc ORDER BY line_no) AS segment FROM t)"""
 ORACLES = {
-    "f28_deletions": INS_SQL,
-    "w18_veto_items": f"""WITH {LINES.sql()}, s AS (SELECT *, sum(CASE WHEN regexp_matches(trim(text), '^ITEM NUMBER\\s+[0-9]+(\\s|$)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS segment FROM veto)
-SELECT CAST(segment AS BIGINT) AS segment, max(TRY_CAST(nullif(regexp_extract(trim(text), '^ITEM NUMBER\\s+([0-9]+)', 1), '') AS INTEGER)) AS item_number, string_agg(trim(text), chr(10) ORDER BY line_no) AS lines FROM s WHERE segment > 0 GROUP BY doc, segment""",
-    "a27_missing_numbers": "SELECT 'm' AS doc, unnest([3, 4]) AS item_number",
-    "c28_budget_rows": BUDGET_SQL,
-    "c26_page_cells": CELLS_SQL,
+    "f28_deletions": f"""WITH {INSTRUCTIONS.sql()}, {vetoes.CUTS.replace(vetoes.CUTS[: vetoes.CUTS.index("cut1 AS")], "cut0 AS (SELECT id AS doc, 0 AS segment, 0 AS item_number, 0 AS place, instruction FROM ins), ")}
+SELECT CAST(doc AS INTEGER) AS id, kind, bill_page, text, begins, ends, quotes_repaired FROM cuts""",
+    "w18_veto_items": f"WITH {_VETO} SELECT doc, CAST(segment AS BIGINT) AS segment, max(num) AS item_number, string_agg(trim(text), chr(10) ORDER BY line_no) AS lines FROM s WHERE segment > 0 GROUP BY doc, segment",
+    "a27_missing_numbers": f"WITH {_VETO}, n AS (SELECT DISTINCT doc, num FROM s WHERE num IS NOT NULL), e AS (SELECT doc, unnest(range(min(num), max(num) + 1)) AS item_number FROM n GROUP BY doc) SELECT doc, CAST(item_number AS INTEGER) AS item_number FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc = e.doc AND n.num = e.item_number)",
+    "c28_budget_rows": f"""WITH {BUDGET.sql()}, r AS (SELECT id, string_split(line, '|') AS c FROM budget),
+m AS (SELECT *, CASE WHEN len(c) >= 4 THEN list_transform(c[len(c) - 3:], lambda x: CASE WHEN regexp_full_match(trim(x), '[(]?[0-9,]+[.][0-9][0-9][)]?') THEN CAST(regexp_replace(x, '[^0-9]', '', 'g') AS BIGINT) * CASE WHEN x LIKE '(%' THEN -1 ELSE 1 END END) END AS money,
+  list_filter(string_split(array_to_string(c[:greatest(len(c) - 4, 0)], ' '), ' '), lambda t: t <> '') AS tokens FROM r),
+k AS (SELECT *, len(money) = 4 AND len(list_filter(money, lambda x: x IS NULL)) = 0 AS known, list_position(list_transform(tokens, lambda t: regexp_full_match(t, '[A-Za-z0-9]{{6}}') AND regexp_matches(t, '[0-9]')), true) AS pos FROM m),
+o AS (SELECT *, CASE WHEN known IS NOT TRUE THEN 'skipped' WHEN money[4] <> money[2] - money[3] THEN 'problem' WHEN coalesce(pos, 0) < 2 THEN 'skipped' ELSE 'row' END AS outcome FROM k)
+SELECT id, outcome, CASE WHEN outcome = 'row' THEN array_to_string(tokens[:pos - 2], ' ') END AS agency, CASE WHEN outcome = 'row' THEN tokens[pos - 1] END AS fund, CASE WHEN outcome = 'row' THEN tokens[pos] END AS code, CASE WHEN outcome = 'row' THEN array_to_string(tokens[pos + 1:], ' ') END AS name,
+  CASE WHEN outcome = 'row' THEN money[1] END AS original_cents, CASE WHEN outcome = 'row' THEN money[2] END AS final_cents, CASE WHEN outcome = 'row' THEN money[3] END AS actual_cents, CASE WHEN outcome = 'row' THEN money[2] - money[3] END AS unspent_cents FROM o""",
+    "c26_page_cells": f"{printed.WITH} SELECT * FROM cell",
     "w13_carry_forward": "SELECT user_id AS doc, event_id AS page, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rules FROM events",
     "w11_islands": "WITH d AS (SELECT DISTINCT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day FROM events), i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM d) SELECT user_id, CAST(min(day) AS INTEGER) AS first_day, CAST(count(*) AS INTEGER) AS days FROM i GROUP BY user_id, island",
     "w16_sessions": "WITH s AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations) SELECT conv_id, CAST(segment AS BIGINT) AS segment, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY conv_id, segment",

@@ -1,4 +1,4 @@
-"""Feed views and label functions over inline rows and the driver's tables."""
+"""Feed views and label functions over the driver's tables and texts written from their rows."""
 
 from __future__ import annotations
 
@@ -12,29 +12,30 @@ from . import fixtures as fx
 from . import graphs, movement, prices
 from .ledger import GAP_SQL, gaps, start_year, table
 
-CENTS = fx.Rows("amounts", "id int, cents bigint", list(enumerate([0, 5, -105, 123456, 99999999, 123456789, -98765432100, 1234567890123, None])))
-PERIODS = fx.Rows("periods", "period string", [(x,) for x in ("FY2026", "FY2024-25", "FYFY2020", "2019", "FY", "Biennium", "FY2020 est", "FY2021-b")])
-LABELS = fx.Rows("labels_", "label string", [(x,) for x in ("As Introduced", "introduced", "House  Passed", "Conference", "Executive", "As Passed by House", "final", "Governor Recommended", "As Enacted after Governor's Vetoes")])
-PAIRS = fx.Rows("pairs", "a string, b string", [("State Share of Instruction", "State Share"), ("Aid to aid", "AID"), ("of it", "aid"), ("School Safety Grants", "Grants for Safety"), ("State Foundation Funding", "State Foundation Funding - All")])
+#: Amounts of every size and sign; the last digit keeps them off the halves that the two engines round apart.
+CENTS = "CASE o_orderkey % 7 WHEN 0 THEN 3 * (o_custkey % 30) WHEN 1 THEN -(o_custkey * 10 + 3) WHEN 2 THEN o_custkey * 1000 + 7 WHEN 3 THEN -(o_custkey * 100000 + 13) WHEN 4 THEN o_custkey * 10000000 + 33 WHEN 5 THEN o_custkey * 1000000000 + 57 END"
+PERIODS = fx.Drawn("periods", "id int, period string", list(enumerate(["FY2#", "FY2#-25", "FYFY2#", "1#", "FY", "Biennium", "FY2# est", "FY2#-b"])))
+LABELS = fx.Drawn("labels_", "id int, label string", list(enumerate(["As Introduced", "introduced", "House  Passed", "Conference", "Executive", "As Passed by House", "final", "Governor Recommended", "As Enacted after Governor's Vetoes", "Draft #", "conference-#"])))
+PAIRS = fx.Drawn("pairs", "id int, a string, b string", [(i, *t) for i, t in enumerate([("Shared Fund # of Parks", "Shared Fund #"), ("Aid to aid #", "AID"), ("of it", "aid"), ("School Safety Grants #", "# Grants for Safety"), ("River Fund # Upkeep", "River fund # upkeep - All"), ("  Lake Fund #", "Lake Fund # and more")])])
 
 
 def f09(spark, sf_dir):
-    rows = LABELS.frame(spark).withColumn("plain", text.normalised(F.col("label")))
+    rows = LABELS.frame(spark, sf_dir).withColumn("plain", text.normalised(F.col("label")))
     sheet, paper = text.spelling_table(spark, text.STAGE_SPELLINGS, "plain", "sheet_stage"), text.spelling_table(spark, text.DOCUMENT_SPELLINGS, "plain", "document_stage")
-    return rows.join(sheet, "plain", "left").join(paper, "plain", "left").select("label", "sheet_stage", "document_stage")
+    return rows.join(sheet, "plain", "left").join(paper, "plain", "left").select("id", "label", "sheet_stage", "document_stage")
 
 
 def u04(spark, sf_dir):
     a, b = text.title_tokens(F.col("a")), text.title_tokens(F.col("b"))
-    return PAIRS.frame(spark).select("a", "b", F.round(text.title_overlap(a, b), 9).alias("overlap"), lineage.is_namesake(F.col("a"), F.col("b")).alias("namesake"))
+    return PAIRS.frame(spark, sf_dir).select("id", "a", "b", F.round(text.title_overlap(a, b), 9).alias("overlap"), lineage.is_namesake(F.col("a"), F.col("b")).alias("namesake"))
 
 
 def c20(spark, sf_dir):
     return feed.real_categories(movement.a13(spark, sf_dir), prices.factors(spark, sf_dir), movement.CATEGORIES)
 
 
-def views(spark):
-    return feed.node_views(graphs.NODES.frame(spark), graphs.LINKS.frame(spark), graphs.PROPS.frame(spark))
+def views(spark, sf_dir):
+    return feed.node_views(graphs.NODES.frame(spark, sf_dir), graphs.LINKS.frame(spark, sf_dir), graphs.PROPS.frame(spark, sf_dir))
 
 
 def o09(spark, sf_dir):
@@ -46,13 +47,13 @@ def o09(spark, sf_dir):
 
 
 QUERIES = {
-    "f04_money_formats": lambda s, d: CENTS.frame(s).select("id", numbers.format_money(F.col("cents")).alias("plain"), numbers.compact(F.col("cents")).alias("compact")),
+    "f04_money_formats": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(CENTS).alias("cents")).select("id", numbers.format_money(F.col("cents")).alias("plain"), numbers.compact(F.col("cents")).alias("compact")),
     "f09_stage_labels": f09,
-    "f13_period_start": lambda s, d: PERIODS.frame(s).select("period", start_year().alias("start"), period_kind(F.col("period")).alias("kind")),
+    "f13_period_start": lambda s, d: PERIODS.frame(s, d).select("id", "period", start_year().alias("start"), period_kind(F.col("period")).alias("kind")),
     "u04_token_overlap": u04,
     "c20_local_finance": c20,
-    "c30_node_views": lambda s, d: views(s),
-    "a20_class_counts": lambda s, d: feed.class_counts(views(s), graphs.CLASSES.frame(s)),
+    "c30_node_views": views,
+    "a20_class_counts": lambda s, d: feed.class_counts(views(s, d), graphs.CLASSES.frame(s, d)),
     "o09_subjects_top8": o09,
 }
 
@@ -65,12 +66,15 @@ _VIEWS = f"""{graphs.NODES.sql()}, {graphs.LINKS.sql()}, {graphs.PROPS.sql()}, {
 _REAL = ", ".join(f"CASE WHEN ok THEN CAST(round({c} * factor) AS BIGINT) END AS real_{c}" for c in movement.CATEGORIES)
 _ALL = " AND ".join(f"{c} IS NOT NULL" for c in movement.CATEGORIES)
 ORACLES = {
-    "f04_money_formats": f"""WITH {CENTS.sql()} SELECT id, CASE WHEN cents < 0 THEN '-' WHEN cents IS NOT NULL THEN '' END || '$' || (abs(cents) // 100) || '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') AS plain,
+    "f04_money_formats": f"""WITH amounts AS (SELECT o_orderkey AS id, {CENTS} AS cents FROM orders) SELECT id, CASE WHEN cents < 0 THEN '-' WHEN cents IS NOT NULL THEN '' END || '$' || (abs(cents) // 100) || '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') AS plain,
   CASE WHEN cents < 0 THEN '−' WHEN cents IS NOT NULL THEN '' END || '$' || CASE WHEN abs(cents) >= 100000000000 THEN printf('%.2fB', abs(cents) / 100000000000.0::DOUBLE) WHEN abs(cents) >= 100000000 THEN printf('%.1fM', abs(cents) / 100000000.0::DOUBLE) WHEN abs(cents) >= 100000 THEN printf('%.0fK', abs(cents) / 100000.0::DOUBLE) ELSE printf('%.0f', abs(cents) / 100.0::DOUBLE) END AS compact FROM amounts""",
-    "f09_stage_labels": f"""WITH {LABELS.sql()}, n AS (SELECT label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS p FROM labels_), s(p, sheet_stage) AS (VALUES {_STAGES}), d(p, document_stage) AS (VALUES {_PAPER})
-SELECT label, sheet_stage, document_stage FROM n LEFT JOIN s ON n.p = s.p LEFT JOIN d ON n.p = d.p""",
-    "f13_period_start": f"WITH {PERIODS.sql()} SELECT period, coalesce(TRY_CAST(nullif(regexp_extract(period, '^(?:FY)*([0-9]+)(?:[- ].*)?$', 1), '') AS INTEGER), 2147483647) AS start, CASE WHEN regexp_matches(period, '^[^-]*-[0-9]+$') THEN 'biennial' ELSE 'annual' END AS kind FROM periods",
-    "u04_token_overlap": """SELECT * FROM (VALUES ('State Share of Instruction', 'State Share', 0.666666667::DOUBLE, false), ('Aid to aid', 'AID', 2.0::DOUBLE, false), ('of it', 'aid', 0.0::DOUBLE, false), ('School Safety Grants', 'Grants for Safety', 0.5::DOUBLE, false), ('State Foundation Funding', 'State Foundation Funding - All', 0.75::DOUBLE, true)) v(a, b, overlap, namesake)""",
+    "f09_stage_labels": f"""WITH {LABELS.sql()}, n AS (SELECT label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS p, id FROM labels_), s(p, sheet_stage) AS (VALUES {_STAGES}), d(p, document_stage) AS (VALUES {_PAPER})
+SELECT id, label, sheet_stage, document_stage FROM n LEFT JOIN s ON n.p = s.p LEFT JOIN d ON n.p = d.p""",
+    "f13_period_start": f"WITH {PERIODS.sql()} SELECT id, period, coalesce(TRY_CAST(nullif(regexp_extract(period, '^(?:FY)*([0-9]+)(?:[- ].*)?$', 1), '') AS INTEGER), 2147483647) AS start, CASE WHEN regexp_matches(period, '^[^-]*-[0-9]+$') THEN 'biennial' ELSE 'annual' END AS kind FROM periods",
+    "u04_token_overlap": f"""WITH {PAIRS.sql()}, t AS (SELECT id, a, b, list_filter(regexp_split_to_array(lower(a), '[^a-z0-9]+'), lambda x: strlen(x) > 2) AS ta, list_filter(regexp_split_to_array(lower(b), '[^a-z0-9]+'), lambda x: strlen(x) > 2) AS tb,
+  CASE WHEN strlen(trim(a)) <= strlen(trim(b)) THEN lower(trim(a)) ELSE lower(trim(b)) END AS short, CASE WHEN strlen(trim(a)) <= strlen(trim(b)) THEN lower(trim(b)) ELSE lower(trim(a)) END AS long FROM pairs),
+o AS (SELECT *, len(list_filter(ta, lambda x: list_contains(tb, x))) AS shared FROM t)
+SELECT id, a, b, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0::DOUBLE ELSE round(CAST(shared AS DOUBLE) / (len(ta) + len(tb) - shared), 9) END AS overlap, strlen(short) >= 12 AND len(regexp_split_to_array(short, '\\s+')) >= 2 AND starts_with(long, short) AS namesake FROM o""",
     "c20_local_finance": f"""WITH {prices.FACTORS_SQL}, totals AS ({movement.ORACLES['a13_category_totals']}), t AS (SELECT totals.*, factor, factor IS NOT NULL AND {_ALL} AS ok FROM totals LEFT JOIN factors ON period = 'FY' || year)
 SELECT measure, year, {_REAL}, ok AS is_restated FROM t""",
     "c30_node_views": f"WITH {_VIEWS} SELECT * FROM views",

@@ -1,4 +1,4 @@
-"""Lineage, namesakes and promotion over the driver's tables and small inline rows."""
+"""Lineage, namesakes and promotion over the driver's tables and records written for every supplier."""
 
 from __future__ import annotations
 
@@ -10,15 +10,15 @@ from . import fixtures as fx
 from .ledger import table
 
 STATUS = ["active", "superseded", "retired", "restructured", "active"]
-ROWS = fx.Rows("ext", "row_id int, code string, fiscal_year string, stage string, amount_cents bigint, source string", [
-    (1, "200550", "FY2026", "as-enacted", 100, "lsc"), (2, "200501", "FY2026", "as-enacted", 200, "lsc"), (3, "200", "FY2026", "as-enacted", 300, "lsc"), (4, "200550", "FY2030", "as-enacted", 400, "lsc"),
-    (5, "200550", "FY2026", "as-enacted", 500, "synthetic-fixture"), (6, "999999", "FY2026", "introduced", 600, "gone"), (7, "600321", "FY2026", "as-enacted", 700, "gone"), (8, "200", "FY2027", "as-enacted", 1, "lsc"),
-])
-ITEMS = fx.Rows("items", "item string, pos int, current_code string, historical_codes string", [("foundation", 0, "200550", "200501; 200525"), ("second", 1, "200550", "200501"), ("medicaid", 2, "600321", "x2005012 600-321"), ("none", 3, "", "")])
-APPR = fx.Rows("appr", "path string, pos int, item string, fiscal_year string, stage string, is_open boolean", [
-    ("a/1.yml", 0, "foundation", "FY2026", "as-enacted", True), ("a/2.yml", 1, "foundation", "FY2026", "as-enacted", False), ("a/3.yml", 2, "second", "FY2026", "as-enacted", True), ("a/4.yml", 3, "medicaid", "FY2027", "as-enacted", True),
-])
-SOURCES = fx.Rows("src", "slug string, content_committed boolean", [("lsc", True), ("other", False)])
+ROWS = fx.Copied("ext", "row_id int, code string, fiscal_year string, stage string, amount_cents bigint, source string", [
+    (1, "2@", "FY2034", "as-enacted", 100, "book"), (2, "3@", "FY2034", "as-enacted", 200, "book"), (3, "2", "FY2034", "as-enacted", 300, "book"), (4, "2@", "FY2038", "as-enacted", 400, "book"),
+    (5, "2@", "FY2034", "as-enacted", 500, "synthetic-fixture"), (6, "9@", "FY2034", "introduced", 600, "gone"), (7, "6@", "FY2034", "as-enacted", 700, "gone"), (8, "2", "FY2035", "as-enacted", 1, "book"),
+], ("row_id", "amount_cents"))
+ITEMS = fx.Copied("items", "item string, pos int, current_code string, historical_codes string", [("parks/@", 0, "2@", "3@; 4@"), ("second/@", 1, "2@", "3@"), ("lakes/@", 2, "6@", "x3@2 6@-321"), ("none/@", 3, "", "")], ("pos",))
+APPR = fx.Copied("appr", "path string, pos int, item string, fiscal_year string, stage string, is_open boolean", [
+    ("a/@-1.yml", 0, "parks/@", "FY2034", "as-enacted", True), ("a/@-2.yml", 1, "parks/@", "FY2034", "as-enacted", False), ("a/@-3.yml", 2, "second/@", "FY2034", "as-enacted", True), ("a/@-4.yml", 3, "lakes/@", "FY2035", "as-enacted", True),
+], ("pos",))
+SOURCES = fx.Rows("src", "slug string, content_committed boolean", [("book", True), ("other", False)])
 
 
 def items(spark, sf_dir):
@@ -43,7 +43,7 @@ def c19(spark, sf_dir):
 
 
 def c21(spark, sf_dir):
-    return promote.propose(ROWS.frame(spark), ITEMS.frame(spark), APPR.frame(spark), SOURCES.frame(spark))
+    return promote.propose(ROWS.frame(spark, sf_dir), ITEMS.frame(spark, sf_dir), APPR.frame(spark, sf_dir), SOURCES.frame(spark, sf_dir))
 
 
 QUERIES = {
@@ -51,8 +51,8 @@ QUERIES = {
     "j29_unresolved": lambda s, d: lineage.unresolved(items(s, d), c18(s, d)),
     "c19_slices": c19,
     "c21_promote": c21,
-    "j15_priority_match": lambda s, d: promote.match_codes(ROWS.frame(s), ITEMS.frame(s)).select("row_id", "item", "by_current"),
-    "j30_still_open": lambda s, d: promote.still_open(APPR.frame(s), c21(s, d)),
+    "j15_priority_match": lambda s, d: promote.match_codes(ROWS.frame(s, d), ITEMS.frame(s, d)).select("row_id", "item", "by_current"),
+    "j30_still_open": lambda s, d: promote.still_open(APPR.frame(s, d), c21(s, d)),
     "a22_topk_unmatched": lambda s, d: promote.unmatched(c21(s, d)),
 }
 

@@ -1,4 +1,4 @@
-"""Queries over inline texts: money, headers, paths, provisions, and the unpivot of wide cells."""
+"""Queries over texts written from the driver's rows: money, headers, paths, provisions, and the unpivot of wide cells."""
 
 from __future__ import annotations
 
@@ -11,29 +11,29 @@ from . import fixtures as fx
 
 
 def f01(spark, sf_dir):
-    return fx.MONEY.frame(spark).select("id", numbers.parse_money(F.col("text")).alias("p")).select("id", "p.cents", F.col("p.error").isNull().alias("ok"), numbers.format_money(F.col("p.cents")).alias("shown"))
+    return fx.MONEY.frame(spark, sf_dir).select("id", numbers.parse_money(F.col("text")).alias("p")).select("id", "p.cents", F.col("p.error").isNull().alias("ok"), numbers.format_money(F.col("p.cents")).alias("shown"))
 
 
 def f23(spark, sf_dir):
-    rows = fx.VETOED.frame(spark).select("id", text.veto_split(F.col("text")).alias("v"))
+    rows = fx.VETOED.frame(spark, sf_dir).select("id", text.veto_split(F.col("text")).alias("v"))
     return rows.select("id", F.col("v.text").alias("text"), F.array_join("v.spans", "|").alias("spans"), F.coalesce("v.unterminated", F.lit(False)).alias("unterminated"))
 
 
-def plan(spark):
-    return extract.column_plan(fx.HEADERS.frame(spark))
+def plan(spark, sf_dir):
+    return extract.column_plan(fx.HEADERS.frame(spark, sf_dir))
 
 
 QUERIES = {
     "f01_money_parse": f01,
-    "f02_strict_parse": lambda s, d: fx.STRICT.frame(s).select("id", numbers.parse_money_strict(F.col("text")).alias("cents")),
-    "f07_nested_parens": lambda s, d: fx.NESTED.frame(s).select("id", text.without_brackets(F.col("text")).alias("outside")),
-    "f14_path_join": lambda s, d: fx.PATHS.frame(s).select("base", "target", text.joined_path(F.col("base"), F.col("target")).alias("path")).withColumns({"slug": text.slug_of(F.col("path")), "class": text.target_class(F.col("path"))}),
-    "f21_concurrence": lambda s, d: fx.CELLS.frame(s).select("id", text.is_concurrence(F.col("text")).alias("concurs")),
+    "f02_strict_parse": lambda s, d: fx.STRICT.frame(s, d).select("id", numbers.parse_money_strict(F.col("text")).alias("cents")),
+    "f07_nested_parens": lambda s, d: fx.NESTED.frame(s, d).select("id", text.without_brackets(F.col("text")).alias("outside")),
+    "f14_path_join": lambda s, d: fx.PATHS.frame(s, d).select("base", "target", text.joined_path(F.col("base"), F.col("target")).alias("path")).withColumns({"slug": text.slug_of(F.col("path")), "class": text.target_class(F.col("path"))}),
+    "f21_concurrence": lambda s, d: fx.CELLS.frame(s, d).select("id", text.is_concurrence(F.col("text")).alias("concurs")),
     "f23_inline_veto": f23,
-    "f24_provision_code": lambda s, d: fx.CODES.frame(s).select("id", text.provision_code(F.col("text")).alias("c")).select("id", "c.code", "c.rest"),
-    "c22_column_plan": lambda s, d: plan(s),
-    "c23_unpivot": lambda s, d: extract.unpivot(fx.WIDE_CELLS.frame(s), plan(s)),
-    "a17_accounting": lambda s, d: extract.accounting(extract.unpivot(fx.WIDE_CELLS.frame(s), plan(s))),
+    "f24_provision_code": lambda s, d: fx.CODES.frame(s, d).select("id", text.provision_code(F.col("text")).alias("c")).select("id", "c.code", "c.rest"),
+    "c22_column_plan": plan,
+    "c23_unpivot": lambda s, d: extract.unpivot(fx.WIDE_CELLS.frame(s, d), plan(s, d)),
+    "a17_accounting": lambda s, d: extract.accounting(extract.unpivot(fx.WIDE_CELLS.frame(s, d), plan(s, d))),
 }
 
 _MONEY = f"""{fx.MONEY.sql()}, m1 AS (SELECT id, trim(text) AS t FROM money), m2 AS (SELECT id, t, (starts_with(t, '(') AND ends_with(t, ')')) OR starts_with(t, '-') AS neg,
