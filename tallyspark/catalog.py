@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import civic, comparing, graphs, ledger, movement, papers, prices, printed, relations, site, succession, textual, trends, vetoes
+from tallyspark.plans import civic, comparing, graphs, ledger, movement, ordered, papers, prices, printed, relations, site, succession, textual, trends, vetoes
 
-_MODULES = [ledger, prices, trends, movement, textual, succession, graphs, papers, site, civic, comparing, vetoes, printed, relations]
+_MODULES = [ledger, prices, trends, movement, textual, succession, graphs, papers, site, civic, comparing, vetoes, printed, relations, ordered]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

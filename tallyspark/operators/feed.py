@@ -57,6 +57,19 @@ def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
 
+def placed(rows: DataFrame, first: list[str], rest: list[Column]) -> DataFrame:
+    """``rows`` with their place, from 1, in the order of the columns ``first`` (downwards with a leading minus), then of ``rest``.
+
+    Rows equal in ``first`` are numbered by themselves; only one row for each of its values meets the others in one order. Null stands before all values.
+    """
+    names = [c.removeprefix("-") for c in first]
+    so_far = W.orderBy(*[F.desc_nulls_last(n) if c != n else F.asc_nulls_first(n) for c, n in zip(first, names, strict=True)]).rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(*names).agg(F.count("*").alias("_n")).select(*[F.col(n).alias(f"_{n}") for n in names], F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_at", F.row_number().over(W.partitionBy(*names).orderBy(*rest)))
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    return numbered.join(offsets, same).select(*rows.columns, (F.col("_at") + F.col("_before")).alias("place"))
+
+
 def change(first: Column, last: Column) -> Column:
     return percent(last - first, first)
 

@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# The categories with their labels, whether the money is the state's own, and whether the narrow boundary counts it.
+CATEGORIES = [
+    ("own_source", "own-source revenue in transit", False, False),
+    ("shared", "shared state revenue", True, True),
+    ("reimbursement", "reimbursement", True, True),
+    ("school_aid", "school foundation aid", True, False),
+]
+
+
+def category_attributes(spark) -> DataFrame:
+    """category, label, is_state_money and in_narrow_boundary: a dimension of four rows."""
+    return spark.createDataFrame(CATEGORIES, "category string, label string, is_state_money boolean, in_narrow_boundary boolean")
+
+
+def by_ownership(cells: DataFrame, categories: DataFrame) -> DataFrame:
+    """(measure, year): the state's own money, what the narrow boundary counts, and everything, of the classified codes."""
+    attributes = F.broadcast(category_attributes(cells.sparkSession))
+    rows = cells.join(categories, "code").join(attributes, "category")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("cents"))), F.lit(0)).alias
+    return rows.groupBy("measure", "year").agg(total(F.col("is_state_money"))("state_cents"), total(F.col("in_narrow_boundary"))("narrow_cents"), F.sum("cents").alias("all_cents"))
+
+
 def chosen_cells(facts: DataFrame) -> DataFrame:
     """measure, year, code, cents: the largest figure of a code within a workbook, then the last workbook.
 

@@ -41,6 +41,12 @@ def attributed(moves: DataFrame, applies: DataFrame, modifies: DataFrame) -> Dat
     )
 
 
+def with_readings(attributed: DataFrame) -> DataFrame:
+    """Attributed steps with ``is_complete`` of their (item, period): no step of it passes over a stage, so it may be read as attribution."""
+    whole = attributed.groupBy("item", "period").agg(F.bool_and(F.col("skipped") == "").alias("is_complete"))
+    return attributed.join(whole, ["item", "period"])
+
+
 def series(points: DataFrame, last_stage: int) -> DataFrame:
     """Per (item, period): steps, net change from first to last present stage, missing stages, completeness."""
     rows = first_by_stage(points)

@@ -81,7 +81,7 @@ def entries(spark, sf_dir):
 def report(spark, sf_dir):
     """A customer is a message, an order an item, its lines the deletions."""
     items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("item_number"), (F.col("o_orderstatus") != "P").alias("has_formula"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber > 3").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     cuts = lines.select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("item_number"), F.when(F.col("l_tax") > 0.07, "unrecognised").otherwise("text").alias("kind"), F.when(F.col("l_discount") > 0.05, "costs $5").alias("text"))
     return documents.veto_report(items, cuts)
 
@@ -165,7 +165,7 @@ SELECT doc, round(arg_max(total, i) / max(n), 6) AS rule, CAST(max(n) AS INTEGER
     "f22_veto_headings": "SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN 'vetoed' WHEN 2 THEN 'partially_vetoed' ELSE 'not_vetoed' END AS status, trim(p_name) AS title FROM part",
     "f41_provenance": """SELECT p_partkey, 'provision ' || CASE WHEN p_size > 10 THEN p_brand ELSE '"' || p_name || '"' END AS document_ref, 'page ' || p_size AS locator FROM part""",
     "w09_entry_index": "SELECT *, CAST(row_number() OVER (PARTITION BY doc, code ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS INTEGER) AS entry_index FROM (SELECT DISTINCT l_suppkey AS doc, l_returnflag AS code, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem)",
-    "p28_veto_report": """WITH d AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (l_tax > 0.07) AS u, bool_or(l_discount > 0.05) AS m FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL),
+    "p28_veto_report": """WITH d AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (l_tax > 0.07) AS u, bool_or(l_discount > 0.05) AS m FROM lineitem GROUP BY ALL),
 r AS (SELECT o_custkey AS doc, count(*) AS items, CAST(coalesce(sum(n), 0) AS BIGINT) AS deletions, count(*) FILTER (o_orderstatus = 'P') AS without_formula, count(*) FILTER (n IS NULL) AS without_deletions, CAST(coalesce(sum(u), 0) AS BIGINT) AS unrecognised,
   count(*) FILTER (m) AS striking_money, max(o_orderkey) - min(o_orderkey) + 1 - count(DISTINCT o_orderkey) AS missing_numbers FROM orders LEFT JOIN d ON o = o_orderkey GROUP BY o_custkey)
 SELECT *, without_formula + without_deletions + unrecognised + missing_numbers = 0 AS is_clean FROM r""",

@@ -42,7 +42,7 @@ def c12(spark, sf_dir):
 
 
 def a06(spark, sf_dir):
-    rows = points(spark, sf_dir).where("period = 'FY1998' and cents is not null").select(F.col("item").alias("code"), "stage", "cents", "ord")
+    rows = points(spark, sf_dir).where("cents is not null").select((F.col("item") * 10000 + F.substring("period", 3, 4).cast("int")).alias("code"), "stage", "cents", "ord")
     return stages.ladder_rollup(rows, STAGES)
 
 
@@ -58,7 +58,7 @@ def a12(spark, sf_dir):
 
 def cells(spark, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return localfin.chosen_cells(lines.where("p_type <> 'PROMO' or l_linestatus = 'O'").select(
+    return localfin.chosen_cells(lines.select(
         F.col("l_linenumber").alias("workbook"), F.when((F.col("l_linestatus") == "F") | (fiscal_year(F.col("l_shipdate")) >= 2002), "actual").otherwise("enacted").alias("measure"), fiscal_year(F.col("l_shipdate")).alias("year"), F.col("p_brand").alias("code"), cents_of(F.col("l_extendedprice")).alias("cents"),
     ))
 
@@ -101,7 +101,7 @@ stp AS (SELECT *, lag(stage) OVER w AS from_stage, lag(cents) OVER w AS from_cen
 steps AS (SELECT item, period, from_stage, stage AS to_stage, from_cents, cents AS to_cents, cents - from_cents AS delta_cents, array_to_string(range(from_stage + 1, stage), ',') AS skipped, ord FROM stp WHERE from_stage IS NOT NULL)"""
 WIDE = """cell AS (SELECT l_returnflag AS bill, l_partkey AS key, l_linenumber AS col, CAST(floor(max(l_quantity)) AS BIGINT) AS cents FROM lineitem GROUP BY ALL HAVING count(*) = 1),
 wide AS (SELECT bill, key, max(cents) FILTER (col = 1) AS c1, max(cents) FILTER (col = 2) AS c2, max(cents) FILTER (col = 3) AS c3, max(cents) FILTER (col = 4) AS c4, max(cents) FILTER (col = 5) AS c5, max(cents) FILTER (col = 6) AS c6 FROM cell GROUP BY ALL)"""
-CELLS = f"""fact AS (SELECT l_linenumber AS workbook, CASE WHEN l_linestatus = 'F' OR {FY.format('l_shipdate')} >= 2002 THEN 'actual' ELSE 'enacted' END AS measure, CAST({FY.format('l_shipdate')} AS INTEGER) AS year, p_brand AS code, {CENTS.format('l_extendedprice')} AS cents FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'PROMO' OR l_linestatus = 'O'),
+CELLS = f"""fact AS (SELECT l_linenumber AS workbook, CASE WHEN l_linestatus = 'F' OR {FY.format('l_shipdate')} >= 2002 THEN 'actual' ELSE 'enacted' END AS measure, CAST({FY.format('l_shipdate')} AS INTEGER) AS year, p_brand AS code, {CENTS.format('l_extendedprice')} AS cents FROM lineitem JOIN part ON l_partkey = p_partkey),
 cells AS (SELECT measure, year, code, arg_max(cents, workbook) AS cents FROM (SELECT workbook, measure, year, code, max(cents) AS cents FROM fact GROUP BY ALL) GROUP BY ALL)"""
 _HAND = " UNION ALL ".join(f"SELECT '{a}' AS actor, bill, c{b} AS base, c{p} AS prior, c{g} AS given, c{r} AS result FROM wide" for a, b, p, g, r in HAND_OFFS)
 _PLACES = ", ".join(f"count(*) FILTER (place = '{p}') AS {p}, coalesce(round(CAST(sum(cents) FILTER (place = '{p}') AS DOUBLE) / CAST(sum(cents) AS DOUBLE) * 100, 4), 0) AS {p}_dollar_pct" for p in ("at_house", "at_senate", "between", "outside"))
@@ -119,7 +119,7 @@ f AS (SELECT s.item, s.period, s.to_stage, action, kind, actor FROM steps s JOIN
 b AS (SELECT item, period, to_stage, count(*) AS n, bool_or(kind = 'veto') AS veto, arg_min(actor, action) AS actor FROM f GROUP BY ALL)
 SELECT s.item, s.period, s.to_stage, from_stage, from_cents, to_cents, delta_cents, skipped, coalesce(n, 0) AS n_actions, actor AS first_actor, skipped = '' AND coalesce(n, 0) > 0 AS is_attributed, coalesce(veto, false) AND delta_cents > 0 AS veto_with_rise
 FROM steps s LEFT JOIN b ON s.item = b.item AND s.period = b.period AND s.to_stage = b.to_stage""",
-    "a06_stage_rollup": f"""WITH {POINTS}, lastrow AS (SELECT item AS code, stage, arg_max(cents, ord) AS cents FROM pts WHERE period = 'FY1998' AND cents IS NOT NULL GROUP BY ALL),
+    "a06_stage_rollup": f"""WITH {POINTS}, lastrow AS (SELECT item * 10000 + CAST(substr(period, 3, 4) AS INTEGER) AS code, stage, arg_max(cents, ord) AS cents FROM pts WHERE cents IS NOT NULL GROUP BY ALL),
 d AS (SELECT a.code, a.stage AS from_stage, b.cents - a.cents AS d FROM lastrow a JOIN lastrow b ON a.code = b.code AND b.stage = a.stage + 1 WHERE b.cents <> a.cents),
 g AS (SELECT from_stage, count(*) AS moved, count(*) FILTER (d > 0) AS raised, count(*) FILTER (d < 0) AS cut, sum(abs(d)) AS gross, sum(d) AS net, arg_min(code, (-d, code)) FILTER (d > 0) AS rise, arg_min(code, (d, code)) FILTER (d < 0) AS fall FROM d GROUP BY from_stage)
 SELECT CAST(l.i AS INTEGER) AS from_stage, CAST(l.i + 1 AS INTEGER) AS to_stage, coalesce(moved, 0) AS moved, coalesce(raised, 0) AS raised, coalesce(cut, 0) AS cut, CAST(coalesce(gross, 0) AS BIGINT) AS gross_cents, CAST(coalesce(net, 0) AS BIGINT) AS net_cents, rise AS largest_rise, fall AS largest_cut,

@@ -22,11 +22,14 @@ SOURCES = fx.Rows("src", "slug string, content_committed boolean", [("book", Tru
 
 
 def items(spark, sf_dir):
-    """Line items: distinct part names; status, agency and periods follow from the name's length and numbers."""
+    """Line items: distinct part names; status, agency and periods follow from the name's length and numbers. Suppliers share one token and have no periods, so nothing succeeds them."""
     names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_size").alias("size"), F.min("p_brand").alias("agency"))
     k = F.pmod(F.length("p_name"), F.lit(5))
-    return names.select(F.col("p_name").alias("item"), F.col("p_name").alias("name"), F.element_at(F.array(*map(F.lit, STATUS)), (k + 1).cast("int")).alias("status"), F.when(F.pmod(F.length("p_name"), F.lit(2)) == 0, "A").otherwise("B").alias("agency"),
-                        F.when(k > 0, "FY2010").alias("first_period"), F.when(k < 3, "FY2020").otherwise("[open]").alias("last_period"))
+    retired = F.element_at(F.array(*map(F.lit, ("retired", "superseded", "active"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("first_period", "last_period")]
+    others = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("item"), F.col("s_name").alias("name"), retired.alias("status"), F.lit("C").alias("agency"), *nothing)
+    return others.unionByName(names.select(F.col("p_name").alias("item"), F.col("p_name").alias("name"), F.element_at(F.array(*map(F.lit, STATUS)), (k + 1).cast("int")).alias("status"), F.when(F.pmod(F.length("p_name"), F.lit(2)) == 0, "A").otherwise("B").alias("agency"),
+                        F.when(k > 0, "FY2010").alias("first_period"), F.when(k < 3, "FY2020").otherwise("[open]").alias("last_period")))
 
 
 def links(spark):
@@ -57,7 +60,8 @@ QUERIES = {
 }
 
 _ITEMS = """it AS (SELECT p_name AS item, ['active', 'superseded', 'retired', 'restructured', 'active'][length(p_name) % 5 + 1] AS status, CASE WHEN length(p_name) % 2 = 0 THEN 'A' ELSE 'B' END AS agency,
-  length(p_name) % 5 > 0 AS has_first, length(p_name) % 5 < 3 AS has_last, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: strlen(x) > 2) AS tok FROM (SELECT DISTINCT p_name FROM part)),
+  length(p_name) % 5 > 0 AS has_first, length(p_name) % 5 < 3 AS has_last, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: strlen(x) > 2) AS tok FROM (SELECT DISTINCT p_name FROM part)
+  UNION ALL SELECT s_name, ['retired', 'superseded', 'active'][s_suppkey % 3 + 1], 'C', false, false, list_filter(regexp_split_to_array(lower(s_name), '[^a-z0-9]+'), lambda x: strlen(x) > 2) FROM supplier),
 st AS (SELECT * FROM (VALUES ('red bolt', 'blue gear'), ('hot gear', 'small ring')) v(pred, succ)),
 pr AS (SELECT p.item AS pred, s.item AS succ, p.agency = 'A' AND s.agency = 'B' AS moved, st.pred IS NOT NULL AS asserted, len(list_filter(p.tok, lambda x: list_contains(s.tok, x))) AS sh, len(p.tok) AS np, len(s.tok) AS ns, p.has_last AND s.has_first AS both_
   FROM it p JOIN it s ON p.item <> s.item LEFT JOIN st ON st.pred = p.item AND st.succ = s.item WHERE p.status IN ('superseded', 'retired', 'restructured')),

@@ -234,6 +234,14 @@ def bill(rows: DataFrame, assembly: str, number: str) -> DataFrame:
     return rows.where((F.col("general_assembly") == assembly) & (F.col("bill_number") == number))
 
 
+def head_commit(folder: str) -> str | None:
+    """Short hash of the checked-out commit of ``folder``, null outside a repository; asked once, by the driver."""
+    import subprocess
+
+    done = subprocess.run(["git", "-C", folder, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, check=False)
+    return done.stdout.strip() or None if done.returncode == 0 else None
+
+
 def http_rows(url: str) -> DataFrame:
     """Nothing is fetched, and nothing stands in for it."""
     raise NotImplementedError(f"no network source: {url}")

@@ -113,3 +113,19 @@ def test_rows_and_schemas_round_trip_as_json(spark, tmp_path):
 
     schema = StructType.fromJson(json.loads(spark.read.text(f"{tmp_path}/row.schema.json").first()["value"]))
     assert schema == rows.schema and sorted(map(str, spark.read.schema(schema).json(f"{tmp_path}/rows").collect())) == sorted(map(str, rows.collect()))
+
+
+def test_json_schema_names_every_column(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(1, "a", [1.5], ("x",))], "id bigint not null, name string, many array<double>, own struct<c: string>")
+    sinks.emit_json_schema(rows, str(tmp_path), "row")
+    schema = json.loads("\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/row.json").collect()))
+    assert (schema["title"], schema["type"], schema["required"], schema["additionalProperties"]) == ("row", "object", ["id"], False)
+    assert schema["properties"]["id"] == {"type": "integer"} and schema["properties"]["name"] == {"type": ["string", "null"]}
+    assert schema["properties"]["many"] == {"type": ["array", "null"], "items": {"type": "number"}}
+    assert schema["properties"]["own"]["properties"] == {"c": {"type": ["string", "null"]}}
+
+
+def test_head_commit_is_null_outside_a_repository(tmp_path):
+    assert files.head_commit(str(tmp_path)) is None
