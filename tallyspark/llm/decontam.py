@@ -2,9 +2,9 @@ r"""Benchmark decontamination by a prefix-filtered set join (DataFrame functions
 
 An item's windows are all runs of ``window`` consecutive words (a shorter item is one window). A
 window is a set of word shingles at fixed offsets, and a document holds it only if it holds all of
-them, so its rarest shingle alone is the necessary prefix. Shingles are ordered by how often they
-occur in the whole corpus; documents' shingles are joined with the prefixes on the words themselves,
-the match fixes where the window would start (positional bound), windows that would leave the document
+them, so its rarest shingle alone is the necessary prefix. Documents' shingles are joined once with those of the items, on the words
+themselves; what is found is counted, which orders shingles by how often they occur in the whole corpus, and joined with the prefixes.
+The match fixes where the window would start (positional bound), windows that would leave the document
 are dropped (length bound), and every candidate is verified word by word against the document.
 
 Edge cases: null and empty texts have no words and no hits; items without words have no windows; a
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hinted, saved, text_of
+from .common import ascii_lower, drop, hinted, saved, text_of
 
 #: The ASCII characters that are no part of words, and the pattern of a run of them.
 BETWEEN = "".join(chr(c) for c in range(128) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A))
@@ -44,27 +44,34 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def doc_shingles(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, at (0-based) and w0.. of every complete shingle of every document."""
+    """doc_id, h (hash of the text), at (0-based) and w0.. of every complete shingle of every row."""
     cols = [f"w{k}" for k in range(n)]
-    words = docs.select("doc_id", words_of(docs).alias("words"))
-    zipped = words.select("doc_id", F.arrays_zip(*[F.slice("words", k + 1, F.size("words")) for k in range(n)]).alias("s"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(docs).alias("words"))
+    zipped = words.select("doc_id", "h", F.arrays_zip(*[F.slice("words", k + 1, F.size("words")) for k in range(n)]).alias("s"))
     # An outer explode: for an inner one the optimizer infers filters that would split every text again.
-    exploded = zipped.select("doc_id", F.posexplode_outer("s").alias("at", "s"))
-    return exploded.select("doc_id", "at", *[F.col("s")[str(k)].alias(c) for k, c in enumerate(cols)]).where(F.col(cols[-1]).isNotNull())
+    exploded = zipped.select("doc_id", "h", F.posexplode_outer("s").alias("at", "s"))
+    return exploded.select("doc_id", "h", "at", *[F.col("s")[str(k)].alias(c) for k, c in enumerate(cols)]).where(F.col(cols[-1]).isNotNull())
 
 
-def prefixes(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
-    """Each window of at least ``n`` words with its corpus-rarest shingle and that shingle's offset."""
+def matches(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """doc_id, h, start and w: where a window of at least ``n`` words may stand, as its rarest shingle of ``n`` words does.
+
+    The corpus is laid out once: what it holds of the windows' shingles is saved under their numbers, counted, and joined with the rarest ones.
+    """
     cols = [f"w{k}" for k in range(n)]
     starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
     parts = windows.select("w", F.explode(F.transform(starts, lambda i: F.struct((i - 1).alias("off"), *[F.element_at("w", i + k).alias(c) for k, c in enumerate(cols)]))).alias("s"))
-    parts = saved(parts.select("w", "s.off", *[f"s.{c}" for c in cols]).distinct())
-    vocabulary = hinted(saved(parts.select(*cols).distinct()))
-    seen = doc_shingles(docs, n).join(vocabulary, cols).groupBy(*cols).agg(F.count("*").alias("times"))
-    ranked = parts.join(seen, cols, "left").fillna(0, ["times"])
-    rarest = ranked.groupBy("w").agg(F.min(F.struct("times", "off", *cols)).alias("s"))
-    # A shingle that never occurs rules its window out.
-    return rarest.where("s.times > 0").select("w", "s.off", *[f"s.{c}" for c in cols])
+    parts = parts.select("w", "s.off", *[f"s.{c}" for c in cols]).distinct()
+    vocabulary = saved(parts.select(*cols).distinct().withColumn("shingle", F.monotonically_increasing_id()))
+    numbered = saved(parts.join(vocabulary, cols).select("w", "off", "shingle"))
+    found = saved(doc_shingles(docs, n).join(hinted(vocabulary), cols).select("doc_id", "h", "at", "shingle"))
+    often = found.groupBy("shingle").agg(F.count("*").alias("times"))
+    # A shingle that never occurs rules its window out: it has no count and comes first.
+    rarest = numbered.join(often, "shingle", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "off", "shingle")).alias("s"))
+    wanted = saved(rarest.where("s.times > 0").select("w", "s.off", "s.shingle"))
+    matched = saved(found.join(hinted(wanted), "shingle").select("doc_id", "h", (F.col("at") - F.col("off")).alias("start"), "w").where("start >= 0"))
+    drop(vocabulary, numbered, found, wanted)
+    return matched
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -77,20 +84,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tupl
     found = None
     for n in kinds:
         own = windows.where(F.size("w") >= SHINGLE if n == SHINGLE else F.size("w") == n).select("w").distinct()
-        wanted = hinted(saved(prefixes(docs, own, n)))
-        matched = doc_shingles(docs, n).join(wanted, [f"w{k}" for k in range(n)]).select("doc_id", (F.col("at") - F.col("off")).alias("start"), "w").where("start >= 0")
+        matched = matches(docs, own, n)
         found = matched if found is None else found.unionByName(matched)
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_h", F.xxhash64("text"))
     if found is None:
         words = rows.select(*keep, words_of(rows).alias("words"))
         none = F.lit(0).cast("bigint")
         return words.select(*keep, F.size("words").cast("bigint").alias("n_words"), none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
     by_window = windows.groupBy("w").agg(F.collect_set("item_id").alias("items"))
     found = found.distinct().join(hinted(saved(by_window)), "w")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "w", "items")).alias("cand"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), "cand")
+    # Rows that share an id, or have none, are told apart by their text's hash; each is verified on its own text anyway.
+    per_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_own")).agg(F.collect_list(F.struct("start", "w", "items")).alias("cand"))
     # The text crosses the shuffle as it is and is split into words again behind it.
-    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_own")), "left")
     joined = joined.select(*keep, words_of(joined).alias("words"), "cand")
     true = F.filter("cand", lambda c: (c["start"] + F.size(c["w"]) <= F.size("words")) & (F.slice("words", c["start"] + 1, F.size(c["w"])) == c["w"]))
     joined = joined.select(*keep, F.size("words").cast("bigint").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<start:int,w:array<string>,items:array<string>>>")).alias("hit"))
