@@ -91,3 +91,39 @@ def compact(cents: Column) -> Column:
         .otherwise(F.format_string("%.0f", dollars))
     )
     return F.when(cents.isNotNull(), F.concat(sign, F.lit("$"), body))
+
+
+def _grouped(whole: Column) -> Column:
+    return F.format_number(whole, 0)
+
+
+def dollars(cents: Column) -> Column:
+    """Whole dollars with grouping, half away from zero: -$1,235."""
+    return F.concat(F.when(cents < 0, "-$").otherwise("$"), _grouped(F.floor((F.abs(cents) + 50) / 100)))
+
+
+def exact(cents: Column) -> Column:
+    """Dollars and cents with grouping: $1,234.50."""
+    size = F.abs(cents)
+    return F.concat(F.when(cents < 0, "-$").otherwise("$"), _grouped(F.floor(size / 100)), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))
+
+
+def delta(cents: Column) -> Column:
+    """A signed compact amount, U+2212 as the minus sign; nothing is $0 without one."""
+    return F.when(cents == 0, "$0").otherwise(F.concat(F.when(cents > 0, "+").otherwise("\u2212"), compact(F.abs(cents))))
+
+
+def percent_label(pct: Column, digits: int = 2) -> Column:
+    """A signed percentage; without one the reason, never 0 %."""
+    sign = F.when(pct > 0, "+").when(pct < 0, "\u2212").otherwise("")
+    return F.when(pct.isNull(), "no authority to take a share of").otherwise(F.concat(sign, F.format_string(f"%.{digits}f", F.abs(pct)), F.lit("%")))
+
+
+def billions(cents: Column) -> Column:
+    """Billions of dollars for a report column of seven."""
+    return F.when(cents.isNotNull(), F.format_string("%7.2f", cents / 1e11))
+
+
+def share_label(part: Column, whole: Column) -> Column:
+    """part of whole as a percentage for a report column of six; a dash where either is missing or the whole is nothing."""
+    return F.when(part.isNotNull() & (whole > 0), F.format_string("%5.1f%%", part / whole * 100.0)).otherwise("    \u2014")

@@ -150,3 +150,60 @@ def first_line(text: Column) -> Column:
 
 def constant_dollar_label(base: Column, series: Column) -> Column:
     return F.concat(base, F.lit(" dollars ("), series, F.lit(")"))
+
+
+# How the feed's pages name the stages, and how reports name severities.
+STAGE_LABELS = {
+    "as-introduced": "As introduced",
+    "house-substitute": "House substitute",
+    "house-reported": "House reported",
+    "as-passed-house": "Passed House",
+    "senate-substitute": "Senate substitute",
+    "senate-reported": "Senate reported",
+    "as-passed-senate": "Passed Senate",
+    "conference-report": "Conference report",
+    "as-enacted": "As enacted",
+    "post-veto": "Post-veto",
+}
+SEVERITY_LABELS = {"error": "error", "warn": " warn"}
+
+
+def _labelled(value: Column, labels: dict[str, str]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), value), value)
+
+
+def stage_label(stage: Column) -> Column:
+    return _labelled(stage, STAGE_LABELS)
+
+
+def severity_label(severity: Column) -> Column:
+    return _labelled(severity, SEVERITY_LABELS)
+
+
+def with_item_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (slug, ..) with the label of the line item of that slug (nodes: class, slug, label), else the slug read as words."""
+    own = nodes.where("class = 'line-item'").groupBy("slug").agg(F.min("label").alias("_label"))
+    return rows.join(own, "slug", "left").withColumn("label", F.coalesce("_label", humanised(F.col("slug")))).drop("_label")
+
+
+def node_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The node of each (class, slug) of ``wanted``, null fields where there is none; slugs are unique within a class only."""
+    return wanted.join(nodes.groupBy("class", "slug").agg(F.min("path").alias("path")), ["class", "slug"], "left")
+
+
+def related_figures(backlinks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """item, related (links to it) and figures (links of existing nodes that carry one; nodes: class, slug, has_figure)."""
+    known = nodes.groupBy("class", "slug").agg(F.bool_or("has_figure").alias("has_figure"))
+    return backlinks.join(known, ["class", "slug"], "left").groupBy("item").agg(F.count("*").alias("related"), F.count_if(F.coalesce("has_figure", F.lit(False))).alias("figures"))
+
+
+def series_change(points: DataFrame, start: Column) -> DataFrame:
+    """item, first and last period, nominal and real change in percent between them, and whether their signs differ.
+
+    points: item, period, cents, real_cents. Items with a single point, or with nothing at the first one, have no row.
+    """
+    point = F.struct(start.alias("start"), "period", "cents", "real_cents")
+    ends = points.groupBy("item").agg(F.min(point).alias("a"), F.max(point).alias("z"), F.count("*").alias("n")).where("n > 1 AND a.cents <> 0 AND a.real_cents <> 0")
+    grown = lambda c: (F.col(f"z.{c}") / F.col(f"a.{c}") - 1) * 100
+    rows = ends.select("item", F.col("a.period").alias("from_period"), F.col("z.period").alias("to_period"), grown("cents").alias("nominal_pct"), grown("real_cents").alias("real_pct"))
+    return rows.withColumn("reverses_sign", F.signum("nominal_pct") != F.signum("real_pct"))
