@@ -16,7 +16,7 @@ from . import movement
 from .ledger import table
 
 BASE = "https://records.example//"
-# Both engines read this expression: a bill's number with white space of every kind in it.
+# Both engines read these expressions: a bill's number with white space of every kind in it, a heading with markers of every kind and place.
 NUMBER = "CASE o_orderkey % 4 WHEN 0 THEN concat('H B ', o_orderkey) WHEN 1 THEN concat(' hb', chr(9), o_orderkey, ' ') WHEN 2 THEN concat('SB', o_orderkey) ELSE concat('Hb  ', o_orderkey, chr(10)) END"
 HEADING = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN concat('**VETOED**', p_name) WHEN 2 THEN concat('  **VETOED**  ', p_name, ' ') WHEN 3 THEN concat('**PARTIALLY VETOED**', p_name, '**VETOED**') WHEN 4 THEN concat(p_name, ' **VETOED**') ELSE concat('**vetoed** ', p_name) END"
 ENDINGS = ["th", "st", "nd", "rdth", ""]
@@ -168,49 +168,6 @@ SELECT doc, round(arg_max(total, i) / max(n), 6) AS rule, CAST(max(n) AS INTEGER
     "f22_veto_headings": f"""WITH h AS (SELECT p_partkey, trim({HEADING}) AS t FROM part)
 SELECT p_partkey, CASE WHEN starts_with(t, '**VETOED**') THEN 'vetoed' WHEN starts_with(t, '**PARTIALLY VETOED**') THEN 'partially_vetoed' ELSE 'not_vetoed' END AS status,
   trim(CASE WHEN starts_with(t, '**VETOED**') THEN substr(t, 11) WHEN starts_with(t, '**PARTIALLY VETOED**') THEN substr(t, 21) ELSE t END) AS title FROM h""",
-    "f41_provenance": provenance,
-    "w09_entry_index": entries,
-    "p28_veto_report": report,
-    "f25_joined_lines": lambda s, d: split(LINES, s, d).select("id", documents.join_lines(F.col("cells")).alias("soft"), documents.join_lines(F.col("cells"), False).alias("hard")),
-    "f26_running_feet": lambda s, d: FEET.frame(s, d).select("id", documents.is_running_foot(F.col("line")).alias("foot")),
-    "f29_headings": lambda s, d: HEADINGS.frame(s, d).select("id", documents.heading(F.array("first", "second")).alias("h")).select("id", "h.*"),
-    "p30_header_rows": lambda s, d: split(ROWS, s, d).select("id", documents.is_header_row(F.col("cells"), [x for xs in text.DOCUMENT_SPELLINGS.values() for x in xs]).alias("header")),
-    "j14_previous_biennium": lambda s, d: process.with_previous(BILLS.frame(s, d)),
-    "c17_process_findings": process_findings,
-    "c34_hand_off_rows": lambda s, d: process.hand_off_rows(process.conditioning(movement.columns(s, d), movement.HAND_OFFS)),
-    "p17_first_decomposition": lambda s, d: feed.first_decomposition(steps(s, d)),
-    "j36_appropriation_decomposition": lambda s, d: feed.with_decomposition(feed.enacted_points(movement.points(s, d), movement.STAGES), steps(s, d)),
-    "o08_largest_movements": lambda s, d: feed.largest_movements(steps(s, d)),
-    "j33_enacted_points": lambda s, d: feed.enacted_points(movement.points(s, d), movement.STAGES),
-    "a35_citing_counts": cited,
-    "p35_node_by_slug": lookup,
-    "f35_labels": labels,
-    "f36_first_line": lambda s, d: FIRST.frame(s, d).select("id", feed.first_line(F.col("line")).alias("first")),
-}
-
-_SPELLINGS = ", ".join(f"'{x}'" for xs in text.DOCUMENT_SPELLINGS.values() for x in xs)
-_ASSEMBLY = "CAST(o_custkey AS VARCHAR) || list_extract(['th', 'st', 'nd', 'rdth', ''], CAST(o_orderkey % 5 + 1 AS INTEGER))"
-
-
-def _joined(soft: str) -> str:
-    """DuckDB fold over the lines of ``broken``."""
-    return f"""list_reduce(list_prepend('', list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '')), lambda a, x:
-  CASE WHEN {soft} AND regexp_matches(a, '\\p{{L}}-$') AND regexp_matches(x, '^\\p{{Ll}}') THEN left(a, length(a) - 1) || x WHEN a = '' OR ends_with(a, '-') THEN a || x ELSE a || ' ' || x END)"""
-
-
-_COND = movement.ORACLES["c15_conditioning"]
-ORACLES = {
-    "f17_bill_slugs": f"WITH n AS (SELECT *, lower(regexp_replace({NUMBER}, '\\s', '', 'g')) AS slug FROM orders) SELECT o_orderkey, slug, slug || '-' || {_ASSEMBLY} AS corpus_slug, slug || '-' || substr(o_orderpriority, 3) AS version_slug FROM n",
-    "f18_document_url": f"""WITH n AS (SELECT o_orderkey, lower(regexp_replace({NUMBER}, '\\s', '', 'g')) AS slug, {_ASSEMBLY} AS assembly FROM orders)
-SELECT o_orderkey, 'https://records.example/legislation/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(assembly, '(th)+$', ''), '(nd)+$', ''), '(rd)+$', ''), '(st)+$', '') || '/' || slug AS url FROM n""",
-    "j31_missing_versions": "SELECT DISTINCT 'HB ' || l_orderkey AS number, CAST(l_linenumber AS VARCHAR) AS stage, 'hb' || l_orderkey || '-' || l_linenumber AS slug FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem h WHERE h.l_returnflag = 'R' AND h.l_orderkey = l.l_orderkey AND h.l_linenumber = l.l_linenumber)",
-    "a36_rule_clusters": """WITH RECURSIVE x AS (SELECT user_id AS doc, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i FROM events),
-c AS (SELECT doc, i, 0 AS id, value AS total, 1 AS n FROM x WHERE i = 1
-  UNION ALL SELECT x.doc, x.i, CASE WHEN abs(value - total / n) <= 4.0 THEN id ELSE id + 1 END, CASE WHEN abs(value - total / n) <= 4.0 THEN total + value ELSE value END, CASE WHEN abs(value - total / n) <= 4.0 THEN n + 1 ELSE 1 END FROM c JOIN x ON x.doc = c.doc AND x.i = c.i + 1)
-SELECT doc, round(arg_max(total, i) / max(n), 6) AS rule, CAST(max(n) AS INTEGER) AS marks FROM c GROUP BY doc, id""",
-    "p38_drawn_rules": "SELECT user_id AS doc, 1 AS page, value AS y FROM events m WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'click' AND c.user_id = m.user_id AND abs(c.value - m.value) <= 0.5)",
-    "w14_entry_starts": "SELECT DISTINCT user_id AS doc, 1 AS page, (SELECT min(c.value) FROM events c WHERE c.event_type = 'click' AND c.user_id = m.user_id AND c.value > m.value) AS y FROM events m WHERE event_type = 'purchase' AND y IS NOT NULL",
-    "f22_veto_headings": "SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN 'vetoed' WHEN 2 THEN 'partially_vetoed' ELSE 'not_vetoed' END AS status, trim(p_name) AS title FROM part",
     "f41_provenance": """SELECT p_partkey, 'provision ' || CASE WHEN p_size > 10 THEN p_brand ELSE '"' || p_name || '"' END AS document_ref, 'page ' || p_size AS locator FROM part""",
     "w09_entry_index": "SELECT *, CAST(row_number() OVER (PARTITION BY doc, code ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS INTEGER) AS entry_index FROM (SELECT DISTINCT l_suppkey AS doc, l_returnflag AS code, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem)",
     "p28_veto_report": """WITH d AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (l_tax > 0.07) AS u, bool_or(l_discount > 0.05) AS m FROM lineitem GROUP BY ALL),
