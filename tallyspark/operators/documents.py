@@ -44,13 +44,22 @@ def page_rows(glyphs: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
 
 def rivers(glyphs: DataFrame, width: float = RIVER_WIDTH, bin_size: float = BIN) -> DataFrame:
     """Vertical bands of a page that no glyph touches, as wide as ``width`` of the median font size, margins left out."""
-    used = glyphs.select("doc", "page", F.explode(F.sequence(F.floor(F.col("x") / bin_size), F.ceil((F.col("x") + F.col("advance")) / bin_size) - 1)).alias("bin")).distinct()
-    edge = glyphs.groupBy("doc", "page").agg(F.floor(F.min("x") / bin_size).alias("lo"), F.ceil(F.max(F.col("x") + F.col("advance")) / bin_size).alias("hi"), F.sort_array(F.collect_list("font_size")).alias("sizes"))
-    edge = edge.withColumn("median", F.get("sizes", F.floor(F.size("sizes") / 2).cast("int"))).withColumn("median", F.when(F.col("median") <= 0, 1.0).otherwise(F.col("median")))
-    free = edge.select("doc", "page", "median", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("bin")).join(used, ["doc", "page", "bin"], "left_anti")
-    island = F.col("bin") - F.row_number().over(W.partitionBy("doc", "page").orderBy("bin"))
-    runs = free.withColumn("island", island).groupBy("doc", "page", "median", "island").agg(F.min("bin").alias("a"), F.max("bin").alias("z"))
-    return runs.where((F.col("z") - F.col("a") + 1) * bin_size >= F.col("median") * width).select("doc", "page", F.round(F.col("a") * bin_size, 6).alias("left"), F.round((F.col("z") + 1) * bin_size, 6).alias("right"))
+    # A glyph covers whole bins, its end not included; one without width may cover none. Runs are bridged from left to right, so a page's rows are its glyphs, not its bins.
+    lo, end = F.floor(F.col("x") / bin_size), F.ceil((F.col("x") + F.col("advance")) / bin_size)
+    page = glyphs.groupBy("doc", "page").agg(
+        F.min(lo).alias("lo"), F.max(end).alias("hi"), F.sort_array(F.collect_set(F.when(lo < end, F.struct(lo.alias("a"), end.alias("z"))))).alias("covered"), F.sort_array(F.collect_list("font_size")).alias("sizes"),
+    )
+    page = page.withColumn("median", F.get("sizes", F.floor(F.size("sizes") / 2).cast("int"))).withColumn("median", F.when(F.col("median") <= 0, 1.0).otherwise(F.col("median")))
+    gap = lambda a, z: F.struct(a.alias("a"), z.alias("z"))
+    start = F.struct(F.col("lo").alias("end"), F.array().cast("array<struct<a:bigint,z:bigint>>").alias("gaps"))
+
+    def step(s: Column, c: Column) -> Column:
+        gaps = F.when(c["a"] > s["end"], F.array_append(s["gaps"], gap(s["end"], c["a"]))).otherwise(s["gaps"])
+        return F.struct(F.greatest(s["end"], c["z"]).alias("end"), gaps.alias("gaps"))
+
+    last = F.array(F.struct(F.col("hi").alias("a"), F.col("hi").alias("z")))
+    runs = page.select("doc", "page", "median", F.explode(F.aggregate(F.concat("covered", last), start, step)["gaps"]).alias("g"))
+    return runs.where((F.col("g.z") - F.col("g.a")) * bin_size >= F.col("median") * width).select("doc", "page", F.round(F.col("g.a") * bin_size, 6).alias("left"), F.round(F.col("g.z") * bin_size, 6).alias("right"))
 
 
 def cells(glyphs: DataFrame, space: float = 0.25) -> DataFrame:

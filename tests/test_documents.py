@@ -144,3 +144,14 @@ def test_every_cell_of_a_single_stage_table_is_accounted_for(spark):
 def test_header_rows_ignore_blanks_around_names(spark):
     rows = spark.createDataFrame([(["  Executive ", " As Passed by House", "1x"],)], "cells array<string>")
     assert rows.select(documents.is_header_row(F.col("cells"), ["executive", "as passed by house"]).alias("h")).first()["h"]
+
+
+def test_rivers_bridge_runs_of_glyphs(spark):
+    """As bin by bin, with glyphs without width on and between bins, a page of one glyph, and nothing joined or laid out in bins."""
+    glyphs = [("d", 1, 0.0, 5.0, 30.0, 10.0, "a"), ("d", 1, 100.0, 5.0, 20.0, 10.0, "b"), ("d", 1, 110.0, 4.0, 50.0, 10.0, "c"), ("d", 1, 50.0, 5.0, 0.0, 10.0, ""), ("d", 1, 200.5, 3.0, 0.0, 10.0, "e")]
+    glyphs += [("d", 2, 1.0, 1.0, 3.0, 10.0, "x"), ("d", 3, 7.0, 1.0, 0.0, 10.0, "y")]
+    found = documents.rivers(spark.createDataFrame(glyphs, GLYPHS), bin_size=1.0)
+    free = set(range(0, 201)) - set(range(0, 30)) - set(range(100, 160)) - {200}
+    runs = sorted((a, min(b for b in range(a, 202) if b not in free)) for a in free if a - 1 not in free)
+    assert sorted((r["page"], r["left"], r["right"]) for r in found.collect()) == [(1, float(a), float(z)) for a, z in runs] == [(1, 30.0, 100.0), (1, 160.0, 200.0)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
