@@ -83,11 +83,26 @@ def is_namesake(a: Column, b: Column) -> Column:
 
 
 def slices(rows: DataFrame) -> DataFrame:
-    """Items with namesakes in their agency, and their own share of the money (agency, code, name, cents)."""
+    """Items with namesakes in their agency, and their own share of the money (agency, code, name, cents).
+
+    Rows of one name are summed before names meet, and a longer name finds the shorter ones among its own beginnings, so no two rows are paired.
+    """
     best = rows.groupBy("agency", "code").agg(F.max(F.struct("cents", "name")).alias("m")).select("agency", "code", "m.name", "m.cents")
-    # The shorter name has at least 12 bytes and begins the longer one, so namesakes agree in their first 12 bytes.
-    best = best.withColumn("_head", F.substring(F.lower(F.trim("name")).cast("binary"), 1, 12)).where(F.octet_length(F.trim("name")) >= 12)
-    other = best.select("agency", "_head", F.col("code").alias("code2"), F.col("name").alias("name2"), F.col("cents").alias("cents2"))
-    found = best.join(other, ["agency", "_head"]).where((F.col("code") != F.col("code2")) & is_namesake(F.col("name"), F.col("name2")) & ~is_administrative(F.col("name2")))
-    out = found.groupBy("agency", "code", "name", "cents").agg(F.count("*").alias("siblings"), F.sum("cents2").alias("sibling_cents"))
+    counts, two = ~is_administrative(F.col("name")), F.size(F.split("_key", r"\s+")) >= 2
+    best = best.withColumn("_key", F.lower(F.trim("name"))).where("agency IS NOT NULL AND code IS NOT NULL AND octet_length(_key) >= 12")
+    best = best.withColumns({"_one": counts.cast("bigint"), "_own": F.when(counts, F.col("cents"))})
+    totals = best.groupBy("agency", "_key").agg(F.sum("_one").alias("n"), F.sum("_own").alias("total"), F.count("_own").alias("stated"))
+    # The shorter name has at least 12 bytes, so namesakes agree in their first 12 bytes; beginnings are cut at the lengths that names have there.
+    names = totals.select("agency", F.col("_key").alias("long"), F.substring(F.col("_key").cast("binary"), 1, 12).alias("_head"))
+    lengths = totals.where(two).select("agency", F.substring(F.col("_key").cast("binary"), 1, 12).alias("_head"), F.length("_key").alias("size")).distinct()
+    cut = names.join(lengths, ["agency", "_head"]).where(F.length("long") >= F.col("size")).select("agency", "long", F.col("long").substr(F.lit(1), F.col("size")).alias("_key"))
+    pairs = cut.join(totals.where(two), ["agency", "_key"]).withColumnRenamed("_key", "short")
+    sums = ["n", "total", "stated"]
+    below = pairs.select("agency", F.col("long").alias("_key"), *sums)
+    above = pairs.where("long <> short").select("agency", "long", "short").join(totals.withColumnRenamed("_key", "long"), ["agency", "long"]).select("agency", F.col("short").alias("_key"), *sums)
+    near = below.unionByName(above).groupBy("agency", "_key").agg(*[F.sum(c).alias(c) for c in sums])
+    # A name of two words is its own namesake: the row itself is taken off again.
+    itself = two & counts
+    found = best.join(near, ["agency", "_key"]).withColumns({"siblings": F.col("n") - F.when(itself, 1).otherwise(0), "_others": F.col("stated") - F.when(itself & F.col("cents").isNotNull(), 1).otherwise(0)})
+    out = found.where("siblings > 0").withColumn("sibling_cents", F.when(F.col("_others") > 0, F.col("total") - F.when(itself, F.coalesce("cents", F.lit(0))).otherwise(0)))
     return out.select("agency", "code", "name", F.col("cents").alias("own_cents"), "siblings", "sibling_cents", F.round(ratio(F.col("cents"), F.col("cents") + F.col("sibling_cents")), 6).alias("own_share"))

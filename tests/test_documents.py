@@ -161,3 +161,20 @@ def test_records_without_a_page_are_one_row_an_error(spark):
     lines = spark.createDataFrame([("{broken 1", "/p/a.jsonl"), ("{broken 2", "/p/a.jsonl"), ("{broken", "/p/b.jsonl")], "value string, file string")
     tables = pages.page_tables(pages.parse_pages(lines))
     assert sorted((r["doc"], r["page"], r["error"]) for r in tables.collect()) == [("a", None, "unreadable"), ("b", None, "unreadable")]
+
+
+def test_slices_sum_names_before_they_meet(spark):
+    """As all pairs by the rule, with copies, longer and shorter names, one word, administrative ones, missing money and agencies."""
+    names = ["School Fund", "School Fund A", " school fund a Extra", "School Fund A Audit", "Scholarships", "Scholarships Old", "School Fun", "School Fund  A", "Ärzte Fund Ö", "ärzte fund ö 2", None]
+    rows = [(k % 3 if k % 17 else None, k, names[k % 11], None if k % 5 == 0 else k * 3 - 50) for k in range(120)]
+    frame = spark.createDataFrame(rows, "agency int, code int, name string, cents bigint")
+    a, b = (frame.select(*[F.col(c).alias(f"{c}{i}") for c in frame.columns]) for i in (1, 2))
+    pairs = a.join(b, (F.col("agency1") == F.col("agency2")) & (F.col("code1") != F.col("code2"))).where(lineage.is_namesake(F.col("name1"), F.col("name2")) & ~lineage.is_administrative(F.col("name2")))
+    want = pairs.groupBy("agency1", "code1", "name1", "cents1").agg(F.count("*").alias("n"), F.sum("cents2").alias("c")).collect()
+    got = lineage.slices(frame).select("agency", "code", "name", "own_cents", "siblings", "sibling_cents").collect()
+    assert len(want) > 60 and sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    # Of many copies of one name no two are paired: rows between the operators stay in proportion.
+    many = lineage.slices(spark.range(30_000).select(F.lit(1).alias("agency"), F.col("id").alias("code"), F.lit("School Fund One").alias("name"), F.lit(1).cast("bigint").alias("cents")))
+    assert many.agg(F.count("*"), F.min("siblings"), F.max("sibling_cents")).first() == (30_000, 29_999, 29_999)
+    plan = str(many._jdf.queryExecution().optimizedPlan())
+    assert "code2" not in plan
