@@ -62,8 +62,8 @@ def ruled_pages(glyphs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     page = page.withColumn("own", F.when(usable, own))
     if pages is not None:
         page = page.join(pages.select("doc", "page").distinct(), ["doc", "page"], "full")
-    carried = documents.carried_rules(page.select("doc", "page", F.col("own").alias("rules")))
-    both = page.join(carried, ["doc", "page"])
+    # The rules of the last page that draws any, as ``documents.carried_rules``, read beside the page's own columns.
+    both = page.withColumn("rules", F.last("own", ignorenulls=True).over(W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, 0)))
     empty, blank = F.col("size").isNull(), F.size("tops") == 0
     status = F.when(F.col("own").isNotNull(), "ruled").when(empty | blank | F.col("rules").isNull(), "refused").otherwise("continued")
     reason = F.when(status != "refused", None).when(empty, "no_glyphs").when(F.col("rules").isNull() & (F.size("drawn") == 0), "no_rules").otherwise("no_text")
@@ -89,18 +89,19 @@ def ruled_lines(glyphs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     pages = ruled_pages(glyphs) if pages is None else pages
     pages = pages.where("status <> 'refused'").select("doc", "page", "rules", "tops", F.col("size").alias("page_size"), F.transform("drawn", lambda r: F.array_min(F.filter("tops", lambda t: t > r))).alias("started"))
     words = glyphs.where(f"text <> '' AND trim(text) <> '{RULE}'").join(pages, ["doc", "page"])
-    top = F.array_min(F.filter("tops", lambda t: t >= F.col("y")))
     col = F.size(F.filter("rules", lambda r: r <= F.col("x") + F.col("advance") / 2))
-    words = words.withColumn("top", top).withColumn("col", col)
+    words = words.withColumn("above", F.filter("tops", lambda t: t >= F.col("y"))).withColumns({"top": F.array_min("above"), "line_no": F.size("above") - 1, "col": col})
+    # What a line needs of its page is single values: the page's arrays do not travel with every line's words.
+    words = words.withColumns({"starts": F.coalesce(F.array_contains("started", F.col("top")), F.lit(False)), "last_col": F.size("rules")})
     glyph = F.struct("x", (-F.col("y")).alias("down"), "advance", "text", "col")
     line = words.groupBy("doc", "page", "top").agg(
         F.array_sort(F.collect_list(glyph)).alias("g"), F.expr(MEDIAN.format("CASE WHEN trim(text) <> '' THEN font_size END")).alias("font_size"),
-        *[F.any_value(c).alias(c) for c in ("rules", "tops", "started", "page_size")],
+        *[F.any_value(c).alias(c) for c in ("line_no", "starts", "last_col", "page_size")],
     )
     gap = F.col("page_size") * SPACE_RATIO
-    cells = F.transform(F.sequence(F.lit(0), F.size("rules")), lambda c: _cell_text(F.filter("g", lambda g: g["col"] == c), gap))
+    cells = F.transform(F.sequence(F.lit(0), F.col("last_col")), lambda c: _cell_text(F.filter("g", lambda g: g["col"] == c), gap))
     return line.select(
-        "doc", "page", (F.size(F.filter("tops", lambda t: t >= F.col("top"))) - 1).alias("line_no"), F.col("top").alias("y"), cells.alias("cells"), F.coalesce(F.array_contains("started", F.col("top")), F.lit(False)).alias("starts_entry"),
+        "doc", "page", "line_no", F.col("top").alias("y"), cells.alias("cells"), F.col("starts").alias("starts_entry"),
         F.when(F.col("font_size") > 0, F.col("font_size")).otherwise(1.0).alias("font_size"), _cell_text(F.col("g"), gap).alias("text"),
     )
 

@@ -178,3 +178,15 @@ def test_slices_sum_names_before_they_meet(spark):
     assert many.agg(F.count("*"), F.min("siblings"), F.max("sibling_cents")).first() == (30_000, 29_999, 29_999)
     plan = str(many._jdf.queryExecution().optimizedPlan())
     assert "code2" not in plan
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_read_once(spark):
+    """Carried rules are read beside a page's own columns, and a page's arrays do not travel with each of its lines."""
+    glyphs = spark.createDataFrame(book(), GLYPHS)
+    assert "Join" not in plan_of(comparison.ruled_pages(glyphs))
+    lines = plan_of(comparison.ruled_lines(glyphs))
+    assert "any_value(rules" not in lines and "any_value(tops" not in lines
