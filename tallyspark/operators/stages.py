@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,13 +28,16 @@ def steps(points: DataFrame) -> DataFrame:
     )
 
 
-def attributed(moves: DataFrame, applies: DataFrame, modifies: DataFrame) -> DataFrame:
+def attributed(moves: DataFrame, applies: DataFrame, modifies: DataFrame, describe: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Steps with their actions: those on the later version, or on the later figure itself; each action once.
 
-    applies: version, action, kind, actor; modifies: ref, action, kind, actor. Two equi-joins, never an OR.
+    applies: version, action, kind, actor; modifies: ref, action, kind, actor. Two equi-joins, never an OR; repeated
+    actions go after the joins, when the actions of all other figures are gone. ``describe`` may add action, kind and actor
+    after the joins, from whatever columns the two sides have, so that texts are not shuffled.
     """
     key = ["item", "period", "to_stage"]
-    found = moves.join(applies, "version").select(*key, "action", "kind", "actor").unionByName(moves.join(modifies, "ref").select(*key, "action", "kind", "actor")).dropDuplicates([*key, "action"])
+    of = lambda acts, on: describe(moves.select(*key, on).join(acts, on)).select(*key, "action", "kind", "actor")
+    found = of(applies, "version").unionByName(of(modifies, "ref")).dropDuplicates([*key, "action"])
     by_step = found.groupBy(*key).agg(F.count("*").alias("n_actions"), F.bool_or(F.col("kind") == "veto").alias("has_veto"), F.min(F.struct("action", "actor"))["actor"].alias("first_actor"))
     rows = moves.join(by_step, key, "left").fillna({"n_actions": 0, "has_veto": False})
     return rows.select(
@@ -43,8 +48,7 @@ def attributed(moves: DataFrame, applies: DataFrame, modifies: DataFrame) -> Dat
 
 def with_readings(attributed: DataFrame) -> DataFrame:
     """Attributed steps with ``is_complete`` of their (item, period): no step of it passes over a stage, so it may be read as attribution."""
-    whole = attributed.groupBy("item", "period").agg(F.bool_and(F.col("skipped") == "").alias("is_complete"))
-    return attributed.join(whole, ["item", "period"])
+    return attributed.withColumn("is_complete", F.bool_and(F.col("skipped") == "").over(W.partitionBy("item", "period")))
 
 
 def series(points: DataFrame, last_stage: int) -> DataFrame:

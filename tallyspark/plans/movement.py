@@ -26,19 +26,18 @@ def points(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def actions(spark, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select(
-        "l_orderkey", "l_partkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents_of(F.col("l_extendedprice"))).alias("action"),
-        F.when(F.col("l_tax") < 0.005, "veto").otherwise("amendment").alias("kind"), F.concat(F.lit("actor-"), F.col("l_suppkey").cast("string")).alias("actor"),
-    )
+def described(rows: DataFrame) -> DataFrame:
+    """Action, kind and actor of order lines."""
+    return rows.withColumns({
+        "action": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents_of(F.col("l_extendedprice"))),
+        "kind": F.when(F.col("l_tax") < 0.005, "veto").otherwise("amendment"), "actor": F.concat(F.lit("actor-"), F.col("l_suppkey").cast("string")),
+    })
 
 
 def c12(spark, sf_dir):
-    acts = actions(spark, sf_dir)
-    applies = acts.select(F.col("l_orderkey").alias("version"), "action", "kind", "actor").distinct()
-    modifies = acts.select(F.col("l_partkey").alias("ref"), "action", "kind", "actor").distinct()
-    return stages.attributed(stages.steps(points(spark, sf_dir)), applies, modifies)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
+    applies, modifies = (lines.withColumn(name, F.col(key)) for name, key in (("version", "l_orderkey"), ("ref", "l_partkey")))
+    return stages.attributed(stages.steps(points(spark, sf_dir)), applies, modifies, described)
 
 
 def a06(spark, sf_dir):

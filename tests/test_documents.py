@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import comparison, documents, extract, lineage, messages
+from tallyspark.operators import comparison, documents, extract, lineage, messages, stages
 from tallyspark.sources import files, pages
 
 GLYPHS = "doc string, page int, x double, y double, advance double, font_size double, text string"
@@ -190,3 +190,16 @@ def test_pages_are_read_once(spark):
     assert "Join" not in plan_of(comparison.ruled_pages(glyphs))
     lines = plan_of(comparison.ruled_lines(glyphs))
     assert "any_value(rules" not in lines and "any_value(tops" not in lines
+
+
+def test_actions_get_their_texts_behind_the_joins(spark):
+    """As with texts on both sides; an action that meets a figure twice counts once, and readings are no second evaluation."""
+    moves = spark.createDataFrame([(1, "FY2001", 1, 2, 10, 30, 20, "", 7, 7), (1, "FY2001", 2, 4, 30, 40, 10, "3", 8, 9)], "item int, period string, from_stage int, to_stage int, from_cents bigint, to_cents bigint, delta_cents bigint, skipped string, version int, ref int")
+    acts = spark.createDataFrame([(7, 1), (7, 1), (7, 2), (9, 3), (5, 4)], "at int, n int")
+    text = lambda rows: rows.withColumns({"action": F.concat(F.lit("a"), "n"), "kind": F.when(F.col("n") == 2, "veto").otherwise("amendment"), "actor": F.concat(F.lit("p"), "n")})
+    late = stages.attributed(moves, acts.withColumnRenamed("at", "version"), acts.withColumnRenamed("at", "ref"), text)
+    early = stages.attributed(moves, text(acts.withColumnRenamed("at", "version")), text(acts.withColumnRenamed("at", "ref")))
+    read = stages.with_readings(late)
+    assert plan_of(read).count("Join") == plan_of(late).count("Join")
+    assert sorted(map(str, late.collect())) == sorted(map(str, early.collect()))
+    assert sorted((r["to_stage"], r["n_actions"], r["first_actor"], r["veto_with_rise"], r["is_complete"]) for r in read.collect()) == [(2, 2, "p1", True, False), (4, 1, "p3", False, False)]
