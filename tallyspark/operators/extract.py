@@ -68,7 +68,9 @@ def single_stage(rows: DataFrame, columns: DataFrame) -> DataFrame:
     at = lambda c: F.trim(F.get("cells", F.col(c)))
     open_ = lambda c: F.when(F.col(f"{c}_at").isNull(), "[open]").otherwise(F.get("cells", F.col(f"{c}_at")))
     cells = rows.join(columns.where("refused IS NULL"), "doc").select("*", F.explode("years").alias("y")).withColumn("raw", at("y.col_idx"))
-    parsed = parse_money(F.col("raw"))
+    # A column of its own, so that a cell is parsed once.
+    cells = cells.withColumn("parsed", parse_money(F.col("raw")))
+    parsed = F.col("parsed")
     blank = F.coalesce("raw", F.lit("")).isin("", "-")
     outcome = F.when(blank, "blank").when(parsed["error"].isNotNull(), "unparsed").otherwise("row")
     named = lambda c: F.get("cells", F.col(f"{c}_at")).alias(c)
