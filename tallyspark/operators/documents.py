@@ -192,7 +192,21 @@ def is_header_row(cells: Column, spellings: list[str]) -> Column:
 def veto_report(items: DataFrame, deletions: DataFrame) -> DataFrame:
     """Per doc: counts of items (doc, item_number, has_formula) and deletions (doc, item_number, kind, text), what is amiss, and whether nothing is."""
     cut = deletions.groupBy("doc", "item_number").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "unrecognised").alias("unknown"), F.max(F.coalesce(F.contains("text", F.lit("$")), F.lit(False))).alias("money"))
-    rows = items.join(cut, ["doc", "item_number"], "left").groupBy("doc").agg(
+    return _reported(items.join(cut, ["doc", "item_number"], "left"))
+
+
+def counted_report(items: DataFrame) -> DataFrame:
+    """``veto_report`` of items that bring the counts of their own deletions (doc, item_number, has_formula, n, unknown, money); items of one number share them."""
+    number = W.partitionBy("doc", "item_number")
+    counts = {"n": F.sum("n").over(number), "unknown": F.sum("unknown").over(number), "money": F.max("money").over(number)}
+    shared = items.withColumns(counts)
+    # An item without a number has no deletions that could be told to be its own.
+    known = F.col("item_number").isNotNull()
+    return _reported(shared.withColumns({"n": F.when(known & (F.col("n") > 0), F.col("n")), "unknown": F.when(known, F.col("unknown")), "money": known & F.col("money")}))
+
+
+def _reported(rows: DataFrame) -> DataFrame:
+    rows = rows.groupBy("doc").agg(
         F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("deletions"), F.count_if(~F.col("has_formula")).alias("without_formula"), F.count_if(F.col("n").isNull()).alias("without_deletions"),
         F.coalesce(F.sum("unknown"), F.lit(0)).alias("unrecognised"), F.count_if("money").alias("striking_money"), (F.max("item_number") - F.min("item_number") + 1 - F.count_distinct("item_number")).cast("bigint").alias("missing_numbers"),
     )

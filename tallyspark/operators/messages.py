@@ -46,9 +46,11 @@ def deletion_block(lines: Column) -> Column:
     """
     state = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"), F.lit(0).alias("after"), F.lit(False).alias("ended"))
 
-    def step(a: Column, raw: Column) -> Column:
-        line = collapsed(raw)
-        begins, goes_on = F.lower(line).startswith(OPENS), (a["open"] != "") & ~is_complete(a["open"])
+    def read_line(raw: Column) -> Column:
+        return F.struct(raw.alias("line"), F.lower(raw).startswith(OPENS).alias("begins"))
+
+    def step(a: Column, x: Column) -> Column:
+        line, begins, goes_on = x["line"], x["begins"], (a["open"] != "") & ~is_complete(a["open"])
         taken = (line == "") | begins | goes_on
         now = F.when(line == "", a["open"]).when(begins, line).otherwise(documents.join_lines(F.array(a["open"], line)))
         done = F.when(begins & (a["open"] != ""), F.array_append(a["done"], a["open"])).otherwise(a["done"])
@@ -59,7 +61,8 @@ def deletion_block(lines: Column) -> Column:
         whole = F.when(a["open"] != "", F.array_append(a["done"], a["open"])).otherwise(a["done"])
         return F.struct(F.flatten(F.transform(whole, embedded)).alias("instructions"), a["after"].alias("after"))
 
-    return F.aggregate(lines, state, step, finish)
+    # White space is collapsed once a line, not wherever the fold looks at it.
+    return F.aggregate(F.transform(F.transform(lines, collapsed), read_line), state, step, finish)
 
 
 def message_items(lines: DataFrame) -> DataFrame:
@@ -88,5 +91,11 @@ def item_deletions(items: DataFrame) -> DataFrame:
 
 def message_report(items: DataFrame) -> DataFrame:
     """Per message: items, deletions and what is amiss, by count (``documents.veto_report``); an item counts by its number."""
-    cuts = item_deletions(items).select("doc", "item_number", "kind", F.coalesce("text", "begins").alias("text"))
-    return documents.veto_report(items.select("doc", "item_number", "has_formula"), cuts)
+    # An item's own counts come with the item, so that items are folded once.
+    own = items.select("doc", "segment", "item_number", "has_formula", F.explode_outer("instructions").alias("instruction"))
+    cut = documents.deletions(own)
+    there = F.col("instruction").isNotNull()
+    counted = cut.groupBy("doc", "segment", "item_number", "has_formula").agg(
+        F.count("instruction").alias("n"), F.count_if(there & (F.col("kind") == "unrecognised")).alias("unknown"), F.bool_or(there & F.coalesce(F.contains(F.coalesce("text", "begins"), F.lit("$")), F.lit(False))).alias("money"),
+    )
+    return documents.counted_report(counted)

@@ -203,3 +203,15 @@ def test_actions_get_their_texts_behind_the_joins(spark):
     assert plan_of(read).count("Join") == plan_of(late).count("Join")
     assert sorted(map(str, late.collect())) == sorted(map(str, early.collect()))
     assert sorted((r["to_stage"], r["n_actions"], r["first_actor"], r["veto_with_rise"], r["is_complete"]) for r in read.collect()) == [(2, 2, "p1", True, False), (4, 1, "p3", False, False)]
+
+
+def test_reports_fold_a_message_once(spark):
+    """As ``veto_report`` of items and deletions by themselves: items of one number share theirs, one has none, one has no number."""
+    kind = "doc int, segment bigint, item_number int, instructions array<string>, has_formula boolean"
+    rows = [(1, 1, 5, ["On page 1, delete “a $1”", "On page 2, beginning with “x"], True), (1, 2, 5, [], False), (1, 3, 8, [], True), (2, 1, 3, ["On page 2, delete the whole section."], True), (3, 1, None, [], False)]
+    items = spark.createDataFrame(rows, kind)
+    report = messages.message_report(items)
+    cuts = messages.item_deletions(items).select("doc", "item_number", "kind", F.coalesce("text", "begins").alias("text"))
+    want = documents.veto_report(items.select("doc", "item_number", "has_formula"), cuts)
+    assert sorted(map(str, report.collect())) == sorted(map(str, want.collect())) and report.columns == want.columns
+    assert "Join" not in plan_of(report)
