@@ -154,11 +154,17 @@ def document_columns(lines: DataFrame) -> DataFrame:
 def content_lines(lines: DataFrame) -> DataFrame:
     """``lines`` that are neither blank nor a running head or foot (same height and words on half of the pages, and on two)."""
     key = F.lower(F.array_join("cells", "\u0001"))
-    filled = lines.where(~is_blank(F.col("cells")))
-    pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("pages"))
-    keyed = filled.withColumns({"_y": F.round("y"), "_key": documents.running_key(key)})
-    often = keyed.groupBy("doc", "_y", "_key").agg(F.count_distinct("page").alias("n")).join(pages, "doc").where(F.col("n") >= F.greatest(F.floor(F.col("pages") / 2), F.lit(2)))
-    return keyed.join(often.select("doc", "_y", "_key"), ["doc", "_y", "_key"], "left_anti").select(*lines.columns)
+
+    def pages_of(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        # Distinct pages by rank: the document's lines stay where they are, and no set of pages is held.
+        rows = rows.withColumn(name, F.dense_rank().over(W.partitionBy(*keys).orderBy("page")))
+        own = W.partitionBy(*keys)
+        return rows.withColumn(name, F.max(name).over(own) - F.max(F.col("page").isNull().cast("int")).over(own))
+
+    filled = pages_of(lines, "_pages", "doc").where(~is_blank(F.col("cells")))
+    keyed = pages_of(filled.withColumns({"_y": F.round("y"), "_key": documents.running_key(key)}), "_n", "doc", "_y", "_key")
+    often = F.col("doc").isNotNull() & F.col("_y").isNotNull() & F.col("_key").isNotNull() & (F.col("_n") >= F.greatest(F.floor(F.col("_pages") / 2), F.lit(2)))
+    return keyed.where(~often).select(*lines.columns)
 
 
 def roles(lines: DataFrame) -> DataFrame:

@@ -215,3 +215,13 @@ def test_reports_fold_a_message_once(spark):
     want = documents.veto_report(items.select("doc", "item_number", "has_formula"), cuts)
     assert sorted(map(str, report.collect())) == sorted(map(str, want.collect())) and report.columns == want.columns
     assert "Join" not in plan_of(report)
+
+
+def test_content_lines_stay_with_their_document(spark):
+    """Heads on half of the pages and on two go, lines without a height stay, blank pages count; nothing is joined."""
+    rows = [("d", p, n, y, [text]) for p in (1, 2, 3, 4) for n, y, text in ((1, 70.2, f"Head {p}"), (2, 60.0, "once" if p == 1 else ""), (3, None, "free"), (4, 50.0, "pair" if p < 3 else "x" * p))]
+    rows += [("e", p, 1, 70.0, [f"Head {p}" if p < 3 else " "]) for p in range(1, 8)]
+    found = comparison.content_lines(spark.createDataFrame(rows, "doc string, page int, line_no int, y double, cells array<string>"))
+    got = sorted((r["doc"], r["page"], r["cells"][0]) for r in found.collect())
+    assert got == sorted([("d", 1, "once"), ("d", 3, "xxx"), ("d", 4, "xxxx"), *[("d", p, "free") for p in (1, 2, 3, 4)], ("e", 1, "Head 1"), ("e", 2, "Head 2")])
+    assert "Join" not in plan_of(found)
