@@ -12,7 +12,8 @@ Buckets never list all their pairs. First every class is verified against the pi
 What then matters are buckets that hold more than one component:
 
 * one with few pairs for its members (PAIRS_EACH, then DEEP_PAIRS_EACH each) lists those across components;
-* a larger one is centred on a pivot c again: each member x is verified against c and represented by its
+* a larger one is centred on a pivot c again (buckets of bands whose pivots are linked with the largest pivot of
+  their component share that one, so that a member of many buckets is one row): each member x is verified against c and represented by its
   difference from c, D(x) = x without c, then c without x. Two sets are similar enough if and only if
   9 * |x ^ y| <= |x| + |y|, so their differences must share at least
   (9 |D(x)| - |x| + 9 |D(y)| - |y|) / 18 elements. That is above 0 unless both are linked with c, so the
@@ -191,14 +192,34 @@ def _listed(few: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame) -> DataFrame:
-    """(bucket, pivot, pn): the member whose buckets are the largest, from members (bucket, k, n, size)."""
+    """(bucket, degree, pivot, pn): the member whose buckets are the largest, from members (bucket, k, n, size)."""
     whole = members.groupBy("k").agg(F.sum("size").alias("degree"), F.collect_list("bucket").alias("buckets"), F.max("n").alias("n"))  # a class has as many rows as it has bands or prefix elements
-    return whole.select("k", "n", "degree", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("degree", "k", "n")).alias("top")).select("bucket", F.col("top.k").alias("pivot"), F.col("top.n").alias("pn"))
+    return whole.select("k", "n", "degree", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("degree", "k", "n")).alias("top")).select("bucket", "top.degree", F.col("top.k").alias("pivot"), F.col("top.n").alias("pn"))
 
 
-def _centred(wide: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, linked, d): members b of wide buckets against their pivots a, with the difference d of b from a."""
+def _gathered(pivots: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, pivot) with the pivots that are linked with the largest one of their component replaced by it.
+
+    Differences from any one centre decide a pair, be it in the bucket or not; the pivot that is replaced becomes a member.
+    """
+    own = pivots.groupBy("pivot").agg(F.max("degree").alias("degree")).join(hinted(labels, BROADCAST_KEYS).select(F.col("node").alias("pivot"), "root"), "pivot")
+    own = saved(own)
+    chief = own.groupBy("root").agg(F.max(F.struct("degree", "pivot")).alias("top")).select("root", F.col("top.pivot").alias("a"))
+    pairs = saved(own.join(chief, "root").where("pivot <> a").select("a", F.col("pivot").alias("b")))
+    near = _compared(pairs, sets).where(_linked("na", "nb", "common")).select(F.col("b").alias("pivot"), "a")
+    out = saved(pivots.join(near, "pivot", "left").select("bucket", F.coalesce("a", "pivot").alias("pivot")))
+    drop(own, pairs, pivots)
+    return out
+
+
+def _centred(wide: DataFrame, sets: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(a, b, na, nb, linked, d): members b of wide buckets against their pivots a, with the difference d of b from a.
+
+    With ``labels`` the buckets of one component are gathered round one pivot, as far as it is linked with theirs.
+    """
     pivots = saved(_pivots(wide))
+    if labels is not None:
+        pivots = _gathered(pivots, sets, labels)
     pairs = saved(wide.join(pivots, "bucket").where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct())
     both = _compared(pairs, sets)
     out = saved(both.select("a", "b", "na", "nb", _linked("na", "nb", "common").alias("linked"), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("d")))
@@ -259,9 +280,9 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
     labels = components(edges[0])
     every = edges[0]
     level = members.select("bucket", "k", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("pos"))
-    each = PAIRS_EACH
+    deep = False
     while True:
-        apart = _apart(level, labels, each)
+        apart = _apart(level, labels, DEEP_PAIRS_EACH if deep else PAIRS_EACH)
         drop(members)
         if apart.isEmpty():
             drop(apart)
@@ -269,7 +290,8 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
         edges.append(saved(_compared(_listed(apart.where("not wide")), sets).where(_linked("na", "nb", "common")).select("a", "b")))
         wide = not apart.where("wide").isEmpty()
         if wide:
-            stars = _centred(apart.where("wide"), sets)
+            # Differences keep the pivots of their own buckets, so that every level has fewer elements than the one before.
+            stars = _centred(apart.where("wide"), sets, None if deep else labels)
             edges.append(saved(stars.where("linked").select("a", "b")))
         drop(apart)
         for more in edges[-1 - wide :]:
@@ -281,7 +303,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
             break
         members = level = _deeper(stars, labels)
         drop(stars)
-        each = DEEP_PAIRS_EACH
+        deep = True
     drop(sets, *edges)
     return rows, classes, labels
 

@@ -194,6 +194,24 @@ def test_wide_buckets_lose_no_link(spark):
     assert 5 < len({r[2] for r in want}) < 300 and bag(got.collect()) == want
 
 
+def test_a_member_of_many_wide_buckets_is_compared_with_one_centre(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for at in rng.sample(range(120), rng.randint(3, 12)):
+            text[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(text)))
+    compared = []
+    centred = neardup._centred
+    monkeypatch.setattr(neardup, "_centred", lambda *x: compared.append(centred(*x)) or compared[-1])
+    monkeypatch.setattr(neardup, "drop", lambda *tables: None)
+    got = neardup.group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 2)
+    assert bag(got.collect()) == bag(_groups(rows))
+    assert compared and compared[0].count() <= 1.1 * len(rows)
+
+
 def test_decontamination_counts_words_under_windows(spark, docs, docs_rows, none):
     items = [(1, docs_rows[2][1]), (2, "zzz " + " ".join(words(docs_rows[6][1])[3:16]).upper()), (3, None), (4, "--"), (5, "one two"), (None, docs_rows[2][1]), (7, "changed"), (1, "one two")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
