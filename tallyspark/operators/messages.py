@@ -30,7 +30,7 @@ def is_complete(text: Column) -> Column:
     has = lambda words: low.rlike("|".join(words))
     unclosed = has(documents.RANGE_OPENERS) & ~has(documents.RANGE_CONNECTORS) & ~has(documents.PAGE_END_CONNECTORS)
     stop = end.endswith(".") & ~end.endswith("...")
-    return ~unclosed & (end.rlike(CLOSING_QUOTES + "$") | stop)
+    return (end.rlike(CLOSING_QUOTES + "$") | stop) & ~unclosed  # the end is looked at first, as it decides most lines
 
 
 def embedded(text: Column) -> Column:
@@ -46,23 +46,23 @@ def deletion_block(lines: Column) -> Column:
     """
     state = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"), F.lit(0).alias("after"), F.lit(False).alias("ended"))
 
-    def read_line(raw: Column) -> Column:
-        return F.struct(raw.alias("line"), F.lower(raw).startswith(OPENS).alias("begins"))
-
-    def step(a: Column, x: Column) -> Column:
-        line, begins, goes_on = x["line"], x["begins"], (a["open"] != "") & ~is_complete(a["open"])
+    def step(a: Column, line: Column) -> Column:
+        begins, goes_on = F.lower(line).startswith(OPENS), (a["open"] != "") & ~is_complete(a["open"])
         taken = (line == "") | begins | goes_on
         now = F.when(line == "", a["open"]).when(begins, line).otherwise(documents.join_lines(F.array(a["open"], line)))
         done = F.when(begins & (a["open"] != ""), F.array_append(a["done"], a["open"])).otherwise(a["done"])
         read = F.struct(now.alias("open"), done.alias("done"), (a["after"] + 1).alias("after"), F.lit(False).alias("ended"))
-        return F.when(a["ended"], a).when(taken, read).otherwise(F.struct(a["open"].alias("open"), a["done"].alias("done"), a["after"].alias("after"), F.lit(True).alias("ended")))
+        return F.when(taken, read).otherwise(F.struct(a["open"].alias("open"), a["done"].alias("done"), a["after"].alias("after"), F.lit(True).alias("ended")))
 
     def finish(a: Column) -> Column:
         whole = F.when(a["open"] != "", F.array_append(a["done"], a["open"])).otherwise(a["done"])
         return F.struct(F.flatten(F.transform(whole, embedded)).alias("instructions"), a["after"].alias("after"))
 
-    # White space is collapsed once a line, not wherever the fold looks at it.
-    return F.aggregate(F.transform(F.transform(lines, collapsed), read_line), state, step, finish)
+    def until_end(a: Column, raw: Column) -> Column:
+        # White space is collapsed once a line, not wherever the fold looks at it, and not in lines behind the block.
+        return F.when(a["ended"], a).otherwise(F.get(F.transform(F.array(collapsed(raw)), lambda line: step(a, line)), F.lit(0)))
+
+    return F.aggregate(lines, state, until_end, finish)
 
 
 def message_items(lines: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def message_items(lines: DataFrame) -> DataFrame:
     number = F.regexp_extract(F.trim("text"), r"^ITEM NUMBER\s+([0-9]+)(?:\s|$)", 1)
     content = lines.where(~documents.is_running_foot(F.col("text")))
     rows = documents.segments(content, number != "").where("segment > 0").withColumn("number", F.when(number != "", number.try_cast("int")))
-    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("number").isNull(), F.struct("line_no", "text")))), lambda x: x["text"])
+    body = F.sort_array(F.collect_list(F.when(F.col("number").isNull(), F.struct("line_no", "text"))))["text"]
     items = rows.groupBy("doc", "segment").agg(F.max("number").alias("item_number"), body.alias("lines")).withColumn("block", deletion_block(F.col("lines")))
     rest = F.filter(F.transform(F.slice("lines", F.col("block.after") + 1, F.greatest(F.size("lines") - F.col("block.after"), F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
     items = items.withColumn("rest", rest).withColumn("head", documents.heading(F.col("rest")))

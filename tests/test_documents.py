@@ -225,3 +225,10 @@ def test_content_lines_stay_with_their_document(spark):
     got = sorted((r["doc"], r["page"], r["cells"][0]) for r in found.collect())
     assert got == sorted([("d", 1, "once"), ("d", 3, "xxx"), ("d", 4, "xxxx"), *[("d", p, "free") for p in (1, 2, 3, 4)], ("e", 1, "Head 1"), ("e", 2, "Head 2")])
     assert "Join" not in plan_of(found)
+
+
+def test_lines_of_an_item_are_sorted_without_a_comparator(spark):
+    lines = spark.range(6).selectExpr("1L AS doc", "id AS line_no", "CASE id WHEN 0 THEN 'ITEM NUMBER 4' WHEN 1 THEN 'On page 2, delete “a' WHEN 2 THEN 'Page 1 of 2' WHEN 3 THEN 'b.”' WHEN 4 THEN 'Title' ELSE 'Reason' END AS text")
+    items = messages.message_items(lines)
+    assert [tuple(r) for r in items.select("item_number", "instructions", "title", "rationale").collect()] == [(4, ["On page 2, delete “a b.”"], "Title", "Reason")]
+    assert "array_sort" not in items._jdf.queryExecution().optimizedPlan().toString()
