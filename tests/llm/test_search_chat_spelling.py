@@ -251,6 +251,47 @@ def test_host_runs_equal_brute_force_on_unmarked_pages(spark):
     assert got == sorted(want) and dict(want)[1] != "" and menu not in dict(want)[1] and menu == dict(want)[21]
 
 
+def test_template_inside_marked_articles_goes_and_shared_text_stays(spark):
+    from tallyspark.llm import htmltext
+
+    rng = random.Random(31)
+    menu, line, lead, spot = sentence(rng, 11), sentence(rng, 14), sentence(rng, 12), sentence(rng, 9)
+    story = lambda k, more, chrome: (k, f"http://h.example/{k}", f"<nav>{chrome}</nav><article><h1>Story {k}</h1><p>{sentence(rng, 30)} {line}</p>{more}</article>")
+    # Four articles hold the menu that the others leave out, in a block without a name; the host's menus also hold a lead and a headline.
+    rows = [story(k, f"<div>{menu}</div>" if k < 4 else "", f"<p>{menu}</p><p>{lead}</p><p>Top</p>") for k in range(12)]
+    # Three versions of one story, whose headline and lead are in the menus; a line left out on few pages.
+    rows += [(k, f"http://h.example/{k}", f"<article><h1>Top</h1><p>{lead}</p><p>{sentence(rng, 20)}</p></article><aside>{spot}</aside>") for k in range(12, 15)]
+    rows += [story(k, f"<p>{spot}</p>", "") for k in range(15, 18)]
+    # On another host the menu is an article's own text.
+    rows += [(k, f"http://o.example/{k}", f"<article><h1>Own {k}</h1><p>{menu}</p></article>") for k in range(20, 24)]
+    blocks = {k: htmltext.page_blocks(h)[0] for k, _, h in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r["page_id"]: r["text"].split("\n") for r in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(menu in blocks[k] and got[k] == blocks[k][:2] for k in range(4))
+    assert all(got[k] == blocks[k] for k in blocks if k > 3) and lead in got[12] and spot in got[15] and got[20] == ["Own 20", menu]
+
+
+def test_intervals_of_the_sorted_array_add_up_over_batches():
+    import pyarrow as pa
+
+    from tallyspark.llm import htmltext
+
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(2), bytes([rng.randrange(3)]), rng.randrange(2), rng.randrange(3), rng.randrange(4)) for _ in range(300))
+    want = collections.Counter((*r[:3], r[3]) for r in set(rows))
+    for size in (1, 7, 300):
+        table = pa.table(dict(zip(["host", "tokens", "run", "side", "who"], map(list, zip(*rows, strict=True)), strict=True)))
+        met = collections.Counter()
+        for batch in htmltext._intervals(table.to_batches(max_chunksize=size)):
+            for row in batch.to_pylist():
+                for side, name in enumerate(("pages", "left_on", "articles")):
+                    met[row["host"], row["tokens"], row["run"], side] += row[name]
+        assert +met == want
+
+
 def test_many_mails_and_long_runs_take_linear_time():
     from tallyspark.llm import surrogates
 
