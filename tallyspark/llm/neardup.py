@@ -11,19 +11,25 @@ Buckets never list all their pairs. First every class is verified against the pi
 (the pivot of a bucket is its member with the largest buckets, so one hub serves a whole group of copies).
 What then matters are buckets that hold more than one component:
 
-* one with few pairs for its members (PAIRS_EACH, then DEEP_PAIRS_EACH each) lists those across components;
-* a larger one is centred on a pivot c again (buckets of bands whose pivots are linked with the largest pivot of
+* one with few pairs for its members (PAIRS_EACH each) lists those across components;
+* a larger one is centred on a pivot c again (those whose pivots are linked with the largest pivot of
   their component share that one, so that a member of many buckets is one row): each member x is verified against c and represented by its
   difference from c, D(x) = x without c, then c without x. Two sets are similar enough if and only if
   9 * |x ^ y| <= |x| + |y|, so their differences must share at least
   (9 |D(x)| - |x| + 9 |D(y)| - |y|) / 18 elements. That is above 0 unless both are linked with c, so the
-  first |D| - overlap + 1 elements of D, in one order for all, are buckets of the next level (prefix
-  filter), in which c itself no longer is. Copies of one text differ from it at places of their
-  own, so these buckets are small, and two copies are compared only if enough of their differences can
+  first |D| - overlap + 1 elements of D, the rarest of the star first, are buckets of differences (prefix
+  filter), in which c itself no longer is; an element that no other member has needs no bucket. Copies of one text
+  differ from it at places of their own, so these buckets are small, and two copies are compared only if enough of their differences can
   follow the element that they share (positional filter).
 
-This is repeated until no bucket holds two components. Nothing but the bands is approximate, links are
-confirmed on full sets, and a level writes rows in proportion to its members and their differences.
+Buckets of differences list all their pairs across components. What is left in a wide one are members apart
+from its centre, and so at large from one another: centred on one of them, nearly all the others would differ
+from it in the same elements, in as many buckets as these, level after level. So in one with more than
+DEEP_PAIRS_EACH pairs for each member those outside its largest component meet all members, in cells of
+CELL by CELL rows that are dealt out one by one; pairs that fail the filters are never written.
+
+Nothing but the bands is approximate, links are confirmed on full sets, and rows are written in proportion
+to members and their differences, and for a wide bucket of differences to its pairs across components over CELL.
 
 Edge cases: texts without words have an empty set and stay alone; a null doc_id cannot be named, so for
 ``group`` such rows stay alone with a null component and are kept, while ``dedup`` treats them like others;
@@ -49,8 +55,10 @@ from .wordhash import batches, grams, mix, words
 QUERY_SHINGLE, SHINGLE = 2, 5
 BANDS, ROWS = 48, 6
 SIGNATURE = BANDS * ROWS
-#: Pairs for each member that a bucket of bands, and one of differences, may look at; one that has more is centred on a pivot.
+#: Pairs for each member up to which a bucket of bands lists its pairs and is not centred on a pivot, and one of differences lists them in one cell.
 PAIRS_EACH, DEEP_PAIRS_EACH = 8, 256
+#: Members on either side of a cell of a wide bucket of differences.
+CELL = 512
 #: Rows of at most 100 bytes (class keys, roots, row keys) up to which a counted side is broadcast.
 BROADCAST_KEYS = 100_000
 
@@ -178,17 +186,43 @@ def _apart(members: DataFrame, labels: DataFrame, each: int) -> DataFrame:
     return out
 
 
-def _listed(few: DataFrame) -> DataFrame:
-    """Pairs (a, b) across the components of buckets that are not wide, as far as sizes and distances from a shared centre allow.
+def _numbered(members: DataFrame, i: int, *more: str) -> DataFrame:
+    """Members as side ``i`` of a join on their bucket."""
+    return members.select("bucket", *more, *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "side", "far", "pos", "root")])
+
+
+def _met(met: DataFrame, sides: Column) -> DataFrame:
+    """Pairs (a, b) across components, of joined members whose ``sides`` count, as far as sizes and distances from a shared centre allow.
 
     far and pos, where there is a centre, are the size of the difference from it and the place of the bucket's element in it:
     what follows the first common element has to be enough for the overlap that the pair needs.
     """
-    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "side", "far", "pos", "root")]) for i in (1, 2))
-    sides = ((F.col("side1") == 0) & (F.col("k1") < F.col("k2"))) | ((F.col("side1") == 1) & (F.col("side2") == 2))
     enough = 18 * F.least(F.col("far1") - F.col("pos1"), F.col("far2") - F.col("pos2")) >= 9 * (F.col("far1") + F.col("far2")) - F.col("n1") - F.col("n2")
     near = F.coalesce((9 * F.abs(F.col("far1") - F.col("far2")) <= F.col("n1") + F.col("n2")) & enough, F.lit(True))
-    return x.join(y, "bucket").where(sides & (F.col("root1") != F.col("root2")) & _similar_size("n1", "n2") & near).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
+    return met.where(sides & (F.col("root1") != F.col("root2")) & _similar_size("n1", "n2") & near).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
+
+
+def _listed(few: DataFrame) -> DataFrame:
+    """Pairs (a, b) of buckets that are not wide."""
+    sides = ((F.col("side1") == 0) & (F.col("k1") < F.col("k2"))) | ((F.col("side1") == 1) & (F.col("side2") == 2))
+    return _met(_numbered(few, 1).join(_numbered(few, 2), "bucket"), sides)
+
+
+def _crossed(wide: DataFrame) -> DataFrame:
+    """Pairs (a, b) of wide buckets of differences: members outside the largest component of their bucket with all its members, cell by cell."""
+    parts = wide.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("m"))
+    cells = lambda m: F.ceil(m / CELL).cast("int")
+    parts = saved(parts.select("bucket", F.col("top.root").alias("chief"), cells(F.col("m") - F.col("top.m")).alias("down"), cells(F.col("m")).alias("across")))
+    placed = saved(wide.join(hinted(parts, BROADCAST_KEYS), "bucket").withColumn("own", F.xxhash64("k", "side")))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    at = lambda m: F.pmod("own", F.col(m)).cast("int")
+    x = _numbered(placed.where("root <> chief").withColumn("i", at("down")).withColumn("j", every("across")), 1, "i", "j")
+    y = _numbered(placed.withColumn("j", at("across")).withColumn("i", every("down")), 2, "i", "j", "chief")
+    sides = ((F.col("side1") == 0) & (F.col("side2") == 0)) | (F.col("side1") + F.col("side2") == 3)
+    out = saved(_met(x.join(y, ["bucket", "i", "j"]), sides & ((F.col("root2") == F.col("chief")) | (F.col("k1") < F.col("k2")))))
+    drop(parts, placed)
+    return out
 
 
 def _pivots(members: DataFrame) -> DataFrame:
@@ -212,14 +246,12 @@ def _gathered(pivots: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFram
     return out
 
 
-def _centred(wide: DataFrame, sets: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def _centred(wide: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b, na, nb, linked, d): members b of wide buckets against their pivots a, with the difference d of b from a.
 
-    With ``labels`` the buckets of one component are gathered round one pivot, as far as it is linked with theirs.
+    The buckets of one component are gathered round one pivot, as far as it is linked with theirs.
     """
-    pivots = saved(_pivots(wide))
-    if labels is not None:
-        pivots = _gathered(pivots, sets, labels)
+    pivots = _gathered(saved(_pivots(wide)), sets, labels)
     pairs = saved(wide.join(pivots, "bucket").where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct())
     both = _compared(pairs, sets)
     out = saved(both.select("a", "b", "na", "nb", _linked("na", "nb", "common").alias("linked"), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("d")))
@@ -228,23 +260,32 @@ def _centred(wide: DataFrame, sets: DataFrame, labels: DataFrame | None = None)
 
 
 def _deeper(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the next level: of every centre whose members are still in several components, prefixes of the differences."""
+    """Members of buckets of differences: of every centre whose members are still in several components, prefixes of the differences, rarest elements first.
+
+    An element that all but the centre have is in nearly every difference, and so stands last there.
+    """
     rooted = stars.select("a", "b", "nb", "linked").join(hinted(labels, BROADCAST_KEYS).select(F.col("node").alias("b"), "root"), "b", "left")
     groups = rooted.groupBy("a").agg(F.min(F.coalesce("root", "b")).alias("lo"), F.max(F.coalesce("root", "b")).alias("hi"), F.max(F.when(F.col("linked"), F.col("nb"))).alias("most")).where("lo <> hi")
     groups = saved(groups.select("a", "most"))
+    within_reach = saved(stars.join(hinted(groups, BROADCAST_KEYS), "a"))
+    each = within_reach.select("a", "b", F.explode("d").alias("e"))
+    often = each.groupBy("a", "e").agg(F.count("*").alias("times")).where("times > 1")
+    shared = saved(each.join(often, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared")))
     far = F.size("d")
     # Overlaps that a partner not linked with the centre asks for, and that a linked one does (it has at most ``most`` elements).
     beyond = F.greatest(F.lit(1), F.ceil((9 * far - F.col("nb") + F.col("na") + 1) / 18))
     within = F.greatest(F.lit(1), F.ceil((9 * far - F.col("nb") - F.least(F.floor(5 * F.col("nb") / 4), F.col("most"))) / 9))
-    prefix = lambda overlap: F.slice("d", F.lit(1), F.greatest(F.lit(0), far - overlap + 1).cast("int"))
+    # Elements that no other member has stand first, as many as ``alone``.
+    alone = far - F.size("shared")
+    prefix = lambda overlap: F.slice("shared.e", F.lit(1), F.greatest(F.lit(0), far - overlap + 1 - alone).cast("int"))
     other = F.when(~F.col("linked"), F.struct(F.lit(0).alias("side"), prefix(beyond).alias("e")))
     near = F.when(F.col("linked"), F.struct(F.lit(2).alias("side"), prefix(beyond).alias("e"))).when(F.col("most").isNotNull(), F.struct(F.lit(1).alias("side"), prefix(within).alias("e")))
-    parts = stars.join(hinted(groups, BROADCAST_KEYS), "a").select("a", F.col("b").alias("k"), F.col("nb").alias("n"), far.alias("far"), F.explode(F.array_compact(F.array(other, near))).alias("part"))
-    parts = parts.select("a", "k", "n", "far", "part.side", F.posexplode("part.e").alias("pos", "e"))
+    parts = within_reach.join(shared, ["a", "b"]).select("a", F.col("b").alias("k"), F.col("nb").alias("n"), far.alias("far"), alone.alias("alone"), F.explode(F.array_compact(F.array(other, near))).alias("part"))
+    parts = parts.select("a", "k", "n", "far", "alone", "part.side", F.posexplode("part.e").alias("at", "e"))
     # Buckets of pairs beyond the centre's reach and of those across it are kept apart by one byte.
     kind = F.when(F.col("side") == 0, F.lit(b"\x00")).otherwise(F.lit(b"\x01"))
-    out = saved(parts.select(F.concat(kind, F.unhex(F.lpad(F.hex("e"), 16, "0")), "a").alias("bucket"), "k", "n", "side", "far", "pos"))
-    drop(groups)
+    out = saved(parts.select(F.concat(kind, F.unhex(F.lpad(F.hex("e"), 16, "0")), "a").alias("bucket"), "k", "n", "side", "far", (F.col("alone") + F.col("at")).alias("pos")))
+    drop(groups, within_reach, shared)
     return out
 
 
@@ -287,19 +328,23 @@ def link(docs: DataFrame, shingle: int = SHINGLE, named: bool = False) -> tuple[
         if apart.isEmpty():
             drop(apart)
             break
-        edges.append(saved(_compared(_listed(apart.where("not wide")), sets).where(_linked("na", "nb", "common")).select("a", "b")))
         wide = not apart.where("wide").isEmpty()
-        if wide:
-            # Differences keep the pivots of their own buckets, so that every level has fewer elements than the one before.
-            stars = _centred(apart.where("wide"), sets, None if deep else labels)
-            edges.append(saved(stars.where("linked").select("a", "b")))
+        pairs = [_listed(apart.where("not wide"))]
+        if wide and deep:
+            pairs.append(_crossed(apart.where("wide")))
+        found = [saved(_compared(x, sets).where(_linked("na", "nb", "common")).select("a", "b")) for x in pairs]
+        drop(*pairs[1:])
+        if wide and not deep:
+            stars = _centred(apart.where("wide"), sets, labels)
+            found.append(saved(stars.where("linked").select("a", "b")))
         drop(apart)
-        for more in edges[-1 - wide :]:
+        for more in found:
             every = every.unionByName(more)
-        if not all(more.isEmpty() for more in edges[-1 - wide :]):
+        edges += found
+        if not all(more.isEmpty() for more in found):
             drop(labels)
             labels = components(every)
-        if not wide:
+        if deep or not wide:
             break
         members = level = _deeper(stars, labels)
         drop(stars)

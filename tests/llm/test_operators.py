@@ -212,6 +212,40 @@ def test_a_member_of_many_wide_buckets_is_compared_with_one_centre(spark, monkey
     assert compared and compared[0].count() <= 1.1 * len(rows)
 
 
+def test_members_apart_from_their_centre_are_not_centred_on_one_another(spark, monkeypatch):
+    """Most copies are too far from any centre to be linked with it, and some have near copies of their own; what the centre lacks they share."""
+    rng = random.Random(29)
+    base = [f"b{i}" for i in range(120)]
+
+    def changed(w, n, name):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = f"{name}x{at}"
+        return w
+
+    texts = [changed(base, rng.randint(1, 14), f"n{i}") for i in range(260)]
+    texts += [changed(texts[i], rng.randint(1, 4), f"m{i}") for i in range(40)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    calls = []
+    centred = neardup._centred
+
+    def once(*x):
+        assert not calls, "centred again"
+        calls.append("centred")
+        return centred(*x)
+
+    monkeypatch.setattr(neardup, "_centred", once)
+    monkeypatch.setattr(neardup, "DEEP_PAIRS_EACH", 1)
+    monkeypatch.setattr(neardup, "CELL", 8, raising=False)
+    if crossed := getattr(neardup, "_crossed", None):
+        monkeypatch.setattr(neardup, "_crossed", lambda *x: calls.append("crossed") or crossed(*x))
+    got = neardup.group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 2)
+    want = bag(_groups(rows))
+    assert bag(got.collect()) == want and 50 < len({r[2] for r in want}) < 280
+    assert calls == ["centred", "crossed"]
+
+
 def test_decontamination_counts_words_under_windows(spark, docs, docs_rows, none):
     items = [(1, docs_rows[2][1]), (2, "zzz " + " ".join(words(docs_rows[6][1])[3:16]).upper()), (3, None), (4, "--"), (5, "one two"), (None, docs_rows[2][1]), (7, "changed"), (1, "one two")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
